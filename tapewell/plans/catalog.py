@@ -115,4 +115,4 @@ def load() -> None:
         importlib.import_module(f"tapewell.plans.{module}")
 
 
-MODULES = ["q_core"]
+MODULES = ["q_core", "q_data"]

@@ -50,7 +50,7 @@ def _(t):
     return t.bars_h()
 
 
-@query("s04_canonical_bars_range", "symbol ts:t close:f volume:f", """
+@query("s04_canonical_bars_range", "symbol ts:t close:f8 volume:f", """
 SELECT * FROM bars_d WHERE symbol IN ('Brand#1','Brand#2','Brand#3') AND ts BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-12-31'
 """)
 def _(t):
