@@ -16,9 +16,10 @@ def geometric_annual(total: Column, periods: Column) -> Column:
     return F.pow(1.0 + total, F.lit(float(YEAR)) / F.greatest(periods, F.lit(1))) - 1.0
 
 
-def strategy_curve(positions: DataFrame) -> DataFrame:
-    """Position times return, compounded, with the drawdown from a peak of at least 1."""
-    growth = positions.withColumn("strategy_ret", F.col("position") * F.col("ret"))
+def strategy_curve(positions: DataFrame, share: float = 1.0) -> DataFrame:
+    """Position times return on a ``share`` of capital, compounded, with the drawdown from a peak of
+    at least 1."""
+    growth = positions.withColumn("strategy_ret", F.col("position") * F.col("ret") * share)
     return drawdown(growth.withColumn("_g", 1.0 + F.col("strategy_ret")), ["symbol"], "_g", seed=1.0).drop("_g")
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewell.operators.keyed import RN, keep_best, ordinal, rolling, step_bucket, time_bucket
+from tapewell.operators.keyed import RN, ordinal, rolling, step_bucket, time_bucket
 from tapewell.session import checkpointed
 
 
@@ -46,10 +46,32 @@ def forward_filled(bars: DataFrame, calendar: DataFrame, limit: int = 3) -> Data
     )
 
 
-def complete_panel(bars: DataFrame, step_seconds: int, limit: int = 3, calendar: DataFrame | None = None) -> DataFrame:
-    """Keep the sessions on which every symbol has a bar after filling; ``_rn`` numbers them."""
+def _fill_inside(filled: DataFrame, columns: Sequence[str], limit: int) -> DataFrame:
+    """Fill single nulls of ``columns`` from real rows at most ``limit`` sessions back."""
+    placed = ordinal(filled, ["symbol"], ["sid"], step_bucket("sid"))
+
+    def seen(f, w):
+        cells = {}
+        for c in columns:
+            known = F.when(~F.col("filled") & F.col(c).isNotNull(), F.struct(F.col("sid").alias("at"), F.col(c).alias("v")))
+            last = F.last(known, ignorenulls=True).over(f(-limit, 0))
+            cells[c] = F.when(F.col("sid") - last["at"] <= limit, last["v"])
+        return cells
+
+    return rolling(placed, ["symbol"], seen, back=limit).drop(RN)
+
+
+def complete_panel(
+    bars: DataFrame, step_seconds: int, limit: int = 3, calendar: DataFrame | None = None, gappy: Sequence[str] = (),
+) -> DataFrame:
+    """Keep the sessions on which every symbol has a bar after filling; ``_rn`` numbers them.
+
+    ``gappy`` names columns that may be null on a real bar; those nulls are filled too.
+    """
     calendar = calendar if calendar is not None else union_calendar(bars, step_seconds)
     filled = checkpointed(forward_filled(bars, calendar, limit))
+    if gappy:
+        filled = checkpointed(_fill_inside(filled, gappy, limit))
     symbols = bars.select(F.count_distinct("symbol")).scalar()
     whole = (
         filled.groupBy("ts", "sid").agg(F.count("close").alias("n"))
@@ -100,11 +122,3 @@ def fill_limits(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *, f
 
     stages = [ahead] + ([behind] if backward else [])
     return rolling(df, keys, *stages, back=forward, fwd=backward)
-
-
-def latest_per_day(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return keep_best(rows, keys, order)
-
-
-def session_index_window(keys: Sequence[str]) -> Window:
-    return Window.partitionBy(*keys).orderBy(RN)

@@ -52,15 +52,15 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], b
     ``bucket`` must not decrease along ``order``; it spreads one key over many tasks.
     """
     keys = list(keys)
-    local = Window.partitionBy(*keys, "_b").orderBy(*order)
-    numbered = checkpointed(df.withColumn("_b", bucket).withColumn("_lr", F.row_number().over(local)))
-    sizes = numbered.groupBy(*keys, "_b").agg(F.max("_lr").cast("bigint").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    local = Window.partitionBy(*keys, "_ord_b").orderBy(*order)
+    numbered = checkpointed(df.withColumn("_ord_b", bucket).withColumn("_ord_lr", F.row_number().over(local)))
+    sizes = numbered.groupBy(*keys, "_ord_b").agg(F.max("_ord_lr").cast("bigint").alias("_ord_n"))
+    before = Window.partitionBy(*keys).orderBy("_ord_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "_ord_b", F.coalesce(F.sum("_ord_n").over(before), F.lit(0)).alias("_ord_start"))
     return (
-        numbered.join(starts, [*keys, "_b"])
-        .withColumn(RN, F.col("_start") + F.col("_lr"))
-        .drop("_b", "_lr", "_start")
+        numbered.join(starts, [*keys, "_ord_b"])
+        .withColumn(RN, F.col("_ord_start") + F.col("_ord_lr"))
+        .drop("_ord_b", "_ord_lr", "_ord_start")
     )
 
 
@@ -200,35 +200,35 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
     keys = list(keys)
     counted = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", value_bucket(F.col("_v")))
+        .groupBy(*keys, F.col(value).cast("double").alias("_q_v"))
+        .agg(F.count(F.lit(1)).alias("_q_n"))
+        .withColumn("_q_b", value_bucket(F.col("_q_v")))
     )
     counted = checkpointed(counted)
-    sizes = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
-    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counted.groupBy(*keys, "_q_b").agg(F.sum("_q_n").alias("_q_bn"))
+    upto = Window.partitionBy(*keys).orderBy("_q_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     sizes = sizes.select(
-        *keys, "_b", "_bn",
-        F.coalesce(F.sum("_bn").over(upto), F.lit(0)).alias("_start"),
-        F.sum("_bn").over(whole).alias("_total"),
+        *keys, "_q_b", "_q_bn",
+        F.coalesce(F.sum("_q_bn").over(upto), F.lit(0)).alias("_q_start"),
+        F.sum("_q_bn").over(whole).alias("_q_total"),
     )
     ranks = {}
     for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("_total") - 1)
+        at = F.lit(float(p)) * (F.col("_q_total") - 1)
         ranks[name] = (F.floor(at), F.ceil(at), at - F.floor(at))
     wanted = None
     for lo, hi, _ in ranks.values():
         for r in (lo, hi):
-            hit = (r >= F.col("_start")) & (r < F.col("_start") + F.col("_bn"))
+            hit = (r >= F.col("_q_start")) & (r < F.col("_q_start") + F.col("_q_bn"))
             wanted = hit if wanted is None else wanted | hit
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    rows = counted.join(sizes.filter(wanted), [*keys, "_b"]).withColumn("_hi", F.col("_start") + F.sum("_n").over(inside))
-    rows = rows.withColumn("_lo", F.col("_hi") - F.col("_n"))
+    inside = Window.partitionBy(*keys, "_q_b").orderBy("_q_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = counted.join(sizes.filter(wanted), [*keys, "_q_b"]).withColumn("_q_hi", F.col("_q_start") + F.sum("_q_n").over(inside))
+    rows = rows.withColumn("_q_lo", F.col("_q_hi") - F.col("_q_n"))
     picks = []
     for name, (lo, hi, frac) in ranks.items():
-        picks.append(F.min(F.when((lo >= F.col("_lo")) & (lo < F.col("_hi")), F.col("_v"))).alias(f"_a_{name}"))
-        picks.append(F.min(F.when((hi >= F.col("_lo")) & (hi < F.col("_hi")), F.col("_v"))).alias(f"_z_{name}"))
+        picks.append(F.min(F.when((lo >= F.col("_q_lo")) & (lo < F.col("_q_hi")), F.col("_q_v"))).alias(f"_a_{name}"))
+        picks.append(F.min(F.when((hi >= F.col("_q_lo")) & (hi < F.col("_q_hi")), F.col("_q_v"))).alias(f"_z_{name}"))
         picks.append(F.max(frac).alias(f"_f_{name}"))
     found = rows.groupBy(*keys).agg(*picks)
     return found.select(

@@ -37,6 +37,8 @@ def bars_d(t: Tables):
     return ft.numbered_bars(t.bars_d(), DAY)
 
 
+# This data moves by whole multiples, so the backtests commit a small share of capital.
+SHARE = 0.005
 W = "WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
 
 
@@ -112,7 +114,7 @@ SELECT *, coalesce(lag(sma_signal) OVER w, 0.0) AS position FROM (
 cte("curve_sql", """
 SELECT *, equity / greatest(1.0, max(equity) OVER (PARTITION BY symbol ORDER BY ts)) - 1 AS drawdown FROM (
   SELECT *, product(1 + strategy_ret) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM (
-    SELECT *, position * ret AS strategy_ret FROM sma_sql))
+    SELECT *, position * ret * 0.005 AS strategy_ret FROM sma_sql))
 """)
 
 
@@ -123,7 +125,7 @@ def _(t):
 
 @query("w10_equity_drawdown", "symbol ts:t strategy_ret:f equity:f drawdown:f", "SELECT * FROM curve_sql")
 def _(t):
-    return backtest.strategy_curve(ft.sma_crossover(bars_h(t)))
+    return backtest.strategy_curve(ft.sma_crossover(bars_h(t)), SHARE)
 
 
 @query("a35_backtest_summary", "symbol total_return:f annualized_return:f annualized_volatility:f sharpe_geo:f max_drawdown:f number_of_trades:i", """
@@ -135,7 +137,7 @@ FROM (SELECT symbol, last(equity ORDER BY ts) - 1 AS tr, count(*) - 1 AS n,
   FROM (SELECT *, row_number() OVER w AS rn, lag(position) OVER w AS prev FROM curve_sql WINDOW w AS (PARTITION BY symbol ORDER BY ts)) GROUP BY symbol)
 """)
 def _(t):
-    return backtest.backtest_summary(backtest.strategy_curve(ft.sma_crossover(bars_h(t))))
+    return backtest.backtest_summary(backtest.strategy_curve(ft.sma_crossover(bars_h(t)), SHARE))
 
 
 cte("panel_cal", "SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS sid FROM (SELECT DISTINCT ts FROM bars_h)")
@@ -346,7 +348,7 @@ def _(t):
 @query("a33_equal_weight", "ts:t ret:f equity:f drawdown:f misaligned:i", """
 SELECT *, equity / greatest(1.0, max(equity) OVER (ORDER BY ts)) - 1 AS drawdown FROM (
   SELECT *, product(1 + ret) OVER (ORDER BY ts) AS equity FROM (
-    SELECT ts, avg(position * ret) AS ret, 5 - count(*) AS misaligned FROM (
+    SELECT ts, avg(position * ret * 0.005) AS ret, 5 - count(*) AS misaligned FROM (
       SELECT symbol, ts, ret, coalesce(lag(CASE WHEN f5 > s20 THEN 1.0 ELSE 0.0 END) OVER w, 0) AS position FROM (
         SELECT symbol, ts, coalesce(close / lag(close) OVER w - 1, 0) AS ret,
           CASE WHEN count(*) OVER (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING) = 5 THEN avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING) END AS f5,
@@ -355,7 +357,7 @@ SELECT *, equity / greatest(1.0, max(equity) OVER (ORDER BY ts)) - 1 AS drawdown
     GROUP BY ts))
 """)
 def _(t):
-    return backtest.equal_weight(backtest.strategy_curve(ft.sma_crossover(panel_h(t))))
+    return backtest.equal_weight(backtest.strategy_curve(ft.sma_crossover(panel_h(t)), SHARE))
 
 
 @query("w30_previous_session", "symbol ts:t prev:t", f"SELECT symbol, ts, lag(ts) OVER w AS prev FROM bars_d {W}")

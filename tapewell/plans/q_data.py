@@ -705,7 +705,7 @@ SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'quarterly' WHEN 1 THEN
 def _(t):
     k = F.col("o_orderkey") % 6
     p = F.when(k == 0, " QTR ").when(k == 1, "Yearly").when(k == 5, "TTM").otherwise("")
-    f = F.when(k == 2, "q3-2024").when(k == 3, "FY2024").when(k == 4, "a2023").otherwise("Q9")
+    f = F.when(k == 2, "q3-2024").when(k == 3, "FY2024").when(k == 4, "a2023").otherwise("H1")
     return t.orders.select(F.col("o_orderkey").alias("id"), sc.normalize_period(p, f).alias("period"))
 
 
