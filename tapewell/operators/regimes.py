@@ -31,7 +31,7 @@ def label_v1(df: DataFrame, keys: Sequence[str], vol: str) -> DataFrame:
 
 def label_v2(vol: Column, trend: Column, vol_high: Column | float, deadzone: float) -> Column:
     """High or low volatility crossed with trend up, down or flat."""
-    side = F.when(trend > deadzone, "trend_up").when(trend < -deadzone, "trend_down").otherwise("flat")
+    side = F.when(trend >= deadzone, "trend_up").when(trend <= -deadzone, "trend_down").otherwise("flat")
     return F.concat(F.when(vol >= vol_high, "high_vol_").otherwise("low_vol_"), side)
 
 
