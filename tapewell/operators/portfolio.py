@@ -6,9 +6,9 @@ Weights are sparse rows ``(run_id, step, symbol, weight)``; a symbol without a r
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,31 +86,34 @@ def cap_turnover(weights: DataFrame, limits: RiskLimits) -> DataFrame:
     vectors = ordinal(
         vectors.select("run_id", "step", F.col("v.symbol").alias("names"), F.col("v.weight").alias("raw")), ["run_id"], ["step"], step_bucket("step"))
 
-    def bound(v: Mapping[str, float]) -> dict[str, float]:
-        out = dict(v)
+    def bound(v: np.ndarray) -> np.ndarray:
         if limits.long_only:
-            out = {k: max(x, 0.0) for k, x in out.items()}
+            v = np.maximum(v, 0.0)
         if limits.max_weight is not None:
-            out = {k: min(x, limits.max_weight) for k, x in out.items()}
-        total = sum(out.values())
-        if total_cap is not None and total > total_cap and total > TINY:
-            out = {k: x * (total_cap / total) for k, x in out.items()}
-        return out
+            v = np.minimum(v, limits.max_weight)
+        total = v.sum()
+        return v * (total_cap / total) if total_cap is not None and total > total_cap and total > TINY else v
 
     def step(state: str, pdf: pd.DataFrame) -> tuple[pd.DataFrame, str]:
-        prev = json.loads(state)
-        runs, steps, names, values = [], [], [], []
-        for run, at, symbols, raw in zip(pdf["run_id"], pdf["step"], pdf["names"], pdf["raw"]):
-            target = bound(dict(zip(symbols, map(float, raw))))
-            keys = sorted(set(target) | set(prev))
-            delta = {k: target.get(k, 0.0) - prev.get(k, 0.0) for k in keys}
-            moved = sum(abs(d) for d in delta.values())
-            if cap is not None and moved > cap + TINY:
-                target = dict(prev) if cap <= TINY else bound({k: prev.get(k, 0.0) + cap / moved * delta[k] for k in keys})
-            prev = {k: x for k, x in target.items() if abs(x) > TINY}
-            for k, x in prev.items():
-                runs.append(run), steps.append(at), names.append(k), values.append(x)
-        return pd.DataFrame({"run_id": runs, "step": steps, "symbol": names, "weight": values}), json.dumps(prev, sort_keys=True)
+        known = json.loads(state)
+        symbols = np.array(sorted({s for names in pdf["names"] for s in names} | set(known)), dtype=object)
+        place = {s: i for i, s in enumerate(symbols)}
+        prev = np.array([known.get(s, 0.0) for s in symbols])
+        path = np.empty((len(pdf), len(symbols)))
+        for i, (names, raw) in enumerate(zip(pdf["names"], pdf["raw"])):
+            target = np.zeros(len(symbols))
+            target[[place[s] for s in names]] = raw
+            target = bound(target)
+            if cap is not None:
+                moved = np.abs(target - prev).sum()
+                if moved > cap + TINY:
+                    target = prev if cap <= TINY else bound(prev + cap / moved * (target - prev))
+            prev = np.where(np.abs(target) <= TINY, 0.0, target)
+            path[i] = prev
+        at, col = np.nonzero(path)
+        out = pd.DataFrame({
+            "run_id": pdf["run_id"].to_numpy()[at], "step": pdf["step"].to_numpy()[at], "symbol": symbols[col], "weight": path[at, col]})
+        return out, json.dumps({s: float(w) for s, w in zip(symbols, prev) if w != 0.0})
 
     return chain(vectors, ["run_id"], step, "{}", "run_id bigint, step bigint, symbol string, weight double")
 
@@ -184,7 +187,7 @@ def shaped_reward(steps: DataFrame, turnover_scale: float = 0.1, drawdown_scale:
         return {"_deeper": F.greatest(F.lit(0.0), F.coalesce(F.lag("drawdown").over(w), F.lit(0.0)) - F.col("drawdown"))}
 
     out = rolling(steps, ["run_id"], deeper, back=1).filter("step > 0")
-    r = (F.ln1p("ret") if hasattr(F, "ln1p") else F.log1p("ret")) - turnover_scale * 0.5 * F.col("turnover") - drawdown_scale * F.col("_deeper")
+    r = F.log1p("ret") - turnover_scale * 0.5 * F.col("turnover") - drawdown_scale * F.col("_deeper")
     r = r - cost_scale * F.col("cost") / F.col("prev_value")
     if clip is not None:
         r = F.greatest(F.lit(-clip), F.least(F.lit(clip), r))
