@@ -158,6 +158,7 @@ def rollout(targets: DataFrame, returns: DataFrame, cost_bp: float = 5.0) -> Dat
     Cost is proportional to turnover and value, so a step multiplies the account by
     (1 - c * turnover) * (1 + sum of weight * return) and the path is a running product.
     """
+    targets = checkpointed(targets)
     steps = checkpointed(number_steps(targets))
     held = targets.join(steps.select("run_id", "day", "step"), ["run_id", "day"]).filter("step > 0")
     earned = held.join(returns, ["symbol", "day"], "left").groupBy("run_id", "step").agg(

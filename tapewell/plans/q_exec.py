@@ -30,15 +30,16 @@ FROM cand_sql c LEFT JOIN g ON g.run_id = c.run_id AND g.step = c.step AND g.sym
 """)
 
 
-def candidates(t: Tables):
-    b = positions(t).join(prices(t), "symbol")
+def candidates(t: Tables, pos=None):
+    b = (positions(t) if pos is None else pos).join(prices(t), "symbol")
     rows = b.withColumn("holding", F.col("prev_weight") * CAPITAL / F.col("price")).withColumn("value", F.lit(CAPITAL))
     return ex.order_candidates(rows, MIN_NOTIONAL)
 
 
 def funded(t: Tables):
-    c = checkpointed(candidates(t))
-    cash = positions(t).groupBy("run_id", "step").agg((CAPITAL * (1.0 - F.sum("prev_weight")) * 0.4).alias("cash"))
+    pos = checkpointed(positions(t))
+    c = checkpointed(candidates(t, pos))
+    cash = pos.groupBy("run_id", "step").agg((CAPITAL * (1.0 - F.sum("prev_weight")) * 0.4).alias("cash"))
     return ex.fund_buys(c, cash)
 
 
@@ -81,8 +82,9 @@ def accounts(t: Tables):
 @query("t06_risk_checks", "run_id:i step:i symbol side qty:f reject_reason", "SELECT * FROM risk_sql")
 def _(t):
     """Account values are in units of 1, so order prices are scaled to match."""
-    orders = candidates(t).select("run_id", "step", "symbol", "side", "qty", (F.col("price") / 100_000.0).alias("price"))
-    return ex.risk_checks(orders, checkpointed(positions(t)), accounts(t), EX)
+    pos = checkpointed(positions(t))
+    orders = candidates(t, pos).select("run_id", "step", "symbol", "side", "qty", (F.col("price") / 100_000.0).alias("price"))
+    return ex.risk_checks(orders, pos, accounts(t), EX)
 
 
 @query("t06b_halts", "run_id:i step:i halt gross:f turnover:f", "SELECT * FROM halt_sql")
@@ -214,7 +216,7 @@ def quality(t: Tables):
     return ex.execution_quality(o.select("run_id", "order_id", "qty", "rejected", "bucket"), o.filter(~F.col("rejected")).select("run_id", "order_id", F.col("fq").alias("qty"), "price", "reference", "side", "fees", "bucket"))
 
 
-@query("a21_execution_quality", "run_id:i bucket fill_rate:f reject_rate:f partial_fill_rate:f avg_slippage_bps:f4 total_fees:f6", "SELECT * FROM quality_sql")
+@query("a21_execution_quality", "run_id:i bucket fill_rate:f10 reject_rate:f10 partial_fill_rate:f10 avg_slippage_bps:f4 total_fees:f6", "SELECT * FROM quality_sql")
 def _(t):
     return quality(t)
 

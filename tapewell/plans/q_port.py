@@ -49,8 +49,9 @@ def steps(t: Tables):
 
 
 def held(t: Tables):
-    days = checkpointed(pf.number_steps(t.run_targets()))
-    return t.run_targets().join(days.select("run_id", "day", "step"), ["run_id", "day"]).filter("step > 0"), pf.last_steps(days)
+    targets = checkpointed(t.run_targets())
+    days = checkpointed(pf.number_steps(targets))
+    return targets.join(days.select("run_id", "day", "step"), ["run_id", "day"]).filter("step > 0"), pf.last_steps(days)
 
 
 def positions(t: Tables):
@@ -83,7 +84,7 @@ def _(t):
     return pf.project(held(t)[0], LIMITS)
 
 
-@query("t03_turnover_cap", "run_id:i step:i symbol weight:f9", """
+@query("t03_turnover_cap", "run_id:i step:i symbol weekly_weight:f8", """
 WITH RECURSIVE t AS (SELECT run_id, step, symbol, CASE WHEN s > 0.4 THEN w * 0.4 / s ELSE w END AS t FROM (SELECT *, sum(w) OVER (PARTITION BY run_id, step) AS s FROM (SELECT *, least(weight, 0.25) AS w FROM held_sql))),
 g AS (SELECT d.run_id, d.step, s.symbol, coalesce(t.t, 0) AS t FROM run_days_sql d CROSS JOIN (SELECT DISTINCT symbol FROM held_sql) s LEFT JOIN t ON t.run_id = d.run_id AND t.step = d.step AND t.symbol = s.symbol WHERE d.step > 0),
 r AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS step, symbol, 0.0::DOUBLE AS w FROM g
@@ -92,11 +93,11 @@ r AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS step, symbol, 0.0::DOUBLE AS
       SELECT run_id, step, symbol, CASE WHEN m > 0.3 + 1e-12 THEN least(greatest(w + 0.3 / m * (t - w), 0), 0.25) ELSE t END AS w2 FROM (
         SELECT g.run_id, g.step, g.symbol, g.t, r.w, sum(abs(g.t - r.w)) OVER (PARTITION BY g.run_id) AS m FROM r JOIN g ON g.run_id = r.run_id AND g.step = r.step + 1 AND g.symbol = r.symbol))))
 SELECT * FROM r WHERE w > 1e-7
-""".replace("SELECT * FROM r WHERE", "SELECT run_id, step, symbol, w AS weight FROM r WHERE"))
+""".replace("SELECT * FROM r WHERE", "SELECT run_id, step, symbol, w / 7.0 AS weekly_weight FROM r WHERE"))
 def _(t):
-    """Projection with a turnover cap, path-dependent per run; remnants below 1e-7 left out."""
+    """Projection with a turnover cap, path-dependent per run: weights over seven days, remnants below 1e-7 left out."""
     out = pf.cap_turnover(held(t)[0], pf.RiskLimits(max_weight=0.25, exposure_cap=0.4, min_cash=0.1, max_turnover=0.3))
-    return out.filter("weight > 1e-7")
+    return out.filter("weight > 1e-7").withColumn("weekly_weight", F.col("weight") / 7.0)
 
 
 @query("t04_rollout", "run_id:i step:i day:d account_value:f ret:f8 cost:f8 turnover:f exposure:f drawdown:f", "SELECT * FROM steps_sql")
@@ -139,13 +140,13 @@ def _(t):
 
 # -- regime features per day -----------------------------------------------------------------
 
-cte("day_regime_sql", "SELECT CAST(l_shipdate AS DATE) AS day, stddev_pop(l_discount) AS vol, avg(l_tax) - 0.04 AS trend, stddev_pop(l_tax) AS dispersion FROM lineitem GROUP BY 1")
+cte("day_regime_sql", "SELECT CAST(l_shipdate AS DATE) AS day, round(stddev_pop(l_discount), 9) AS vol, round(avg(l_tax) - 0.04, 9) AS trend, round(stddev_pop(l_tax), 9) AS dispersion FROM lineitem GROUP BY 1")
 cte("steps_reg_sql", "SELECT * FROM steps_sql JOIN day_regime_sql USING (day)")
 
 
 def day_regime(t: Tables):
     return t.lineitem.groupBy(F.col("l_shipdate").cast("date").alias("day")).agg(
-        F.stddev_pop("l_discount").alias("vol"), (F.avg("l_tax") - 0.04).alias("trend"), F.stddev_pop("l_tax").alias("dispersion"))
+        F.round(F.stddev_pop("l_discount"), 9).alias("vol"), F.round(F.avg("l_tax") - 0.04, 9).alias("trend"), F.round(F.stddev_pop("l_tax"), 9).alias("dispersion"))
 
 
 def steps_regime(t: Tables):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOUR = 3_600
@@ -147,5 +147,5 @@ class Tables:
     def run_targets(self) -> DataFrame:
         """Weight proposals per run (supplier), day and symbol (brand)."""
         w = self.fills().groupBy("run_id", "day", "symbol").agg(F.sum("qty").alias("raw"))
-        tot = w.groupBy("run_id", "day").agg(F.sum("raw").alias("_tot"))
-        return w.join(tot, ["run_id", "day"]).select("run_id", "day", "symbol", (F.col("raw") / (F.col("_tot") + 25.0)).alias("weight"))
+        total = F.sum("raw").over(Window.partitionBy("run_id", "day"))
+        return w.select("run_id", "day", "symbol", (F.col("raw") / (total + 25.0)).alias("weight"))
