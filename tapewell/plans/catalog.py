@@ -115,4 +115,4 @@ def load() -> None:
         importlib.import_module(f"tapewell.plans.{module}")
 
 
-MODULES = ["q_core", "q_data", "q_alt", "q_port", "q_exec"]
+MODULES = ["q_core", "q_data", "q_alt", "q_port", "q_exec", "q_stream"]
