@@ -59,12 +59,33 @@ def ngram_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return slot, doc, n
 
 
-def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed words of every text, each slot once per text: slots, text numbers, number of different slots."""
-    h, _, doc, first = tokens(column)
-    key = np.unique(doc.astype(np.int64) << BITS | _index(h))
-    doc = (key >> BITS).astype(np.int64)
-    return (key & (DIM - 1)).astype(np.int32), doc, np.bincount(doc, minlength=len(first) - 1)
+PREFIXES = (4, 5, 6, 7, 8)
+
+
+def word_keys(column: pa.Array, known: np.ndarray | None = None, bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Different words of every text and their beginnings of 4 to 8 bytes, A-Z lower-cased: 64-bit hashes and text numbers.
+
+    ``known`` marks, by their upper ``bits``, the only hashes of interest.
+    """
+    data, offsets = bytes_of(column)
+    data = LOWER[data]
+    start, end, doc = spans_of((_CLASS[data] == 1).view(np.uint8), offsets)
+    hashes, owners = [], []
+    for k in (None, *PREFIXES):
+        some = slice(None) if k is None else np.flatnonzero(end - start > k)
+        h = hash_spans(data, start[some], end[some] if k is None else start[some] + k)
+        own = doc[some]
+        if known is not None:
+            use = known[(h >> U(64 - bits)).astype(np.int64)]
+            h, own = h[use], own[use]
+        hashes.append(h)
+        owners.append(own)
+    h, doc = np.concatenate(hashes), np.concatenate(owners)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[keep], doc[keep]
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int) -> DataFrame:
@@ -81,21 +102,20 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: C
     return documents.select("doc_id", "text").join(F.broadcast(given), "doc_id").select("doc_id", "text", "y")
 
 
-def sparse_rows(sample: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, y, slots, values): little-endian int32 slots and float32 values of each sampled text."""
+def sparse_rows(sample: DataFrame) -> DataFrame:
+    """(doc_id, y, slots, values): little-endian int32 slots and float32 shares of each sampled text's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 ids, text, y = part.columns
-                slot, doc, n = (ngram_features if kind == "ngrams" else word_features)(text)
+                slot, doc, n = ngram_features(text)
                 out_slots, out_values = [], []
                 bounds = np.searchsorted(doc, np.arange(len(text) + 1))
                 for d in range(len(text)):
                     own, count = np.unique(slot[bounds[d] : bounds[d + 1]], return_counts=True)
-                    value = count / n[d] if kind == "ngrams" and n[d] else count
                     out_slots.append(own.astype("<i4").tobytes())
-                    out_values.append(value.astype("<f4").tobytes())
+                    out_values.append((count / max(n[d], 1)).astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([ids, y, pa.array(out_slots, pa.binary()), pa.array(out_values, pa.binary())], ["doc_id", "y", "slots", "values"])
 
     return sample.mapInArrow(run, "doc_id long, y int, slots binary, values binary")

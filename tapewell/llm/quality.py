@@ -54,7 +54,7 @@ def train(sample: DataFrame) -> np.ndarray:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([ftrl(rows).astype("<f4").tobytes()], pa.binary())], ["weights"])
 
-    rows = sparse_rows(sample, "ngrams").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"))
+    rows = sparse_rows(sample).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"))
     found = rows.mapInArrow(fit, "weights binary").collect()  # one row of 1 MB, whatever the corpus
     if not found:
         return np.append(np.zeros(DIM, np.float32), np.float32(35))
