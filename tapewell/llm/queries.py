@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["q_decontaminate", "q_quality", "q_substring", "q_sharding", "q_secrets", "q_jaccard", "q_bpe", "q_toxicity"]
+MODULES = ["q_decontaminate", "q_quality", "q_substring", "q_sharding", "q_ann", "q_secrets", "q_jaccard", "q_bpe", "q_toxicity"]
 
 
 def query(name: str, oracle: str | None = None):
