@@ -1,44 +1,16 @@
 """The token-group join against all pairs."""
 
 import random
-import re
 
 import pytest
+from tests_llm_brute import components_of
 
 from tapewell.llm import jaccard
 from tapewell.llm.components import components
 
 
-def lower(t):
-    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
-
-
 def brute(rows, words, n, percent):
-    sets = {}
-    for i, t in rows:
-        w = words(lower(t))
-        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
-    root = {i: i for i in sets}
-    links = dict.fromkeys(sets, 0)
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(sets)
-    index = {}
-    for i in ids:
-        for s in sets[i]:
-            index.setdefault(s, []).append(i)
-    for a in ids:
-        for b in {x for s in sets[a] for x in index[s] if x > a}:
-            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                links[a] += 1
-                links[b] += 1
-                ra, rb = find(a), find(b)
-                root[max(ra, rb)] = min(ra, rb)
-    return {(i, len(sets[i]), find(i), links[i]) for i in ids}
+    return {(i, *found) for i, found in components_of(rows, words, n, percent).items()}
 
 
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])

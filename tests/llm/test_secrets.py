@@ -1,49 +1,10 @@
 """Spans and ownership against regular expressions and counts in plain Python."""
 
 import hashlib
-import re
-from collections import defaultdict
 
-from tapewell.llm import q_secrets, secrets
-
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
-
-
-def live_looking(v):
-    return len(v) >= 12 and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and not re.search(r"(.)\1{3}", v)
-
-
-def brute(rows):
-    """rows: (id, text, owner)"""
-    found, owners = [], defaultdict(set)
-    for i, t, owner in rows:
-        t = t or ""
-        base = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
-        base += [(m.start(), 1, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
-        base += [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
-        tokens = [(m.start(), 3, m.end(), m[0]) for m in TOKEN.finditer(t) if len(m[0]) >= 20 and re.search("[0-9]", m[0])]
-        found.append((i, t, sorted(base), tokens))
-        for s in base + tokens:
-            owners[s[3]].add(owner or "")
-    live = {v for v, o in owners.items() if len(o) < 3 and live_looking(v)}
-    kinds = ("assign", "access", "hex", "token")
-    write = lambda spans: ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b, _ in spans)
-    out, texts = [], {}
-    for i, t, base, tokens in found:
-        values = {(b - len(v), b) for _, _, b, v in base}
-        added = [s for s in tokens if s[3] in live and (s[0], s[2]) not in values]
-        cut = sorted((b - len(v), b) for _, _, b, v in base + tokens if v in live)
-        new, at = "", 0
-        for a, b in cut:
-            if a >= at:
-                new += t[at:a] + "[secret]"
-            at = max(at, b)
-        texts[i] = new + t[at:] if cut else t
-        n = [sum(s[1] == k for s in base) for k in range(3)]
-        out.append((i, *n, hashlib.sha256(write(base).encode()).hexdigest(), write(sorted(base + added)), len(cut)))
-    return out, texts
+from tests_llm_brute import secrets_of as brute
 
+from tapewell.llm import q_secrets, secrets
 
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
