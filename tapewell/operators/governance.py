@@ -29,12 +29,7 @@ def long_metrics(*wide: tuple[str, DataFrame]) -> DataFrame:
 
 
 def schema_rows() -> list[tuple[str, str, str]]:
-    rows = []
-    for category, text in mt._SCHEMA.items():
-        for item in text.split():
-            name, way, _ = item.split(":")
-            rows.append((f"{category}.{name}", category, mt._WORDS[way]))
-    return rows
+    return [(f"{category}.{name}", category, direction) for category, name, direction, _ in mt.METRIC_ROWS]
 
 
 def _literal_rows(names: Sequence[str], rows: Sequence[tuple]) -> Column:

@@ -16,27 +16,47 @@ from tapewell.session import checkpointed
 MIN_CAGR_STEPS = 252
 TOL = 1e-9
 
-# Metric ids by category, with direction (h higher, l lower, n neutral) and unit.
-_SCHEMA = {
-    "performance": "total_return:h:ratio cagr:h:ratio volatility_ann:n:ratio sharpe:h:ratio max_drawdown:l:ratio calmar:h:ratio",
-    "trading": "turnover_1d_mean:l:ratio turnover_1d_median:l:ratio turnover_1d_std:l:ratio turnover_1d_p95:l:ratio avg_exposure:n:ratio "
-               "max_concentration:l:ratio hhi_mean:l:ratio tx_cost_total:l:currency tx_cost_bps:l:bps avg_cash:n:ratio",
-    "safety": "nan_inf_violations:l:count action_bounds_violations:l:count constraint_violations_count:l:count max_weight_violation_count:l:count "
-              "exposure_violation_count:l:count turnover_violation_count:l:count",
-    "stability": "mode_churn_rate:l:ratio mode_set_size:n:count cost_curve_span:l:ratio",
-    "execution": "summary.fill_rate:h:ratio summary.reject_rate:l:ratio summary.avg_slippage_bps:l:bps summary.p95_slippage_bps:l:bps "
-                 "summary.total_fees:l:currency summary.turnover_realized:l:ratio summary.execution_halts:l:count summary.partial_fill_rate:l:ratio",
-}
-_WORDS = {"h": "higher_is_better", "l": "lower_is_better", "n": "neutral"}
+# Category, name, direction and unit of every metric.
+METRIC_ROWS = (
+    ("performance", "total_return", "higher_is_better", "ratio"),
+    ("performance", "cagr", "higher_is_better", "ratio"),
+    ("performance", "volatility_ann", "neutral", "ratio"),
+    ("performance", "sharpe", "higher_is_better", "ratio"),
+    ("performance", "max_drawdown", "lower_is_better", "ratio"),
+    ("performance", "calmar", "higher_is_better", "ratio"),
+    ("trading", "turnover_1d_mean", "lower_is_better", "ratio"),
+    ("trading", "turnover_1d_median", "lower_is_better", "ratio"),
+    ("trading", "turnover_1d_std", "lower_is_better", "ratio"),
+    ("trading", "turnover_1d_p95", "lower_is_better", "ratio"),
+    ("trading", "avg_exposure", "neutral", "ratio"),
+    ("trading", "max_concentration", "lower_is_better", "ratio"),
+    ("trading", "hhi_mean", "lower_is_better", "ratio"),
+    ("trading", "tx_cost_total", "lower_is_better", "currency"),
+    ("trading", "tx_cost_bps", "lower_is_better", "bps"),
+    ("trading", "avg_cash", "neutral", "ratio"),
+    ("safety", "nan_inf_violations", "lower_is_better", "count"),
+    ("safety", "action_bounds_violations", "lower_is_better", "count"),
+    ("safety", "constraint_violations_count", "lower_is_better", "count"),
+    ("safety", "max_weight_violation_count", "lower_is_better", "count"),
+    ("safety", "exposure_violation_count", "lower_is_better", "count"),
+    ("safety", "turnover_violation_count", "lower_is_better", "count"),
+    ("stability", "mode_churn_rate", "lower_is_better", "ratio"),
+    ("stability", "mode_set_size", "neutral", "count"),
+    ("stability", "cost_curve_span", "lower_is_better", "ratio"),
+    ("execution", "summary.fill_rate", "higher_is_better", "ratio"),
+    ("execution", "summary.reject_rate", "lower_is_better", "ratio"),
+    ("execution", "summary.avg_slippage_bps", "lower_is_better", "bps"),
+    ("execution", "summary.p95_slippage_bps", "lower_is_better", "bps"),
+    ("execution", "summary.total_fees", "lower_is_better", "currency"),
+    ("execution", "summary.turnover_realized", "lower_is_better", "ratio"),
+    ("execution", "summary.execution_halts", "lower_is_better", "count"),
+    ("execution", "summary.partial_fill_rate", "lower_is_better", "ratio"),
+)
 
 
 def metric_schema(spark: SparkSession) -> DataFrame:
     """The 33 metric definitions as a dimension table."""
-    rows = []
-    for category, text in _SCHEMA.items():
-        for item in text.split():
-            name, way, unit = item.split(":")
-            rows.append((f"{category}.{name}", category, name, _WORDS[way], unit))
+    rows = [(f"{category}.{name}", category, name, direction, unit) for category, name, direction, unit in METRIC_ROWS]
     return spark.createDataFrame(rows, "metric_id string, category string, name string, direction string, unit string")
 
 

@@ -59,21 +59,52 @@ def vendor_usage(selected: DataFrame) -> DataFrame:
     return selected.groupBy("vendor").agg(F.count(F.lit(1)).alias("records"))
 
 
-def latest_filings(rows: DataFrame, keys: Sequence[str], record_vendor: str | None = None) -> DataFrame:
-    """Last filing per key by (filing_date, filing_id); keys with earlier filings are restatements."""
+def pick_vendor_rows(rows: DataFrame, priority: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """All rows of the first vendor in priority order that has the key, with provenance columns.
+
+    The chosen rank per key is one aggregate that goes back to the rows by a join, so a key of any size stays split.
+    """
+    ranked = rows.withColumn("_rank", vendor_rank(priority)).filter(F.col("_rank") > 0)
+    chosen = ranked.groupBy(*keys).agg(F.min("_rank").alias("_rank"))
+    primary = F.col("_rank") == 1
+    return ranked.join(chosen, [*keys, "_rank"], "left_semi").withColumns({
+        "method": F.when(primary, "primary").otherwise("fallback"),
+        "primary_vendor": F.lit(priority[0]),
+        "fallback_vendor": F.when(~primary, F.col("vendor")),
+    }).drop("_rank")
+
+
+def vendor_coverage(rows: DataFrame, priority: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """One row: keys, keys without the primary vendor and their share, records chosen and those from a fallback."""
+    ranked = rows.withColumn("_rank", vendor_rank(priority)).filter(F.col("_rank") > 0)
+    per = ranked.groupBy(*keys, "_rank").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.min(F.struct("_rank", "_n")).alias("_c"))
+    missing = (F.col("_c._rank") > 1).cast("bigint")
+    out = per.agg(
+        F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum(missing), F.lit(0)).alias("missing_primary"),
+        F.coalesce(F.sum("_c._n"), F.lit(0)).alias("records"), F.coalesce(F.sum(missing * F.col("_c._n")), F.lit(0)).alias("fallback_records"))
+    return out.withColumn("percent_missing_primary", F.coalesce(F.try_divide(F.col("missing_primary").cast("double"), F.col("keys")), F.lit(0.0)))
+
+
+def latest_filings(rows: DataFrame, keys: Sequence[str], priority: Sequence[str] | None = None) -> DataFrame:
+    """The first vendor that has the key, then its last filing by (filing_date, filing_id).
+
+    ``method`` is ``restatement`` if that vendor has earlier filings of the key, else ``record_vendor`` for the first
+    vendor and ``fallback`` for the others; without ``priority`` all rows are the vendor of record's.
+    """
+    if priority is not None:
+        rows = pick_vendor_rows(rows, priority, keys).drop("primary_vendor", "fallback_vendor")
     best = keep_best(rows, keys, ["filing_date", "filing_id"])
-    n = rows.groupBy(*keys).agg(F.count(F.nullif("filing_id", F.lit(""))).alias("_n"), F.count(F.lit(1)).alias("_all"))
+    n = rows.groupBy(*keys).agg(F.count(F.nullif("filing_id", F.lit(""))).alias("_n"))
     out = best.join(n, list(keys))
     older = F.col("_n") - F.when(F.coalesce(F.col("filing_id"), F.lit("")) != "", 1).otherwise(0)
-    base = F.lit("record_vendor")
-    if record_vendor is not None and "vendor" in rows.columns:
-        base = F.when(F.col("vendor") == record_vendor, "record_vendor").otherwise("fallback")
-    return out.withColumn("superseded", older).withColumn(
-        "method", F.when(older > 0, "restatement").otherwise(base)).drop("_n", "_all")
+    base = F.lit("record_vendor") if priority is None else F.when(F.col("method") == "primary", "record_vendor").otherwise("fallback")
+    return out.withColumn("superseded", older).withColumn("method", F.when(older > 0, "restatement").otherwise(base)).drop("_n")
 
 
-def superseded_filings(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The filings a later one replaced, one row each."""
+def superseded_filings(rows: DataFrame, keys: Sequence[str], priority: Sequence[str] | None = None) -> DataFrame:
+    """The filings of the chosen vendor that a later one of its own replaced, one row each."""
+    if priority is not None:
+        rows = pick_vendor_rows(rows, priority, keys)
     ids = [*keys, "filing_date", "filing_id"]
     best = keep_best(rows, keys, ["filing_date", "filing_id"]).select(*ids)
     return rows.join(best, ids, "left_anti").filter(F.coalesce(F.col("filing_id"), F.lit("")) != "").select(*ids)

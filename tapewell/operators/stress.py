@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewell.operators import metrics as mt
 from tapewell.operators.keyed import quantiles
-from tapewell.operators.regimes import HIGH, LOW, MID, V2_BUCKETS, contiguous_windows, label_v2
+from tapewell.operators.regimes import V2_BUCKETS, contiguous_windows, label_v2
 
 
 def _inside(ts: str, start: str, end: str) -> Column:
@@ -61,16 +61,22 @@ def stress_rollup(gates: DataFrame, scenario: str = "scenario") -> DataFrame:
     )
 
 
-# Names a scenario may give to regime labels.
+# The labels that each filter name covers.
 ALIASES = {
-    "high_vol": (HIGH,), "crash": (HIGH,), "stress": (HIGH,), "volatile": (HIGH,), "low_vol": (LOW,), "calm": (LOW,),
-    "mid_vol": (MID,), "normal": (MID,), "trending": (LOW, MID),
+    "crash": ("high_vol", "high_vol_trend_down"),
+    "high_vol": ("high_vol", "high_vol_trend_up", "high_vol_trend_down", "high_vol_flat"),
+    "low_vol": ("low_vol", "low_vol_trend_up", "low_vol_trend_down", "low_vol_flat"),
+    "mid_vol": ("mid_vol",),
+    "trending": ("low_vol_trend_up", "high_vol_trend_up"),
+    "trend_up": ("low_vol_trend_up", "high_vol_trend_up"),
+    "trend_down": ("low_vol_trend_down", "high_vol_trend_down"),
 }
 
 
 def find_windows(labelled: DataFrame, wanted: str, min_rows: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Contiguous windows of the labels an alias stands for."""
-    return contiguous_windows(labelled, list(keys), "label", ALIASES.get(wanted, (wanted,)), min_rows)
+    """Contiguous windows of the labels a filter name covers; other names are labels themselves."""
+    name = wanted.lower().strip()
+    return contiguous_windows(labelled, list(keys), "label", ALIASES.get(name, (name,)), min_rows)
 
 
 def bucket_distribution(days: DataFrame, vol: str, trend: str, vol_high: float, deadzone: float, min_share: float) -> DataFrame:
@@ -87,6 +93,7 @@ def fit_threshold(days: DataFrame, vol: str, p: float = 0.90) -> DataFrame:
     return quantiles(days, [], vol, {"vol_high": p})
 
 
+# Numbers of months.
 MONTH_CHOICES = (1, 3, 4, 6, 12)
 
 

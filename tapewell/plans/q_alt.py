@@ -12,6 +12,7 @@ from tapewell.operators.calendars import dense_grid, union_calendar
 from tapewell.operators.keyed import RN
 from tapewell.plans import registry
 from tapewell.plans.catalog import CTES, cte, query
+from tapewell.session import checkpointed
 from tapewell.sources.tables import DAY, Tables
 
 # -- fundamentals ----------------------------------------------------------------------------
@@ -317,9 +318,11 @@ def _(t):
     return ins.relevant(t.insider_trades(), ins.dollar_volume(seg_numbered(t)))
 
 
-@query("a08_insider_flows", "symbol rn:i buy:f2 sell:f2 score:f", "SELECT * FROM flows_sql WHERE buy > 0 OR sell > 0")
+@query("a08_insider_flows", "symbol rn:i buy:f2 sell:f2 score:f", "SELECT * FROM flows_sql")
 def _(t):
-    return ins.session_flows(ins.relevant(t.insider_trades(), ins.dollar_volume(seg_numbered(t)))).withColumn("rn", F.col(RN)).filter("buy > 0 or sell > 0")
+    adv = checkpointed(ins.dollar_volume(seg_numbered(t)))
+    flows = ins.session_flows(ins.relevant(t.insider_trades(), adv)).select("symbol", RN, "buy", "sell", "score")
+    return adv.select("symbol", RN).join(flows, ["symbol", RN], "left").fillna(0.0).withColumn("rn", F.col(RN))
 
 
 @query("w23_insider_ratio", "symbol ts:t insider_filtered_bsr_30d:f insider_cluster_score_10d:f", "SELECT * FROM insider_sql")
@@ -355,7 +358,7 @@ for _n in ("xret_sql", "market_ts_sql", "corr_sql", "market_sql"):
     cte(f"{_n}_u", re.sub(r"\b(xret_sql|market_ts_sql|corr_sql|market_sql)\b", r"\1_u", CTES[_n]).replace("panel_sql", "seg3"))
 
 CORE = "ret_1:f ret_5:f ret_21:f rv_21:f rv_63:f dist_from_20d_high:f dist_from_20d_low:f log_vol_z20:f4"
-XS = "ret_1d:f ret_5d:f vol_10d:f sma_20_dist:f rel_strength_20d:f trend_strength_20d:f4 ret_1d_rank:f ret_5d_rank:f liquidity_rank:f"
+XS = "ret_1d:f ret_5d:f vol_10d:f sma_20_dist:f ret_1d_z:f4 ret_5d_z:f4 vol_10d_z:f3 volume_zscore_20d:f4 rel_strength_20d:f trend_strength_20d:f4 ret_1d_rank:f ret_5d_rank:f liquidity_rank:f"
 XM = "market_ret_1d:f market_vol_20d:f market_vol_of_vol_20d:f dispersion_1d:f dispersion_5d:f breadth_up_1d:f breadth_down_1d:f breadth_up_5d:f corr_mean_20d:f corr_spike_20d:f"
 RG = "market_vol_20d:f market_trend_20d:f dispersion_20d:f corr_mean_20d:f"
 FU = "fund_ttm_revenue:f2 fund_ttm_net_income:f2 fund_total_assets:f fund_row_valid:b fund_stale:b"

@@ -197,9 +197,9 @@ FROM xret_sql WINDOW x AS (PARTITION BY ts)
 """)
 
 
-@query("w08_xsec_zscore", "symbol ts:t ret_1d_z:f5 ret_5d_z:f5 vol_10d_z:f4 volume_zscore_20d:f5 rel_strength_20d:f4", "SELECT * FROM xsec_sql WHERE rn > 6")
+@query("w08_xsec_zscore", "symbol ts:t ret_1d_z:f5 ret_5d_z:f5 vol_10d_z:f4 volume_zscore_20d:f5 rel_strength_20d:f4", "SELECT * FROM xsec_sql")
 def _(t):
-    return ft.cross_section(ft.panel_returns(panel_h(t))).filter(F.col(RN) > 6)
+    return ft.cross_section(ft.panel_returns(panel_h(t)))
 
 
 @query("w09_xsec_rank", "symbol ts:t ret_1d_rank:f ret_5d_rank:f liquidity_rank:f", "SELECT * FROM xsec_sql")

@@ -246,15 +246,15 @@ def _(t):
 
 @query("k02_daily_partitions", "underlying date:d contracts:i open_interest:f", """
 SELECT p_brand AS underlying, l_shipdate AS date, count(DISTINCT l_partkey) AS contracts, sum(l_quantity) AS open_interest
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate BETWEEN TIMESTAMP '1998-03-01' AND TIMESTAMP '1998-03-31' GROUP BY 1, 2
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2
 """)
 def _(t):
-    """Option timeseries by day folders; the month asked for is the only one read back."""
+    """Option timeseries by year and month folders, read back whole."""
     path = scratch_path(t.spark, "option-days")
     oi = t.option_interest().join(t.option_reference().select("option_symbol", "underlying"), "option_symbol")
     parts = {"year": F.year("date"), "month": F.month("date")}
     sinks.write_sorted(oi.withColumns(parts), path, ["year", "month"], ["date", "option_symbol"])
-    back = t.spark.read.parquet(path).filter((F.col("year") == 1998) & (F.col("month") == 3))
+    back = t.spark.read.parquet(path)
     return back.groupBy("underlying", "date").agg(F.count(F.lit(1)).alias("contracts"), F.sum("open_interest").alias("open_interest"))
 
 
@@ -281,6 +281,21 @@ def _(t):
     return t.spark.read.parquet(path).withColumn("note", F.coalesce("note", F.lit("a")))
 
 
+@query("k04b_schema_growth", "ticker name filing_date transaction_value:f2 note other", """
+SELECT symbol AS ticker, name, CAST(filing_date AS VARCHAR) AS filing_date, value AS transaction_value, CASE WHEN year(filing_date) = 1998 AND any_value(id) % 4 = 0 THEN 'b' END AS note,
+  CASE WHEN year(filing_date) = 1998 AND any_value(id) % 4 = 1 THEN 'c' END AS other FROM insider_trades GROUP BY symbol, name, filing_date, value, security_title, id
+""")
+def _(t):
+    """A column that came with one year's rows outlives another upsert of that year with a column of its own."""
+    path = scratch_path(t.spark, "insiders")
+    i = t.insider_trades().select(F.col("symbol").alias("ticker"), "name", F.col("filing_date").cast("string").alias("filing_date"), F.col("value").alias("transaction_value"), "security_title", F.col("id").alias("seq"))
+    late = i.filter("substring(filing_date, 1, 4) = '1998'")
+    sinks.write_policy(i, path, "insider_trades", "seq")
+    sinks.write_policy(late.filter("seq % 4 = 0").withColumn("note", F.lit("b")), path, "insider_trades", "seq")
+    sinks.write_policy(late.filter("seq % 4 = 1").withColumn("other", F.lit("c")), path, "insider_trades", "seq")
+    return sinks.read_if_exists(t.spark, path)
+
+
 @query("k05_surface_upsert", "symbol date:d iv:f8", "SELECT symbol, CAST(ts AS DATE) AS date, arg_max(close, vendor) AS iv FROM vendor_bars GROUP BY 1, 2")
 def _(t):
     """Surface rows by (symbol, date); three writes, the newest wins."""
@@ -433,23 +448,65 @@ def _(t):
     return rc.reconciliation_metrics(t.vendor_bars(), VENDORS)
 
 
-@query("w16_latest_filing", "symbol report_date:d period filing_id superseded:i method", """
-SELECT symbol, report_date, period, CASE WHEN month(report_date) = 6 THEN 'B' ELSE 'A' END AS filing_id, CASE WHEN month(report_date) = 6 THEN 1 ELSE 0 END AS superseded,
-  CASE WHEN month(report_date) = 6 THEN 'restatement' ELSE 'record_vendor' END AS method FROM filings
+@query("w16_latest_filing", "symbol report_date:d period vendor filing_id superseded:i method", """
+SELECT symbol, report_date, period, CASE WHEN month(report_date) = 9 THEN 'v1' ELSE 'v0' END AS vendor, CASE month(report_date) WHEN 6 THEN 'B' WHEN 9 THEN 'C' ELSE 'A' END AS filing_id,
+  CASE WHEN month(report_date) = 6 THEN 1 ELSE 0 END AS superseded, CASE month(report_date) WHEN 6 THEN 'restatement' WHEN 9 THEN 'fallback' ELSE 'record_vendor' END AS method FROM filings
 """)
 def _(t):
-    return rc.latest_filings(restated(t), ["symbol", "report_date", "period"])
+    return rc.latest_filings(restated(t), ["symbol", "report_date", "period"], VENDORS)
 
 
 @query("w16b_superseded_filings", "symbol report_date:d period filing_id", "SELECT symbol, report_date, period, 'A' AS filing_id FROM filings WHERE month(report_date) = 6")
 def _(t):
-    return rc.superseded_filings(restated(t), ["symbol", "report_date", "period"])
+    return rc.superseded_filings(restated(t), ["symbol", "report_date", "period"], VENDORS)
 
 
 def restated(t: Tables):
-    f = t.filings().withColumn("filing_id", F.lit("A"))
-    again = f.filter(F.month("report_date") == 6).withColumns({"filing_id": F.lit("B"), "filing_date": F.date_add("filing_date", 30)})
-    return f.unionByName(again)
+    """Three vendors whose filing dates cross: the vendor of record lacks September and restates June, the next files
+    60 days later, the last five days earlier."""
+    f = t.filings()
+    by = lambda rows, vendor, number, days: rows.withColumns({"vendor": F.lit(vendor), "filing_id": F.lit(number), "filing_date": F.date_add("filing_date", days)})
+    own = by(f.filter(F.month("report_date") != 9), "v0", "A", 0).unionByName(by(f.filter(F.month("report_date") == 6), "v0", "B", 30))
+    return own.unionByName(by(f, "v1", "C", 60)).unionByName(by(f, "v2", "D", -5))
+
+
+cte("option_vendor_sql", """
+SELECT p_brand AS underlying, p_partkey AS id, 'v' || (p_partkey % 3) AS vendor FROM part WHERE NOT (p_partkey % 3 = 0 AND p_brand LIKE '%1') AND NOT (p_partkey % 3 = 1 AND p_brand LIKE '%11')
+""")
+
+
+def option_vendors(t: Tables):
+    """Contracts by vendor; two fifths of the underlyings lack a vendor or two."""
+    k = F.col("p_partkey") % 3
+    lost = ((k == 0) & F.col("p_brand").endswith("1")) | ((k == 1) & F.col("p_brand").endswith("11"))
+    return t.part.filter(~lost).select(F.col("p_brand").alias("underlying"), F.col("p_partkey").alias("id"), F.concat(F.lit("v"), k.cast("string")).alias("vendor"))
+
+
+@query("j01b_option_vendor", "underlying id:i vendor method primary_vendor fallback_vendor", """
+SELECT o.underlying, id, vendor, CASE WHEN vendor = 'v0' THEN 'primary' ELSE 'fallback' END AS method, 'v0' AS primary_vendor, nullif(vendor, 'v0') AS fallback_vendor
+FROM option_vendor_sql o JOIN (SELECT underlying, min(vendor) AS v FROM option_vendor_sql GROUP BY 1) m ON m.underlying = o.underlying AND v = vendor
+""")
+def _(t):
+    return rc.pick_vendor_rows(option_vendors(t), VENDORS, ["underlying"])
+
+
+@query("a04b_vendor_coverage", "keys:i missing_primary:i records:i fallback_records:i percent_missing_primary:f", """
+SELECT count(*) AS keys, count(*) FILTER (WHERE v <> 'v0') AS missing_primary, sum(n) AS records, coalesce(sum(n) FILTER (WHERE v <> 'v0'), 0) AS fallback_records, avg(CAST(v <> 'v0' AS DOUBLE)) AS percent_missing_primary
+FROM (SELECT o.underlying, v, count(*) AS n FROM option_vendor_sql o JOIN (SELECT underlying, min(vendor) AS v FROM option_vendor_sql GROUP BY 1) m ON m.underlying = o.underlying AND v = vendor GROUP BY 1, 2)
+""")
+def _(t):
+    return rc.vendor_coverage(option_vendors(t), VENDORS, ["underlying"])
+
+
+@query("j01c_insider_vendor", "symbol filing_date:d id:i vendor method", """
+WITH i AS (SELECT symbol, filing_date, id, 'v' || (id % 3) AS vendor FROM insider_trades)
+SELECT i.symbol, i.filing_date, id, vendor, CASE WHEN vendor = 'v0' THEN 'primary' ELSE 'fallback' END AS method
+FROM i JOIN (SELECT symbol, filing_date, min(vendor) AS v FROM i GROUP BY 1, 2) m ON m.symbol = i.symbol AND m.filing_date = i.filing_date AND v = vendor
+""")
+def _(t):
+    """One vendor per symbol and filing day, all of its trades kept."""
+    i = t.insider_trades().select("symbol", "filing_date", "id", F.concat(F.lit("v"), (F.col("id") % 3).cast("string")).alias("vendor"))
+    return rc.pick_vendor_rows(i, VENDORS, ["symbol", "filing_date"])
 
 
 # The bars of this data jump far more than real prices: the thresholds are set so that each rule fires.
@@ -485,14 +542,13 @@ def _(t):
     return flagged(t)
 
 
-@query("w27_anomaly_clip", "symbol ts:t open:f high:f low:f close:f", """
-SELECT symbol, ts, CASE WHEN b THEN mean_close ELSE round(open, 7) END AS open, CASE WHEN b THEN mean_close ELSE round(high, 7) END AS high,
-  CASE WHEN b THEN mean_close ELSE round(low, 7) END AS low, CASE WHEN b THEN mean_close ELSE round(close, 7) END AS close
-FROM (SELECT *, ohlc_invalid OR return_outlier OR median_jump AS b FROM flag_sql) WHERE b
+@query("w27_anomaly_clip", "symbol ts:t open:f7 high:f7 low:f7 close:f7", """
+SELECT symbol, ts, CASE WHEN b THEN mean_close ELSE open END AS open, CASE WHEN b THEN mean_close ELSE high END AS high,
+  CASE WHEN b THEN mean_close ELSE low END AS low, CASE WHEN b THEN mean_close ELSE close END AS close
+FROM (SELECT *, ohlc_invalid OR return_outlier OR median_jump AS b FROM flag_sql)
 """)
 def _(t):
-    bad = F.col("ohlc_invalid") | F.col("return_outlier") | F.col("median_jump")
-    return rc.apply_action(flagged(t), "clip").filter(bad)
+    return rc.apply_action(flagged(t), "clip")
 
 
 @query("w27b_anomaly_drop", "symbol ts:t close:f8", "SELECT * FROM flag_sql WHERE NOT (ohlc_invalid OR return_outlier OR median_jump)")
@@ -520,11 +576,13 @@ def _(t):
 
 
 @query("u02_schema_union", "symbol ts:t close:f8 volume:f", """
-SELECT symbol, ts, close, NULL AS volume FROM vendor_bars WHERE vendor = 'v0' UNION ALL SELECT symbol, ts, NULL, volume FROM vendor_bars WHERE vendor = 'v1'
+SELECT symbol, ts, close, NULL AS volume FROM vendor_bars WHERE vendor = 'v0' UNION ALL SELECT symbol, ts, NULL, volume FROM vendor_bars WHERE vendor = 'v1' UNION ALL SELECT symbol, ts, close, volume FROM vendor_bars WHERE vendor = 'v2'
 """)
 def _(t):
     b = t.vendor_bars()
-    return b.filter("vendor = 'v0'").select("symbol", "ts", "close").unionByName(b.filter("vendor = 'v1'").select("symbol", "ts", "volume"), allowMissingColumns=True)
+    own = lambda v, *c: b.filter(F.col("vendor") == v).select("symbol", "ts", *c)
+    out = own("v0", "close").unionByName(own("v1", "volume"), allowMissingColumns=True)
+    return out.unionByName(own("v2", "close", "volume"))
 
 
 @query("u06_column_merge", "symbol ts:t ret_1:f rv_21:f rv_63:f", "SELECT * FROM core_sql")

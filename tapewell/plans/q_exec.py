@@ -48,13 +48,13 @@ def _(t):
     return funded(t)
 
 
-@query("l04_cash_allocation", "run_id:i step:i bought_week_share:f5 short:i", """
-SELECT run_id, step, sum(filled_qty * price) / 7.0 AS bought_week_share, count(*) FILTER (WHERE reason IN ('insufficient_cash', 'partial_fill_due_to_cash')) AS short FROM funded_sql WHERE side = 'BUY' GROUP BY 1, 2
+@query("l04_cash_allocation", "run_id:i step:i bought:f1 short:i", """
+SELECT run_id, step, sum(filled_qty * price) AS bought, count(*) FILTER (WHERE reason IN ('insufficient_cash', 'partial_fill_due_to_cash')) AS short FROM funded_sql WHERE side = 'BUY' GROUP BY 1, 2
 """)
 def _(t):
-    """Notional bought (spread over seven days) and orders cut short per step, the largest served first."""
+    """Notional bought and orders cut short per step, the largest served first."""
     short = F.coalesce(F.col("reason").isin("insufficient_cash", "partial_fill_due_to_cash"), F.lit(False))
-    return funded(t).filter("side = 'BUY'").groupBy("run_id", "step").agg((F.sum(F.col("filled_qty") * F.col("price")) / 7.0).alias("bought_week_share"), F.count_if(short).alias("short"))
+    return funded(t).filter("side = 'BUY'").groupBy("run_id", "step").agg(F.sum(F.col("filled_qty") * F.col("price")).alias("bought"), F.count_if(short).alias("short"))
 
 
 # -- risk checks -----------------------------------------------------------------------------
@@ -155,26 +155,6 @@ def _(t):
     return filled(t).withColumn("fill_to_close", F.col("fill_price") / F.col("close"))
 
 
-@query("t08b_fill_carry_over", "symbol rn:i prev_weight:f executed:f fill_to_close:f", """
-WITH RECURSIVE b AS (SELECT symbol, rn, target, order_type, off, high, close, nopen, nh, bh, bl FROM band_sql),
-r AS (SELECT symbol, CAST(0 AS BIGINT) AS rn, 0.0::DOUBLE AS prev_weight, 0.0::DOUBLE AS executed, NULL::DOUBLE AS fill_price, NULL::DOUBLE AS anchor FROM (SELECT DISTINCT symbol FROM b)
-  UNION ALL SELECT symbol, rn, held, CASE WHEN fp IS NOT NULL THEN target ELSE held END, fp, CASE WHEN fp IS NULL THEN a WHEN target <= 0 THEN NULL ELSE greatest(coalesce(a, nh), nh) END FROM (
-    SELECT *, CASE WHEN abs(target - held) > 1e-12 AND nopen IS NOT NULL THEN CASE
-        WHEN order_type = 'market' OR (target > held AND order_type <> 'limit') THEN nopen
-        WHEN order_type = 'limit' AND target > held THEN CASE WHEN bl <= close * (1 - off) THEN close * (1 - off) END
-        WHEN order_type = 'limit' THEN CASE WHEN bh >= close * (1 + off) THEN close * (1 + off) END
-        WHEN order_type = 'stop_loss' THEN CASE WHEN bl <= close * (1 - off) THEN close * (1 - off) END
-        ELSE CASE WHEN bl <= coalesce(a, close) * (1 - off) THEN coalesce(a, close) * (1 - off) END END END AS fp FROM (
-      SELECT b.*, r.executed AS held, CASE WHEN r.executed > 0 THEN greatest(coalesce(r.anchor, b.high), b.high) ELSE r.anchor END AS a FROM r JOIN b ON b.symbol = r.symbol AND b.rn = r.rn + 1)))
-SELECT r.symbol, r.rn, r.prev_weight, r.executed, r.fill_price / b.close AS fill_to_close FROM r JOIN b ON b.symbol = r.symbol AND b.rn = r.rn
-""")
-def _(t):
-    """Unfilled changes stay open and the trailing anchor follows the weight really held."""
-    rows = checkpointed(sim_rows(t))
-    out = ex.carry_orders(rows, SHRINK, SLIP).join(rows.select("symbol", RN, "close"), ["symbol", RN])
-    return out.withColumn("rn", F.col(RN)).withColumn("fill_to_close", F.col("fill_price") / F.col("close"))
-
-
 @query("a31_simulation_totals", "symbol target_notional:f4 filled_notional:f4 unfilled_notional:f4 fill_ratio:f slippage_bps:f4 n_market:i n_limit:i n_stop_loss:i n_trailing_stop:i", f"""
 SELECT symbol, sum(s) AS target_notional, coalesce(sum(s) FILTER (WHERE filled), 0) AS filled_notional, coalesce(sum(s) FILTER (WHERE NOT filled), 0) AS unfilled_notional, coalesce(sum(s) FILTER (WHERE filled), 0) / sum(s) AS fill_ratio,
   coalesce(sum(abs(fill_price - close) / close * s) FILTER (WHERE filled) / sum(s) FILTER (WHERE filled) * 10000, 0) AS slippage_bps, count(*) FILTER (WHERE kind = 'market') AS n_market, count(*) FILTER (WHERE kind = 'limit') AS n_limit,
@@ -189,16 +169,16 @@ def _(t):
 
 cte("fills_sql", """
 SELECT l_suppkey AS run_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS order_id, CASE WHEN l_discount >= 0.09 THEN floor(l_quantity / 2) ELSE l_quantity END AS fq, l_quantity AS qty, l_extendedprice / l_quantity AS price, p_retailprice AS reference,
-  CASE WHEN l_linestatus = 'O' THEN 'buy' ELSE 'sell' END AS side, l_extendedprice * 0.0001 AS fees, l_returnflag AS bucket, l_returnflag = 'R' AND l_tax >= 0.07 AS rejected FROM lineitem JOIN part ON l_partkey = p_partkey
+  CASE WHEN l_linestatus = 'O' THEN 'buy' ELSE 'sell' END AS side, l_extendedprice * 0.0001 AS fees, l_returnflag AS bucket, l_returnflag = 'R' AND l_tax >= 0.07 AS rejected, l_tax < 0.01 AND l_discount >= 0.05 AS unfilled FROM lineitem JOIN part ON l_partkey = p_partkey
 """)
 cte("quality_sql", """
-WITH f AS (SELECT *, (price - reference) / reference * 10000 * CASE WHEN side = 'buy' THEN 1 ELSE -1 END AS slip, fq * reference AS notional FROM fills_sql WHERE NOT rejected),
+WITH f AS (SELECT *, (price - reference) / reference * 10000 * CASE WHEN side = 'buy' THEN 1 ELSE -1 END AS slip, fq * reference AS notional FROM fills_sql WHERE NOT rejected AND NOT unfilled),
 f2 AS (SELECT *, bucket AS g FROM f UNION ALL SELECT *, 'all' AS g FROM f), o AS (SELECT *, bucket AS g FROM fills_sql UNION ALL SELECT *, 'all' AS g FROM fills_sql),
 c AS (SELECT run_id, g, slip, sum(notional) OVER (PARTITION BY run_id, g ORDER BY slip) AS cum, sum(notional) OVER (PARTITION BY run_id, g) AS tot FROM f2),
 p AS (SELECT run_id, g, min(slip) FILTER (WHERE cum >= 0.95 * tot) AS p95 FROM c GROUP BY 1, 2),
 s AS (SELECT run_id, g, sum(slip * notional) / sum(notional) AS avg_slip, sum(fees) AS fees FROM f2 GROUP BY 1, 2),
-n AS (SELECT run_id, g, count(*) FILTER (WHERE NOT rejected) AS sub, count(*) FILTER (WHERE rejected) AS rej, count(*) FILTER (WHERE NOT rejected AND fq > 0 AND fq < qty) AS part FROM o GROUP BY 1, 2)
-SELECT n.run_id, n.g AS bucket, CASE WHEN sub = 0 THEN 1.0 ELSE 1.0 END AS fill_rate, CASE WHEN sub = 0 THEN 0 ELSE rej / CAST(sub + rej AS DOUBLE) END AS reject_rate, part / CAST(greatest(sub, 1) AS DOUBLE) AS partial_fill_rate,
+n AS (SELECT run_id, g, count(*) FILTER (WHERE NOT rejected) AS sub, count(*) FILTER (WHERE NOT rejected AND NOT unfilled) AS fil, count(*) FILTER (WHERE rejected) AS rej, count(*) FILTER (WHERE NOT rejected AND NOT unfilled AND fq > 0 AND fq < qty) AS part FROM o GROUP BY 1, 2)
+SELECT n.run_id, n.g AS bucket, CASE WHEN sub = 0 THEN 1.0 ELSE fil / CAST(sub AS DOUBLE) END AS fill_rate, CASE WHEN sub = 0 THEN 0 ELSE rej / CAST(sub + rej AS DOUBLE) END AS reject_rate, part / CAST(greatest(sub, 1) AS DOUBLE) AS partial_fill_rate,
   coalesce(avg_slip, 0) AS avg_slippage_bps, coalesce(p95, 0) AS p95_slippage_bps, coalesce(fees, 0) AS total_fees FROM n LEFT JOIN s USING (run_id, g) LEFT JOIN p USING (run_id, g)
 """)
 
@@ -208,12 +188,12 @@ def order_rows(t: Tables):
     oid = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
     rejected = (F.col("bucket") == "R") & (F.col("l_tax") >= 0.07)
     part = F.when(F.col("fee_rate") >= 0.09, F.floor(F.col("qty") / 2).cast("double")).otherwise(F.col("qty"))
-    return f.select("run_id", oid.alias("order_id"), "qty", part.alias("fq"), "price", "reference", "side", (F.col("price") * F.col("qty") * 0.0001).alias("fees"), "bucket", rejected.alias("rejected"), "symbol")
+    return f.select("run_id", oid.alias("order_id"), "qty", part.alias("fq"), "price", "reference", "side", (F.col("price") * F.col("qty") * 0.0001).alias("fees"), "bucket", rejected.alias("rejected"), ((F.col("l_tax") < 0.01) & (F.col("fee_rate") >= 0.05)).alias("unfilled"), "symbol")
 
 
 def quality(t: Tables):
     o = order_rows(t)
-    return ex.execution_quality(o.select("run_id", "order_id", "qty", "rejected", "bucket"), o.filter(~F.col("rejected")).select("run_id", "order_id", F.col("fq").alias("qty"), "price", "reference", "side", "fees", "bucket"))
+    return ex.execution_quality(o.select("run_id", "order_id", "qty", "rejected", "bucket"), o.filter(~F.col("rejected") & ~F.col("unfilled")).select("run_id", "order_id", F.col("fq").alias("qty"), "price", "reference", "side", "fees", "bucket"))
 
 
 @query("a21_execution_quality", "run_id:i bucket fill_rate:f10 reject_rate:f10 partial_fill_rate:f10 avg_slippage_bps:f4 total_fees:f6", "SELECT * FROM quality_sql")
@@ -269,13 +249,14 @@ FROM (SELECT *, lag(mode) OVER (PARTITION BY run_id ORDER BY step) AS prev FROM
 """)
 cte("exec_sql", """
 SELECT q.run_id, fill_rate AS "summary.fill_rate", reject_rate AS "summary.reject_rate", avg_slippage_bps AS "summary.avg_slippage_bps", p95_slippage_bps AS "summary.p95_slippage_bps", total_fees AS "summary.total_fees",
-  turnover AS "summary.turnover_realized", 0.0 AS "summary.execution_halts", partial_fill_rate AS "summary.partial_fill_rate" FROM quality_sql q JOIN (SELECT run_id, sum(turnover) AS turnover FROM steps_sql GROUP BY 1) USING (run_id) WHERE bucket = 'all'
+  turnover AS "summary.turnover_realized", halts AS "summary.execution_halts", partial_fill_rate AS "summary.partial_fill_rate" FROM quality_sql q JOIN (SELECT run_id, sum(turnover) AS turnover FROM steps_sql GROUP BY 1) USING (run_id) JOIN (SELECT run_id, count(halt) AS halts FROM halt_sql GROUP BY 1) USING (run_id) WHERE bucket = 'all'
 """)
 cte("metrics_sql", " UNION ALL ".join([
     _long("perf_sql", "performance", METRICS), _long("trad_sql", "trading", TRADING), _long("safe_sql", "safety", SAFETY),
     _long("stab_sql", "stability", ["mode_churn_rate", "mode_set_size", "cost_curve_span"]), _long("exec_sql", "execution", EXEC)]))
 cte("pairs_sql", "SELECT run_id AS candidate, run_id - run_id % 10 AS baseline FROM (SELECT DISTINCT l_suppkey AS run_id FROM lineitem)")
 cte("schema_sql", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{c}', '{d}')" for m, c, d in gv.schema_rows()) + ") AS t(metric_id, category, direction)")
+cte("metric_def_sql", "SELECT * FROM (VALUES " + ", ".join(f"('{c}.{n}', '{c}', '{n}', '{d}', '{u}')" for c, n, d, u in mt.METRIC_ROWS) + ") AS t(metric_id, category, name, direction, unit)")
 cte("cmp_sql", """
 SELECT p.candidate, p.baseline, s.metric_id, category, direction, c.value AS candidate_value, b.value AS baseline_value, c.value - b.value AS delta, CASE WHEN abs(b.value) > 1e-9 THEN (c.value - b.value) / b.value * 100 END AS delta_pct,
   CASE WHEN c.value IS NULL OR b.value IS NULL OR abs(c.value - b.value) <= 1e-9 THEN 'unchanged' WHEN (direction = 'lower_is_better') = (c.value < b.value) THEN 'improved' ELSE 'regressed' END AS status,
@@ -292,7 +273,9 @@ def pairs(t: Tables):
 def all_metrics(t: Tables):
     s = checkpointed(steps_modes(t))
     q = quality(t).filter("bucket = 'all'").join(s.groupBy("run_id").agg(F.sum("turnover").alias("turnover_realized")), "run_id")
-    q = q.withColumn("execution_halts", F.lit(0.0)).select("run_id", *[F.col(n.split(".")[1]).alias(n.replace(".", "_")) for n in EXEC])
+    account = s.filter("step > 0").select("run_id", "step", F.col("account_value").alias("value"), F.col("prev_value").alias("day_start"), "peak", (F.col("account_value") * 0.3).alias("cash"))
+    stopped = ex.halts(positions(t), account, EX).groupBy("run_id").agg(F.count("halt").cast("double").alias("execution_halts"))
+    q = q.join(stopped, "run_id").select("run_id", *[F.col(n.split(".")[1]).alias(n.replace(".", "_")) for n in EXEC])
     safe = mt.safety(s, pf_held(t)).join(mt.constraints(positions(t), CAPS), "run_id")
     out = gv.long_metrics(
         ("performance", mt.performance(s).select("run_id", *METRICS)), ("trading", mt.trading(s).select("run_id", *TRADING)), ("safety", safe.select("run_id", *SAFETY)),
@@ -321,9 +304,17 @@ def _(t):
     return comparison(t)
 
 
-@query("t12_metric_comparison", "candidate:i baseline:i metric_id category direction delta:f4 status", "SELECT * FROM cmp_sql WHERE category <> 'execution'")
+@query("p10_metric_schema", "run_id:i metric_id category name direction unit value:f4", """
+SELECT run_id, metric_id, category, name, direction, unit, value FROM metrics_sql JOIN metric_def_sql USING (metric_id)
+""")
 def _(t):
-    return comparison(t).filter("category <> 'execution'")
+    """Every metric of the schema table with its value for each run."""
+    return all_metrics(t).join(F.broadcast(mt.metric_schema(t.spark)), "metric_id")
+
+
+@query("t12_metric_comparison", "candidate:i baseline:i metric_id category direction delta:f3 status", "SELECT * FROM cmp_sql")
+def _(t):
+    return comparison(t)
 
 
 def _gate_sql(gate: str, metric: str, kind: str, bad: str) -> str:
@@ -404,6 +395,7 @@ cte("regime_reasons_sql", _union("rg_sql", [
     ("soft", "hierarchy_never_defensive", "share <= 1e-9"), ("soft", "hierarchy_always_defensive", "share >= 1 - 1e-9")]))
 cte("eg_sql", _wide("cmp_sql", "metric_id", [*gv.EXECUTION_METRICS, "performance.sharpe"]))
 cte("exec_reasons_sql", _union("eg_sql", [
+    ("hard", "execution_halts_detected", "c_execution_halts > 1e-9"),
     ("hard", "execution_reject_rate_exceeded", "c_reject_rate > 0.01 + 1e-9"), ("hard", "execution_fill_rate_below_minimum", "c_fill_rate < 0.99 - 1e-9"),
     ("hard", "execution_slippage_exceeded", "abs(c_p95_slippage_bps) > 25 + 1e-9"), ("soft", "execution.summary.avg_slippage_bps_regressed", "c_avg_slippage_bps - b_avg_slippage_bps > 5 + 1e-9"),
     ("soft", "execution.summary.total_fees_regressed", "(c_total_fees - b_total_fees) / b_total_fees * 100 > 10 + 1e-9"), ("soft", "execution.summary.turnover_realized_regressed", "(c_turnover_realized - b_turnover_realized) / b_turnover_realized * 100 > 10 + 1e-9"),
@@ -494,11 +486,11 @@ def _(t):
 
 @query("a32_win_table", "candidate:i baseline:i metric_id candidate_ticks:i baseline_ticks:i", """
 WITH g AS (SELECT *, CASE WHEN regexp_matches(metric_id, 'drawdown|volatility|turnover|cost|fee|slippage') THEN baseline_value - candidate_value ELSE candidate_value - baseline_value END / nullif(abs(baseline_value), 0) AS g
-  FROM cmp_sql WHERE candidate_value IS NOT NULL AND baseline_value IS NOT NULL AND category IN ('performance', 'trading'))
+  FROM cmp_sql WHERE candidate_value IS NOT NULL AND baseline_value IS NOT NULL)
 SELECT candidate, baseline, metric_id, CASE WHEN g > 0 THEN 1 + (g >= 0.4)::INT + (g >= 0.6)::INT + (g >= 0.8)::INT + (g >= 1)::INT ELSE 0 END AS candidate_ticks, CASE WHEN g < 0 THEN 1 + (g <= -0.4)::INT + (g <= -0.6)::INT + (g <= -0.8)::INT + (g <= -1)::INT ELSE 0 END AS baseline_ticks FROM g
 """)
 def _(t):
-    return gv.win_table(comparison(t).filter("category in ('performance', 'trading')"))
+    return gv.win_table(comparison(t))
 
 
 @query("j15_sweep_expansion", "run_id:i alpha:f beta:i mode", """

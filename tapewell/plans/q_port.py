@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewell.operators import features as ft, metrics as mt, portfolio as pf, regimes as rg, stress as st
@@ -84,7 +87,7 @@ def _(t):
     return pf.project(held(t)[0], LIMITS)
 
 
-@query("t03_turnover_cap", "run_id:i step:i symbol weekly_weight:f8", """
+@query("t03_turnover_cap", "run_id:i step:i symbol weight:f7", """
 WITH RECURSIVE t AS (SELECT run_id, step, symbol, CASE WHEN s > 0.4 THEN w * 0.4 / s ELSE w END AS t FROM (SELECT *, sum(w) OVER (PARTITION BY run_id, step) AS s FROM (SELECT *, least(weight, 0.25) AS w FROM held_sql))),
 g AS (SELECT d.run_id, d.step, s.symbol, coalesce(t.t, 0) AS t FROM run_days_sql d CROSS JOIN (SELECT DISTINCT symbol FROM held_sql) s LEFT JOIN t ON t.run_id = d.run_id AND t.step = d.step AND t.symbol = s.symbol WHERE d.step > 0),
 r AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS step, symbol, 0.0::DOUBLE AS w FROM g
@@ -92,12 +95,11 @@ r AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS step, symbol, 0.0::DOUBLE AS
     SELECT *, sum(w2) OVER (PARTITION BY run_id) AS tot FROM (
       SELECT run_id, step, symbol, CASE WHEN m > 0.3 + 1e-12 THEN least(greatest(w + 0.3 / m * (t - w), 0), 0.25) ELSE t END AS w2 FROM (
         SELECT g.run_id, g.step, g.symbol, g.t, r.w, sum(abs(g.t - r.w)) OVER (PARTITION BY g.run_id) AS m FROM r JOIN g ON g.run_id = r.run_id AND g.step = r.step + 1 AND g.symbol = r.symbol))))
-SELECT * FROM r WHERE w > 1e-7
-""".replace("SELECT * FROM r WHERE", "SELECT run_id, step, symbol, w / 7.0 AS weekly_weight FROM r WHERE"))
+SELECT run_id, step, symbol, w AS weight FROM r WHERE w > 1e-12
+""")
 def _(t):
-    """Projection with a turnover cap, path-dependent per run: weights over seven days, remnants below 1e-7 left out."""
-    out = pf.cap_turnover(held(t)[0], pf.RiskLimits(max_weight=0.25, exposure_cap=0.4, min_cash=0.1, max_turnover=0.3))
-    return out.filter("weight > 1e-7").withColumn("weekly_weight", F.col("weight") / 7.0)
+    """Projection with a turnover cap, path-dependent per run."""
+    return pf.cap_turnover(held(t)[0], pf.RiskLimits(max_weight=0.25, exposure_cap=0.4, min_cash=0.1, max_turnover=0.3))
 
 
 @query("t04_rollout", "run_id:i step:i day:d account_value:f ret:f8 cost:f8 turnover:f exposure:f drawdown:f", "SELECT * FROM steps_sql")
@@ -277,15 +279,6 @@ def _(t):
     return mt.stability(s, mt.cost_curve(s))
 
 
-@query("p10_metric_schema", "metric_id runs:i", """
-SELECT 'performance.' || m AS metric_id, count(*) AS runs FROM (SELECT unnest(['total_return', 'cagr', 'volatility_ann', 'sharpe', 'max_drawdown', 'calmar']) AS m), (SELECT DISTINCT l_suppkey FROM lineitem) GROUP BY 1
-""")
-def _(t):
-    """Runs per performance metric of the schema table."""
-    p = mt.performance(steps(t)).fillna(0.0).unpivot(["run_id"], ["total_return", "cagr", "volatility_ann", "sharpe", "max_drawdown", "calmar"], "name", "value")
-    return mt.metric_schema(t.spark).filter("category = 'performance'").join(p, "name").groupBy("metric_id").agg(F.count(F.lit(1)).alias("runs"))
-
-
 cte("win_sql", """
 SELECT *, step - min(step) OVER (PARTITION BY run_id) AS s FROM steps_sql WHERE day BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'
 """)
@@ -428,19 +421,23 @@ def _(t):
         "shock": st.shock("close", "ts", lo, hi, -0.2), "drift": st.drift("close", "ts", lo, hi, -0.01), "spike": st.spike("volume", "ts", lo, hi, 3.0)})
 
 
-@query("t20_regime_windows", "start:t end:t days:i", """
-SELECT min(ts) AS start, max(ts) AS "end", count(*) AS days FROM (SELECT ts, rn, label, rn - row_number() OVER (PARTITION BY label = 'high_vol' ORDER BY rn) AS grp FROM vol_label_sql) WHERE label = 'high_vol' GROUP BY grp HAVING count(*) >= 5
-""")
+@query("t20_regime_windows", "filter start:t end:t days:i", " UNION ALL ".join(f"""
+SELECT '{name}' AS filter, min(ts) AS start, max(ts) AS "end", count(*) AS days FROM (SELECT ts, rn, label, rn - row_number() OVER (PARTITION BY label IN ({labels}) ORDER BY rn) AS grp FROM vol_label_sql) WHERE label IN ({labels}) GROUP BY grp HAVING count(*) >= 5
+""" for name, labels in ((k, ", ".join(f"'{x}'" for x in v)) for k, v in st.ALIASES.items())))
 def _(t):
-    return st.find_windows(rg.label_v1(market(t), [], "market_vol_20d"), "crash", 5)
+    """Windows of each filter name over labels without a trend part; names that only cover trend labels have none."""
+    labelled = checkpointed(rg.label_v1(market(t), [], "market_vol_20d"))
+    each = [st.find_windows(labelled, name, 5).withColumn("filter", F.lit(name)) for name in st.ALIASES]
+    return reduce(DataFrame.unionByName, each)
 
 
-@query("l07_longest_regime_windows", "start:t days:i", """
-SELECT min(ts) AS start, count(*) AS days FROM (SELECT ts, rn, label, rn - row_number() OVER (PARTITION BY label = 'low_vol' ORDER BY rn) AS grp FROM vol_label_sql) WHERE label = 'low_vol' GROUP BY grp ORDER BY days DESC, start LIMIT 3
+@query("l07_longest_regime_windows", "start:t days:i place:i", """
+SELECT *, row_number() OVER (ORDER BY days DESC, start) AS place FROM (SELECT min(ts) AS start, count(*) AS days FROM (SELECT ts, rn, label, rn - row_number() OVER (PARTITION BY label = 'low_vol' ORDER BY rn) AS grp FROM vol_label_sql) WHERE label = 'low_vol' GROUP BY grp)
 """)
 def _(t):
-    """The three longest calm windows."""
-    return st.find_windows(rg.label_v1(market(t), [], "market_vol_20d"), "calm", 1).orderBy(F.desc("days"), "start").limit(3)
+    """All calm windows with their place, the longest first."""
+    found = st.find_windows(rg.label_v1(market(t), [], "market_vol_20d"), "low_vol", 1)
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("days"), "start")))
 
 
 @query("t22_daily_summary", "run_id:i day:d pnl:f8 exposure:f turnover:f fees:f8 reject_rate:f reject_ok:b", """

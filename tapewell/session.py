@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,16 +27,12 @@ def build_session(app: str = "tapewell", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach.  The cluster names it in ``spark.checkpoint.dir``;
-    a temporary folder is taken only in local mode, where no folder was named."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or where that is unset a folder of the warehouse."""
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
-    fallback = os.path.join(tempfile.gettempdir(), f"tapewell-{spark.sparkContext.applicationId}")
-    spark.conf.set(CHECKPOINT_CONF, fallback)
-    return fallback
+    if not named:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/steps-{spark.sparkContext.applicationId}"
+        spark.conf.set(CHECKPOINT_CONF, named)
+    return named
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

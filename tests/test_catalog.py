@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 catalog.load()
 SAMPLE = (
     "a35_backtest_summary", "s01_flat_file_bars", "k01_bar_upsert", "p01_validate_records", "w13_pair_correlation", "j02_asof_fundamentals", "w24_ownership_delta",
-    "fs_options_surface_v1", "t03_turnover_cap", "t08b_fill_carry_over", "a29_regime_slices", "r01_stream_bars", "r07_stream_kill_switch", "j15_sweep_expansion",
+    "fs_options_surface_v1", "t03_turnover_cap", "a29_regime_slices", "r01_stream_bars", "r07_stream_kill_switch", "j15_sweep_expansion",
 )
 
 

@@ -214,3 +214,34 @@ def test_conflicting_records_fail(spark):
     assert sinks.reject_conflicts(df, ["k"]).count() == 1
     with pytest.raises(Exception, match="conflicting record for A"):
         sinks.reject_conflicts(df.union(spark.createDataFrame([("A", 2)], "k string, v int")), ["k"]).collect()
+
+
+def test_vendor_before_filing(spark):
+    f = spark.createDataFrame([("A", "v0", "2020-04-15", "1"), ("A", "v1", "2020-05-20", "2"), ("B", "v1", "2020-05-01", "3"), ("B", "v1", "2020-05-09", None), ("B", "v2", "2020-06-01", "4")],
+                              "symbol string, vendor string, filing_date string, filing_id string")
+    got = {r.symbol: (r.vendor, r.filing_id, r.method, r.superseded) for r in rc.latest_filings(f, ["symbol"], ["v0", "v1", "v2"]).collect()}
+    assert got == {"A": ("v0", "1", "record_vendor", 0), "B": ("v1", None, "restatement", 1)}
+    kept = rc.pick_vendor_rows(f, ["v0", "v1", "v2"], ["symbol"]).collect()
+    assert sorted((r.symbol, r.vendor) for r in kept) == [("A", "v0"), ("B", "v1"), ("B", "v1")]
+    c = rc.vendor_coverage(f, ["v0", "v1", "v2"], ["symbol"]).first()
+    assert (c["keys"], c.missing_primary, c.records, c.fallback_records, c.percent_missing_primary) == (2, 1, 3, 2, 0.5)
+
+
+def test_filter_names_cover_both_label_sets(spark):
+    from tapewell.operators import stress as st
+
+    labels = ["high_vol", "low_vol", "mid_vol", "high_vol_trend_up", "high_vol_trend_down", "high_vol_flat", "low_vol_trend_up", "low_vol_trend_down", "low_vol_flat"]
+    rows = spark.createDataFrame([(f"2024-01-{k + 1:02d}", k + 1, v) for k, v in enumerate(labels)], "d string, _rn long, label string").withColumn("ts", F.to_timestamp("d"))
+    days = {name: sum(r.days for r in st.find_windows(rows, name, 1).collect()) for name in ("crash", "High_Vol ", "low_vol", "mid_vol", "trending", "trend_up", "trend_down", "low_vol_flat")}
+    assert days == {"crash": 2, "High_Vol ": 4, "low_vol": 4, "mid_vol": 1, "trending": 2, "trend_up": 2, "trend_down": 2, "low_vol_flat": 1}
+
+
+def test_new_columns_outlive_upserts(spark, tmp_path):
+    from tapewell.sources import sinks
+
+    path = str(tmp_path / "t")
+    rows = lambda year, **more: spark.createDataFrame([{"k": 1, "year": year, "v": 1.0, **more}])
+    for df in (rows(1997), rows(1998), spark.createDataFrame([{"k": 2, "year": 1998, "v": 2.0, "note": "n"}]), spark.createDataFrame([{"k": 3, "year": 1998, "v": 3.0}])):
+        sinks.upsert_partitioned(df, path, ["k", "year"], ["year"], ["k"])
+    got = {(r.k, r.year): r.note for r in sinks.read_if_exists(spark, path).collect()}
+    assert got == {(1, 1997): None, (1, 1998): None, (2, 1998): "n", (3, 1998): None}
