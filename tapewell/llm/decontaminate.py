@@ -1,8 +1,10 @@
 """Benchmark decontamination: a BM25 index of the test items, searched with block-max WAND by every training passage.
 
 Impacts are BM25 weights divided by the item's own total, so a passage with all of an item's terms scores 1 and one
-threshold holds for items of any length.  Items come in index blocks of at most ``INDEX_ITEMS``; each block's index is
-broadcast, so its size doesn't depend on the benchmark or the corpus, and every document meets every block.
+threshold holds for items of any length.  Items come in indexes of ``INDEX_ITEMS``, broadcast in groups of at most
+``GROUP_BYTES`` of text, so what is broadcast doesn't depend on the benchmark or the corpus; every document meets every
+index.  For each block of a few items an index holds the largest impact of every term; a passage whose terms can't reach
+the threshold in any block is done with, and WAND goes through the postings of the others.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 OVERLAP = 0.5
 SHINGLE = 5
-POSTINGS = 32  # to a block with its own maximum
-INDEX_ITEMS = 20_000
-INDEX_BYTES = 16_000_000
+POSTINGS = 32  # to a block of a list with its own maximum
+BLOCK_ITEMS = 4
+INDEX_ITEMS = 512
+GROUP_BYTES = 8_000_000
 _BUCKETS = 22
 
 
@@ -58,6 +61,7 @@ class Index:
     ids: list
     terms: np.ndarray  # sorted hashes
     most: np.ndarray  # the largest impact of each term
+    block: np.ndarray  # and that in each block of items
     lists: list  # per term: items, impacts, block maxima
     parts: list  # per item: (shingle length, shingles) of question and answer
     longest: int
@@ -77,6 +81,8 @@ def build(items: list[tuple]) -> Index:
     impact /= np.maximum(np.bincount(item, weights=impact, minlength=len(items)), 1e-12)[item]
     most = np.zeros(len(terms))
     np.maximum.at(most, term, impact)
+    block = np.zeros((len(terms), -(-len(items) // BLOCK_ITEMS)), np.float32)
+    np.maximum.at(block, (term, item // BLOCK_ITEMS), impact * (1 + 1e-6))
     order = np.lexsort((item, term))
     bounds = np.searchsorted(term[order], np.arange(len(terms) + 1))
     lists = []
@@ -92,7 +98,7 @@ def build(items: list[tuple]) -> Index:
         parts.append(both)
     bucket = np.zeros(1 << _BUCKETS, bool)
     bucket[(terms >> U(64 - _BUCKETS)).astype(np.int64)] = True
-    return Index([i for i, _ in items], terms, most, lists, parts, int(length.max(initial=0)), bucket)
+    return Index([i for i, _ in items], terms, most, block, lists, parts, int(length.max(initial=0)), bucket)
 
 
 def search(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -139,11 +145,13 @@ def search(index: Index, terms: list[int], threshold: float) -> list[tuple[int,
     return found
 
 
-def leaks_in(column: pa.Array, index: Index, threshold: float, overlap: float) -> list[tuple]:
-    """(text number, item, score, question overlap, answer overlap) of all verified pairs of a slice of texts."""
-    if not len(index.terms):
-        return []
+def leaks_in(column: pa.Array, group: list[Index], threshold: float, overlap: float) -> list[tuple]:
+    """(text number, item id, score, question overlap, answer overlap) of all verified pairs of a slice of texts."""
     words = terms_of(column)
+    return [row for index in group if len(index.terms) for row in _leaks_of(words, index, threshold, overlap)]
+
+
+def _leaks_of(words: Words, index: Index, threshold: float, overlap: float) -> list[tuple]:
     known = index.bucket[(words.key >> U(64 - _BUCKETS)).astype(np.int64)]
     at = np.flatnonzero(known)
     term = np.minimum(np.searchsorted(index.terms, words.key[at]), len(index.terms) - 1)
@@ -157,10 +165,15 @@ def leaks_in(column: pa.Array, index: Index, threshold: float, overlap: float) -
     n = len(index.terms)
     cell = np.unique(np.concatenate([own, own + 1]) * n + np.concatenate([term, term]))
     passage, term = cell // n, cell % n
-    # The first pivot of WAND: passages whose terms can't reach the threshold together have none.
-    total = np.bincount(passage, weights=index.most[term], minlength=int(base[-1]) + 1)
-    rich = total >= threshold
-    keep = rich[passage]
+    # Without a block whose maxima reach the threshold, WAND has no pivot to stop at.
+    first = np.flatnonzero(np.diff(passage, prepend=-1))
+    rich = np.zeros(len(first), bool)
+    most = index.block.shape[1]
+    for lo in range(0, len(first), step := max(1, 4_000_000 // (64 * most))):
+        ends = np.append(first[lo : lo + step], first[lo + step] if lo + step < len(first) else len(passage))
+        bounds = np.add.reduceat(index.block[term[ends[0] : ends[-1]]], ends[:-1] - ends[0], axis=0)
+        rich[lo : lo + step] = bounds.max(axis=1) >= threshold * (1 - 1e-5)
+    keep = np.repeat(rich, np.diff(np.append(first, len(passage))))
     passage, term = passage[keep], term[keep]
     best: dict[tuple[int, int], tuple] = {}
     bounds = np.append(np.flatnonzero(np.diff(passage, prepend=-1)), len(passage))
@@ -180,17 +193,17 @@ def leaks_in(column: pa.Array, index: Index, threshold: float, overlap: float) -
                 row = (score, *share)
                 if row > best.get((doc, item), ()):
                     best[doc, item] = row
-    return [(d, i, *row) for (d, i), row in best.items()]
+    return [(d, index.ids[i], *row) for (d, i), row in best.items()]
 
 
 def _indexes(benchmark: DataFrame) -> Iterator:
-    """Broadcast indexes over blocks of items, in item order."""
+    """Broadcast groups of indexes, items in order."""
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-size[0] // INDEX_ITEMS), -(-size[1] // INDEX_BYTES))
-    for k in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # one block of bounded size
-        yield benchmark.sparkSession.sparkContext.broadcast(build([tuple(r) for r in own]))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    groups = max(1, -(-size // GROUP_BYTES))
+    for k in range(groups):
+        own = [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == k).orderBy("item_id", "text").collect()]  # a group of bounded size
+        yield benchmark.sparkSession.sparkContext.broadcast([build(own[a : a + INDEX_ITEMS]) for a in range(0, max(len(own), 1), INDEX_ITEMS)])
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
@@ -210,7 +223,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 for part in slices(batch):
                     found = leaks_in(part.column(1), index.value, threshold, overlap)
                     docs = part.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                    cols = [pa.array([index.value.ids[f[1]] for f in found], pa.int64()), *(pa.array([f[k] for f in found], pa.float64()) for k in (2, 3, 4))]
+                    cols = [pa.array([f[1] for f in found], pa.int64()), *(pa.array([f[k] for f in found], pa.float64()) for k in (2, 3, 4))]
                     yield pa.RecordBatch.from_arrays([docs, *cols], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         return rows

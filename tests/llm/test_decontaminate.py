@@ -52,6 +52,7 @@ def test_edits_blocks_and_odd_rows(spark, monkeypatch):
     key = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(((r.doc_id, r.item_id) for r in dc.leaks(docs, bench).collect()), key=key) == want
     monkeypatch.setattr(dc, "INDEX_ITEMS", 1)
+    monkeypatch.setattr(dc, "GROUP_BYTES", 100)
     assert sorted(((r.doc_id, r.item_id) for r in dc.leaks(docs, bench).collect()), key=key) == want
     assert sorted(r.doc_id for r in dc.clean(docs, bench).collect()) == [2, 3, 4, 5, 7]
     assert dc.leaks(docs.where("false"), bench).count() == 0
