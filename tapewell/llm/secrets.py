@@ -55,7 +55,7 @@ def candidates(documents: DataFrame, repository: str, owner: str) -> DataFrame:
 
 
 def live_looking(value: Column) -> Column:
-    """Letters and digits mixed, twelve characters at least, no character run of four, and no stretch of plain words."""
+    """Letters and digits mixed, twelve characters at least, and no character four times in a row."""
     return (F.length(value) >= 12) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(r"(.)\1{3}")
 
 
