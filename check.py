@@ -2,6 +2,7 @@
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -22,7 +23,8 @@ def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     want = sys.argv[2:]
     catalog.load()
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g"})
+    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g",
+                                                "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-")})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:

@@ -253,12 +253,6 @@ def keep_best(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return best.select(*keys, "_best.*").select(*df.columns)
 
 
-def reversed_rank(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``_left``, the number of rows of the key after this one (0 on the last)."""
-    ends = df.groupBy(*keys).agg(F.max(RN).alias("_max_rn"))
-    return df.join(ends, list(keys)).withColumn("_left", F.col("_max_rn") - F.col(RN)).drop("_max_rn")
-
-
 def asof_backward(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, values: Sequence[str], step_seconds: int,
     right_tie: Sequence[str] = (),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tapewell.operators import backtest, calendars, features as ft
 from tapewell.operators.keyed import RN, ordinal, quantiles, rolling, running, time_bucket
 from tapewell.plans.catalog import cte, query
+from tapewell.session import scratch_path
+from tapewell.sources import readers, sinks
 from tapewell.sources.tables import DAY, HOUR, Tables
 
 cte("bars_h", """
@@ -56,8 +58,10 @@ def _(t):
 SELECT * FROM bars_d WHERE symbol IN ('Brand#1','Brand#2','Brand#3') AND ts BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-12-31'
 """)
 def _(t):
-    """Symbols x date range from the canonical bars."""
-    return t.bars_d().filter(F.col("symbol").isin("Brand#1", "Brand#2", "Brand#3") & F.col("ts").between("1997-01-01", "1998-12-31"))
+    """Symbols x date range from the canonical bars, written by symbol and year and read back by folder."""
+    path = scratch_path(t.spark, "bars")
+    sinks.write_bars(t.bars_d().withColumn("vendor", F.lit("v0")), path)
+    return readers.canonical_bars(t.spark, path, ["Brand#1", "Brand#2", "Brand#3"], "1997-01-01", "1998-12-31")
 
 
 @query("w01_simple_returns", "symbol ts:t ret:f8", f"""

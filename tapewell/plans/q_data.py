@@ -498,6 +498,11 @@ def _(t):
     return rc.vendor_coverage(option_vendors(t), VENDORS, ["underlying"])
 
 
+@query("a04c_vendor_usage", "vendor records:i", "SELECT vendor, count(*) AS records FROM (SELECT symbol, ts, min(vendor) AS vendor FROM vendor_bars GROUP BY 1, 2) GROUP BY 1")
+def _(t):
+    return rc.vendor_usage(rc.pick_vendor(t.vendor_bars(), VENDORS))
+
+
 @query("j01c_insider_vendor", "symbol filing_date:d id:i vendor method", """
 WITH i AS (SELECT symbol, filing_date, id, 'v' || (id % 3) AS vendor FROM insider_trades)
 SELECT i.symbol, i.filing_date, id, vendor, CASE WHEN vendor = 'v0' THEN 'primary' ELSE 'fallback' END AS method

@@ -456,6 +456,29 @@ def _(t):
         gv.execution_gates(c), gv.artifact_gates(p, have, ["A", "N", "R"]))
 
 
+@query("t17b_mode_gates", REASONS, """
+WITH n AS (SELECT run_id, mode, count(*) AS n FROM modes_sql WHERE step > 0 GROUP BY 1, 2), p AS (SELECT run_id, count(*) AS active, min(n) / CAST(sum(n) AS DOUBLE) AS least FROM n WHERE run_id % 11 <> 0 GROUP BY 1),
+r AS (SELECT candidate, baseline, CASE WHEN active IS NULL THEN 'regime_mode_counts_missing' WHEN active < 3 THEN 'regime_active_modes_below_threshold' WHEN least < 0.2 THEN 'regime_mode_fraction_below_threshold' END AS reason FROM pairs_sql LEFT JOIN p ON run_id = candidate)
+SELECT candidate, baseline, 'soft' AS severity, reason FROM r WHERE reason IS NOT NULL
+""")
+def _(t):
+    """Mode counts of the runs; every eleventh run has none."""
+    counts = steps_modes(t).filter("step > 0 and run_id % 11 <> 0").groupBy("run_id", "mode").agg(F.count(F.lit(1)).alias("steps"))
+    return gv.mode_gates(pairs(t), counts, min_modes=3, min_share=0.2)
+
+
+@query("t17c_sweep_gates", REASONS, """
+WITH s AS (SELECT l_suppkey AS candidate, count(*) FILTER (WHERE l_returnflag <> 'R') AS completed, count(*) FILTER (WHERE l_returnflag = 'R' AND l_tax >= 0.07) AS fails FROM lineitem WHERE l_suppkey % 13 <> 0 GROUP BY 1),
+r AS (SELECT p.candidate, p.baseline, CASE WHEN completed IS NULL THEN 'sweep_summary_missing' WHEN completed < 380 THEN 'sweep_completed_below_threshold' WHEN fails > 45 THEN 'sweep_failures_exceeded' END AS reason FROM pairs_sql p LEFT JOIN s ON s.candidate = p.candidate)
+SELECT candidate, baseline, 'soft' AS severity, reason FROM r WHERE reason IS NOT NULL
+""")
+def _(t):
+    """A supplier's lines as the runs of its sweep; every thirteenth supplier has no summary."""
+    li = t.lineitem.filter("l_suppkey % 13 <> 0")
+    sweeps = li.groupBy(F.col("l_suppkey").alias("candidate")).agg(F.count_if(F.col("l_returnflag") != "R").alias("completed"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.07)).alias("fails"))
+    return gv.sweep_gates(pairs(t), sweeps, min_completed=380, max_failures=45)
+
+
 # -- sweeps ----------------------------------------------------------------------------------
 
 TARGETS = {"performance.sharpe": "higher_is_better", "performance.total_return": "higher_is_better", "performance.max_drawdown": "lower_is_better", "trading.turnover_1d_mean": "lower_is_better"}

@@ -45,7 +45,7 @@ class Tables:
         part = self.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
         li = self.lineitem.select(
             "l_partkey", "l_suppkey", F.col("l_shipdate").cast("timestamp").alias("ts"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity"),
+            F.try_divide("l_extendedprice", "l_quantity").alias("price"), F.col("l_quantity"),
             F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("tick"),
         )
         return (
@@ -139,7 +139,7 @@ class Tables:
         li = self.lineitem.select(
             "l_partkey", F.col("l_suppkey").alias("run_id"), "l_orderkey", "l_linenumber",
             F.col("l_shipdate").cast("date").alias("day"), F.col("l_quantity").alias("qty"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_discount").alias("fee_rate"),
+            F.try_divide("l_extendedprice", "l_quantity").alias("price"), F.col("l_discount").alias("fee_rate"),
             F.when(F.col("l_linestatus") == "O", "buy").otherwise("sell").alias("side"), F.col("l_returnflag").alias("bucket"), "l_tax",
         )
         return li.join(part, "l_partkey")
