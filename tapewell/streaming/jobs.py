@@ -158,6 +158,18 @@ def validity(known: DataFrame, keys: list[str], at: str) -> DataFrame:
 
 
 def stream_enrich(ticks: DataFrame, valid: DataFrame, at: str) -> DataFrame:
-    """Each tick with the static row valid at its time; stateless, at most one match per tick."""
-    v = valid.withColumnRenamed("symbol", "_s")
-    return ticks.join(v, (F.col("symbol") == F.col("_s")) & (F.col("ts") >= F.col(at)) & (F.col("ts") < F.col("until")), "left").drop("_s")
+    """Each tick with the static row valid at its time; stateless, at most one match per tick.
+
+    A row that a later one replaces is laid out over the days it holds, so ticks meet it by symbol and day; the newest row of
+    a symbol, which has no end, is one row to join.
+    """
+    values = [c for c in valid.columns if c not in ("symbol", "until")]
+    newest = F.col("until") >= F.lit("9999-01-01").cast("timestamp")
+    last = valid.filter(newest).select(F.col("symbol").alias("_s"), F.struct(*values).alias("_last"))
+    days = F.explode(F.sequence(F.to_date(at), F.to_date("until")))
+    past = valid.filter(~newest).select(F.col("symbol").alias("_p"), days.alias("_day"), F.col("until").alias("_until"), F.struct(*values).alias("_past"))
+    joined = ticks.join(last, (F.col("symbol") == F.col("_s")) & (F.col("ts") >= F.col(f"_last.{at}")), "left")
+    held = (F.col("ts") >= F.col(f"_past.{at}")) & (F.col("ts") < F.col("_until"))
+    joined = joined.join(past, (F.col("symbol") == F.col("_p")) & (F.to_date("ts") == F.col("_day")) & held, "left")
+    found = F.coalesce("_last", "_past")
+    return joined.select(*ticks.columns, *[found[c].alias(c) for c in values])
