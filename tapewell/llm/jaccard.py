@@ -2,8 +2,7 @@
 
 Equal shingle sets collapse to one representative first.  Tokens have one global order, rare ones first, and two sets
 that reach the threshold share a token among the first ``n - ceil(t n) + 1`` of each.  The representatives are
-partitioned into groups by the first such token that another set has too, so that similar documents meet in few
-groups.  The matrix holds, for each token, the groups whose members have it, with the range of their sizes; joining
+partitioned into groups by one such token that other sets have too, so that similar documents meet in few groups.  Taking twice as many first tokens makes them share at least the smaller slack ``n - ceil(t n) + 1``.  The matrix holds, for each token, the groups whose members have it, with the range of their sizes; joining
 it with a query's tokens bounds what the query can share with a group, and only groups that pass are opened.  An
 opened group stores the union of its members' tokens: queries that have too few tokens in it are dropped, and the
 rest are compared exactly with the members, in blocks of bounded size.  Out come a document's number of links and one
@@ -74,7 +73,17 @@ def _ordered(h: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndarray
     return out
 
 
-def _prefixes(sets: DataFrame, n: int, percent: int, common) -> DataFrame:
+def _slack(n, percent: int):
+    """Tokens of a set of ``n`` that a partner may lack, plus one."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def _prefixes(texts: DataFrame, n: int, percent: int, common) -> DataFrame:
+    """(doc, n, toks): the first tokens of every document in the global order, twice its slack less one.
+
+    Two sets that link share at least the smaller of their slacks among these.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = common.value
         order = np.argsort(tokens)
@@ -85,11 +94,13 @@ def _prefixes(sets: DataFrame, n: int, percent: int, common) -> DataFrame:
                 doc = np.repeat(np.arange(len(size)), size)
                 pos = _ordered(h, tokens[order], order)
                 pos = pos[np.lexsort((pos, doc))]
-                head = np.arange(len(h)) - at[doc] < (size - (percent * size + 99) // 100 + 1)[doc]
-                ids = np.asarray(part.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(pos[head]), pa.array(ids[doc[head]]), pa.array(size[doc[head]].astype(np.int32))], ["tok", "doc", "n"])
+                length = np.minimum(size, 2 * _slack(size, percent) - 1)
+                length[size == 0] = 0
+                head = np.arange(len(h)) - at[doc] < length[doc]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(pos[head]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int32)), lists], ["doc", "n", "toks"])
 
-    return sets.select("doc_id", "text").mapInArrow(run, "tok long, doc long, n int")
+    return texts.mapInArrow(run, "doc long, n int, toks array<long>")
 
 
 def _open_groups(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -170,21 +181,28 @@ def join(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     live = keys.where("n_shingles > 0 and doc_id is not null")
     same = checkpointed(live.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     total = same.count()
-    sets = texts.join(same.select(F.col("rep").alias("doc_id"), "copies"), "doc_id")
     common = spark.sparkContext.broadcast(_common_tokens(texts, n, keys.count()))
 
-    # The compared tokens that at least two sets have.
-    w = Window.partitionBy("tok").orderBy("doc")
-    heads = _prefixes(sets, n, percent, common) if total > 1 else spark.createDataFrame([], "tok long, doc long, n int")
-    heads = heads.withColumns({"b": F.lag("doc").over(w), "a": F.lead("doc").over(w)}).where("b is not null or a is not null").drop("a", "b")
-    heads = checkpointed(heads.withColumn("g", F.min("tok").over(Window.partitionBy("doc"))))
-
-    # Matrix row: the groups that have a token, and the sizes of their members there.
+    # The compared tokens that at least two sets have.  The first of those that are about as frequent as a document's
+    # most frequent one names its group: copies with edits of their own, rare as these are, still meet in a few groups.
+    heads = _prefixes(texts, n, percent, common) if total > 1 else spark.createDataFrame([], "doc long, n int, toks array<long>")
+    heads = heads.join(same.select(F.col("rep").alias("doc"), F.col("n_shingles").cast("int").alias("n")), ["doc", "n"]).select("doc", "n", F.explode("toks").alias("tok"))
+    heads = heads.withColumn("df", F.count("*").over(Window.partitionBy("tok"))).where("df > 1")
+    of_doc = Window.partitionBy("doc")
+    heads = heads.withColumn("top", F.max("df").over(of_doc)).withColumn("g", F.min(F.when(F.col("df") * 2 >= F.col("top"), F.col("tok"))).over(of_doc))
+    heads = checkpointed(heads.select("tok", "doc", "n", "g"))
+
+    # Matrix row: the groups that have a token, and the sizes of their members there.  A query asks the groups with
+    # which it shares as many of these tokens as with its smallest possible partner.
     matrix = heads.groupBy("tok", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m"))
     fits = (F.col("lo") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("hi") * 100) & ((F.col("m") > 1) | (F.col("g") != F.col("own")))
-    asked = heads.select("tok", "doc", "n", F.col("g").alias("own")).join(matrix, "tok").where(fits).select("doc", "g").distinct()
+    shared = heads.select("tok", "doc", "n", F.col("g").alias("own")).join(matrix, "tok").where(fits).groupBy("doc", "g").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    smallest = F.ceil(F.col("n") * percent / 100)
+    asked = checkpointed(shared.where(F.col("c") >= smallest - F.ceil(smallest * percent / 100) + 1).select("doc", "g"))
     roles = asked.select("doc", "g", F.lit(False).alias("member"), F.lit(True).alias("query"))
-    roles = roles.union(heads.select("doc", "g", F.lit(True), F.lit(False)).distinct()).groupBy("doc", "g").agg(F.max("member").alias("member"), F.max("query").alias("query"))
+    # Links go both ways, so a member that asks no group has no partner.
+    members = heads.select("doc", "g").distinct().join(asked.select("g").distinct(), "g").join(asked.select("doc").distinct(), "doc", "left_semi").select("doc", "g")
+    roles = roles.union(members.select("doc", "g", F.lit(True), F.lit(False))).groupBy("doc", "g").agg(F.max("member").alias("member"), F.max("query").alias("query"))
     roles = checkpointed(roles)
 
     # Groups beyond a block are opened block by block: members in blocks, queries in blocks, each pair of blocks once.
@@ -208,7 +226,8 @@ def join(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([dict(zip(("unit", "doc", "member", "query", "copies", "shingles"), o, strict=True)) for o in out], schema=shipped)
 
     shipped = pa.schema([("unit", pa.int64()), ("doc", pa.int64()), ("member", pa.bool_()), ("query", pa.bool_()), ("copies", pa.int64()), ("shingles", pa.binary())])
-    full = sets.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "copies", "units")
+    wanted = wanted.join(same.select(F.col("rep").alias("doc"), "copies"), "doc")
+    full = texts.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "copies", "units")
     opened = full.mapInArrow(ship, "unit long, doc long, member boolean, query boolean, copies long, shingles binary")
     opened = opened.repartition("unit").sortWithinPartitions("unit")
     found = checkpointed(opened.mapInArrow(lambda it: _open_groups(it, percent), "doc long, links long, root long"))
