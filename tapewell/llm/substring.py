@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewell.llm.words import U, Words, grams, slices, words_of
+from tapewell.llm.words import U, Words, grams, mix, slices, words_of
 from tapewell.session import checkpointed
 
 WINDOW = 20
@@ -210,8 +210,9 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lead[1:] = h[1:] != h[:-1]
                 head = np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))
                 known = (d != d[head]) | (s != s[head])
-                rows += [(int(k), int(i), int(x), bool(y), b"" if y else symbol[f : f + WINDOW].tobytes(), k.tobytes())
-                         for k, i, x, y, f in zip(h.view(np.int64), d, s, known, windows, strict=True)]
+                spread = mix(d.astype(U) + s.astype(U) * U(0x9E3779B97F4A7C15)).view(np.int64)  # what is known needs no index
+                rows += [(int(z if y else k), int(i), int(x), bool(y), b"" if y else symbol[f : f + WINDOW].tobytes(), k.tobytes())
+                         for k, z, i, x, y, f in zip(h.view(np.int64), spread, d, s, known, windows, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PIECES, strict=True)] if rows else [pa.array([], t.type) for t in _PIECES], schema=_PIECES)
 
 
