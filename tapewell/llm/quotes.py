@@ -88,17 +88,18 @@ def _latest_before(quotes: DataFrame, source: DataFrame) -> DataFrame:
 def threads(linked: DataFrame) -> DataFrame:
     """``linked`` with ``root`` (the turn its chain of replies starts from) and ``depth`` (replies from there).
 
-    Pointers double each round, so a chain of n replies takes log2(n) rounds of one join on (conv_id, turn).
+    Pointers double each round, so a chain of n replies takes log2(n) rounds of one join on (conv_id, turn); only
+    messages whose pointer has not reached the start of its chain take part in a round.
     """
     known = linked.where("conv_id is not null and turn is not null")
-    step = checkpointed(known.groupBy("conv_id", "turn").agg(F.max("reply_to").alias("up")).select("conv_id", "turn", F.coalesce("up", "turn").alias("root"), F.col("up").isNotNull().cast("long").alias("depth")))
-    while True:
-        up = step.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("r2"), F.col("depth").alias("d2"))
-        new = checkpointed(step.join(up, ["conv_id", "root"]).select("conv_id", "turn", F.col("r2").alias("root"), (F.col("depth") + F.col("d2")).alias("depth")))
-        change = new.agg(F.sum("depth")).first()[0] != step.agg(F.sum("depth")).first()[0]
-        step = new
-        if not change:
-            return linked.join(step, ["conv_id", "turn"], "left")
+    state = known.groupBy("conv_id", "turn").agg(F.max("reply_to").alias("up"))
+    state = checkpointed(state.select("conv_id", "turn", F.coalesce("up", "turn").alias("root"), F.col("up").isNotNull().cast("long").alias("depth"), F.col("up").isNotNull().alias("live")))
+    while not state.where("live").isEmpty():
+        up = state.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("r2"), F.col("depth").alias("d2"))
+        moved = state.where("live").join(up, ["conv_id", "root"])
+        moved = moved.select("conv_id", "turn", F.col("r2").alias("root"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("d2") > 0).alias("live"))
+        state = checkpointed(state.where("not live").unionByName(moved))
+    return linked.join(state.drop("live"), ["conv_id", "turn"], "left")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
