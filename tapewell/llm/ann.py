@@ -2,8 +2,9 @@
 
 The splits of every tree are fitted on a bounded sample: a random direction between two sampled vectors, cut at the
 median.  All vectors are then indexed by the leaf they fall into, and a query searches all trees through one shared
-priority queue, nearest margins first, until it has opened ``leaves`` leaves.  Leaf members and queries meet in one
-task per leaf and are compared there exactly; only each query's best go on.
+priority queue, nearest margins first, until it has opened a fixed share of all leaves, so that it sees the same share
+of the table at every size.  Leaf members and queries meet in one task per leaf and are compared there exactly; only
+each query's best go on.
 
 Equal vectors are indexed once with their ``k + 1`` smallest ids, which are all that any result can need, so a vector
 that a third of the rows share is one entry.
@@ -24,7 +25,9 @@ from tapewell.session import checkpointed
 SAMPLE = 16_384
 TREES = 16
 LEAF = 24  # sampled vectors in a leaf
-LEAVES = 220
+LEAVES = 220  # least number of leaves that a query opens
+SHARE = 16  # one in so many of the forest's leaves is opened
+BLOCK = 256  # queries compared with one batch of members at a time
 
 
 class Forest:
@@ -80,6 +83,10 @@ class Forest:
             out[:, t] = -1 - node
         return out
 
+    def opened(self) -> int:
+        """How many leaves a query opens: one in ``SHARE`` of all, ``LEAVES`` at least."""
+        return max(LEAVES, -(-sum(len(cuts) + 1 for _, cuts, _, _ in self.trees) // SHARE))
+
     def search(self, q: np.ndarray, leaves: int) -> list[tuple[int, int]]:
         """The ``leaves`` leaves (tree, leaf) of least margin, by one priority queue over all trees."""
         q = q / np.linalg.norm(q)
@@ -137,21 +144,24 @@ def _compare(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.Record
             if queries is None:
                 queries = np.concatenate([n for n, _ in names]), np.concatenate([m for _, m in names])
             v, own = _matrix(batch.column(3).slice(a, b - a)), ids[a:b]
-            nv, nq = np.linalg.norm(v, axis=1), np.linalg.norm(queries[1], axis=1)
-            for k, q in enumerate(queries[1]):
-                near = (v @ q) / nv
-                top = np.argpartition(-near, keep + 5)[: keep + 6] if len(near) > keep + 6 else np.arange(len(near))
-                score = (v[top] * q).sum(axis=1) / (np.sqrt((v[top] * v[top]).sum(axis=1)) * np.sqrt((q * q).sum()))
-                best.append((np.full(len(top), queries[0][k]), own[top], score))
-            del nq
+            length, far = np.sqrt((v * v).sum(axis=1)), -np.linalg.norm(v, axis=1)
+            for k in range(0, len(queries[0]), BLOCK):
+                q = queries[1][k : k + BLOCK]
+                if len(v) > keep + 6:
+                    top = np.argpartition((q @ v.T) / far, keep + 5, axis=1)[:, : keep + 6]
+                else:
+                    top = np.broadcast_to(np.arange(len(v)), (len(q), len(v)))
+                score = (v[top] * q[:, None, :]).sum(axis=2) / (length[top] * np.sqrt((q * q).sum(axis=1))[:, None])
+                best.append((np.repeat(queries[0][k : k + BLOCK], top.shape[1]), own[top].ravel(), score.ravel()))
     yield from flush()
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, leaf: int = LEAF, leaves: int = LEAVES, sample: int = SAMPLE, seed: int = 6) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, leaf: int = LEAF, leaves: int | None = None, sample: int = SAMPLE, seed: int = 6) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row of ``queries`` by largest cosine.
 
     ``vectors`` and ``queries`` have vec_id and embedding; queries are rows of ``vectors``, and a query is no candidate
-    of its own.  Scores are cosines in double precision; ties go to the smaller vec_id.  Null ids, and vectors that are
+    of its own.  A query opens ``leaves`` leaves; unset, a share of the forest's leaves (``Forest.opened``).  Scores are
+    cosines in double precision; ties go to the smaller vec_id.  Null ids, and vectors that are
     null, empty, zero or hold null or non-finite components, take no part; nor do those of another length than the
     longest.  A repeated id with one vector counts once.  Other columns are ignored.
     """
@@ -178,7 +188,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int =
     total = groups.count()
     bound = int(min(1.0, sample / max(total, 1)) * (1 << 30))
     fitted = groups.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < bound).orderBy("rep").select("embedding").collect()  # a bounded sample
-    forest = spark.sparkContext.broadcast(Forest(np.array([r[0] for r in fitted], np.float64).reshape(-1, width), trees, leaf, seed))
+    grown = Forest(np.array([r[0] for r in fitted], np.float64).reshape(-1, width), trees, leaf, seed)
+    leaves = grown.opened() if leaves is None else leaves
+    forest = spark.sparkContext.broadcast(grown)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tapewell.llm import ann, q_ann
 
@@ -33,6 +34,40 @@ def test_recall_on_the_table(spark):
         assert [found[r] for r in sorted(found)] == sorted(found.values(), key=lambda f: (-f[1], f[0]))
 
 
+def test_recall_on_a_larger_table(spark):
+    """20,000 rows derived from the given table: the centre of each row's label ten times, moved by noise of the table's spread."""
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    kept = given.collect()
+    x, label = np.array([r.embedding for r in kept], np.float64), np.array([r.label for r in kept])
+    centre = {v: x[label == v].mean(axis=0) for v in np.unique(label).tolist()}
+    spread = math.sqrt(np.mean([x[label == v].var(axis=0).mean() for v in centre]))
+    centres = spark.createDataFrame([(v, c.tolist()) for v, c in centre.items()], f"label {given.schema['label'].dataType.simpleString()}, centre array<double>")
+    draw = lambda i, side: (F.pmod(F.xxhash64("vec_id", "copy", i, F.lit(side)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    noise = lambda i: F.sqrt(-2 * F.log(draw(i, 0))) * F.cos(2 * math.pi * draw(i, 1))
+    many = given.join(centres, "label").crossJoin(spark.range(10).withColumnRenamed("id", "copy"))
+    many = many.select((F.col("vec_id") * 10 + F.col("copy")).alias("vec_id"), F.transform("centre", lambda c, i: c + spread * noise(i)).alias("embedding"))
+    rows = many.collect()
+    assert len(rows) == 20_000
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in ann.neighbours(many, many.where("vec_id % 400 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in np.flatnonzero(ids % 400 == 0):
+        score = x @ x[q]
+        score[q] = -2
+        hits += len(got[ids[q]] & set(ids[np.argsort(-score)[:5]].tolist()))
+    assert len(got) == 50 and hits / (5 * len(got)) >= 0.95
+
+
+def test_opened_leaves_grow_with_the_forest():
+    x = np.random.default_rng(1).normal(size=(16_384, 8))
+    small, large = (ann.Forest(x[:n], ann.TREES, ann.LEAF, 6) for n in (4_096, 16_384))
+    assert large.opened() == 4 * small.opened() == 1024
+    assert ann.Forest(x[:50], ann.TREES, ann.LEAF, 6).opened() == ann.LEAVES
+
+
 def test_odd_rows(spark):
     rng = np.random.default_rng(1)
     same = [1.0, 2.0, 0.0, -1.0]
