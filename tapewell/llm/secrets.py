@@ -1,9 +1,9 @@
 """Secret scan by corpus-wide ownership frequency, in DataFrame functions only.
 
 Patterns find candidates in every whole text.  The values' hashes are counted by distinct repositories and owners over
-the whole corpus: a value that many owners have is a widely copied example; a value that few have and that looks like
-a credential is taken for live.  Long mixed tokens that match no pattern's context are candidates too, and the
-frequency decides whether they are reported.
+the whole corpus: a value that many owners have is a widely copied example; a value that few have is taken for live,
+unless it is plainly a placeholder.  Long mixed tokens that match no pattern's context are candidates too, and are
+reported where few owners have them and they look like a credential.
 """
 
 from __future__ import annotations
@@ -59,14 +59,30 @@ def live_looking(value: Column) -> Column:
     return (F.length(value) >= 12) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(r"(.)\1{3}")
 
 
+def placeholder(value: Column) -> Column:
+    """One or two distinct characters apart from the prefix of an access key, the alphabet or digits in order, or nothing
+    but the names that an assignment starts with."""
+    core = F.regexp_replace(value, "^(?:AKIA){1,100}", "")
+    rest = F.replace(core, F.substring(core, 1, 1), F.lit(""))
+    few = F.replace(rest, F.substring(rest, 1, 1), F.lit("")) == ""
+    low = F.lower(value)
+    ordered = "^([a-z]{0,26})([0-9]{0,10})$"
+    in_order = low.rlike(ordered) & F.lit("abcdefghijklmnopqrstuvwxyz").contains(F.regexp_extract(low, ordered, 1)) & F.lit("01234567890").contains(F.regexp_extract(low, ordered, 2))
+    names = F.regexp_replace(low, "password|passwd|secret|token|api_?key|[^a-z0-9]", "") == ""
+    return few | in_order | names
+
+
 def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """(hash, repositories, owners, verdict) of every candidate value in the corpus.
 
+    A value of few owners is live where a pattern's context names it and it is no placeholder, or where it looks live.
     Counts go up by (hash, owner, repository), then (hash, owner), then hash, each with partial sums, so a value that a
     third of all documents hold is a few rows per task before it is shuffled.  A missing owner counts as one owner.
     """
     values = found.select("repository", F.coalesce("owner", F.lit("")).alias("owner"), F.explode(F.concat("base", "tokens")).alias("s"))
-    values = values.select(F.sha2(F.col("s.value"), 256).alias("hash"), "owner", "repository", live_looking(F.col("s.value")).alias("live"))
+    value = F.col("s.value")
+    live = live_looking(value) | ((F.col("s.rank") < KINDS.index("token")) & ~placeholder(value))
+    values = values.select(F.sha2(value, 256).alias("hash"), "owner", "repository", live.alias("live"))
     each = values.groupBy("hash", "owner", "repository").agg(F.max("live").alias("live"))
     each = each.groupBy("hash", "owner").agg(F.count("*").alias("n"), F.max("live").alias("live"))
     counts = each.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"), F.max("live").alias("live"))
