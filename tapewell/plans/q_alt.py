@@ -391,10 +391,10 @@ feature_query("sma_plus_xsec_v1", f"symbol ts:t {SM} {XS} {XM}", f"SELECT s.symb
 feature_query("core_v1_xsec", f"symbol ts:t {CORE} {XS} {XM}", f"SELECT c.*, x.* EXCLUDE (symbol, ts, rn, close), m.* EXCLUDE (ts, rn) FROM core_sql_g c {XJ}")
 feature_query("core_v1_regime", f"symbol ts:t {CORE} {RG}", "SELECT c.*, m.* EXCLUDE (ts, rn) FROM core_sql_g c JOIN market_sql_g m ON m.ts = c.ts")
 feature_query("core_v1_xsec_regime", f"symbol ts:t {CORE} {XS} {XM} market_trend_20d:f dispersion_20d:f", f"SELECT c.*, x.* EXCLUDE (symbol, ts, rn, close), m.* EXCLUDE (ts, rn) FROM core_sql_g c {XJ}")
-feature_query("core_v1_xsec_regime_opts_v1", f"symbol ts:t {CORE} {XS} {XM} {SURF} market_trend_20d:f", f"SELECT c.*, x.* EXCLUDE (symbol, ts, rn, close), m.* EXCLUDE (ts, rn), s.* EXCLUDE (symbol, ts) FROM core_sql_g c {XJ} JOIN surf_feat_sql s ON s.symbol = c.symbol AND s.ts = c.ts")
-feature_query("core_v1_xsec_regime_opts_v1_lag1", f"symbol ts:t {CORE} {XS} {XM} {SURF} market_trend_20d:f", f"SELECT c.*, x.* EXCLUDE (symbol, ts, rn, close), m.* EXCLUDE (ts, rn), s.* EXCLUDE (symbol, ts) FROM core_sql_g c {XJ} JOIN surf_feat_lag_sql s ON s.symbol = c.symbol AND s.ts = c.ts")
+feature_query("core_v1_xsec_regime_opts_v1", f"symbol ts:t {CORE} {XS} {XM} {SURF} market_trend_20d:f dispersion_20d:f", f"SELECT c.*, x.* EXCLUDE (symbol, ts, rn, close), m.* EXCLUDE (ts, rn), s.* EXCLUDE (symbol, ts) FROM core_sql_g c {XJ} JOIN surf_feat_sql s ON s.symbol = c.symbol AND s.ts = c.ts")
+feature_query("core_v1_xsec_regime_opts_v1_lag1", f"symbol ts:t {CORE} {XS} {XM} {SURF} market_trend_20d:f dispersion_20d:f", f"SELECT c.*, x.* EXCLUDE (symbol, ts, rn, close), m.* EXCLUDE (ts, rn), s.* EXCLUDE (symbol, ts) FROM core_sql_g c {XJ} JOIN surf_feat_lag_sql s ON s.symbol = c.symbol AND s.ts = c.ts")
 feature_query("core_v1_fundamentals_regime_v1", f"symbol ts:t {CORE} {FU} {RG}", "SELECT c.*, f.* EXCLUDE (symbol, ts, close), m.* EXCLUDE (ts, rn) FROM core_sql_g c JOIN asof180_sql f ON f.symbol = c.symbol AND f.ts = c.ts JOIN market_sql_g m ON m.ts = c.ts")
-feature_query("core_v1_fundamentals_regime_xsec_v1", f"symbol ts:t {CORE} {FU} {XS} {XM} market_trend_20d:f", f"SELECT c.*, f.* EXCLUDE (symbol, ts, close), x.* EXCLUDE (symbol, ts, rn, close), m.* EXCLUDE (ts, rn) FROM core_sql_g c {XJ} JOIN asof180_sql f ON f.symbol = c.symbol AND f.ts = c.ts")
+feature_query("core_v1_fundamentals_regime_xsec_v1", f"symbol ts:t {CORE} {FU} {XS} {XM} market_trend_20d:f dispersion_20d:f", f"SELECT c.*, f.* EXCLUDE (symbol, ts, close), x.* EXCLUDE (symbol, ts, rn, close), m.* EXCLUDE (ts, rn) FROM core_sql_g c {XJ} JOIN asof180_sql f ON f.symbol = c.symbol AND f.ts = c.ts")
 feature_query("core_v1_fundamentals_regime_opts_v1", f"symbol ts:t {CORE} {FU} {SURF} {RG}", "SELECT c.*, f.* EXCLUDE (symbol, ts, close), s.* EXCLUDE (symbol, ts), m.* EXCLUDE (ts, rn) FROM core_sql_g c JOIN asof180_sql f ON f.symbol = c.symbol AND f.ts = c.ts JOIN surf_feat_sql s ON s.symbol = c.symbol AND s.ts = c.ts JOIN market_sql_g m ON m.ts = c.ts")
 feature_query("regime_v1", f"ts:t {RG}", "SELECT * FROM market_sql_g")
 

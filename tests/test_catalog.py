@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from check import TABLES, norm
+from tapewell.operators import features as ft
 from tapewell.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +32,9 @@ def test_twin(spark, name):
     idx = [[d[0] for d in rel.description].index(c) for c in cols]
     assert got == sorted((tuple(norm(r[i]) for i in idx) for r in rel.fetchall()), key=repr)
     assert got
+
+
+@pytest.mark.parametrize("name", ["core_v1_xsec_regime_opts_v1", "core_v1_xsec_regime_opts_v1_lag1", "core_v1_fundamentals_regime_xsec_v1"])
+def test_regime_columns_of_feature_sets(spark, name):
+    assert set(ft.REGIME_COLUMNS) <= set(catalog.QUERIES[f"fs_{name}"](spark, SF).columns)
+    assert all(f'AS "{c}"' in catalog.ORACLES[f"fs_{name}"] for c in ft.REGIME_COLUMNS)
