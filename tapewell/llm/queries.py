@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["q_decontaminate", "q_quality", "q_substring", "q_quotes", "q_sharding", "q_ann", "q_secrets", "q_jaccard", "q_bpe", "q_toxicity", "q_dac", "q_merkle"]
+MODULES = ["q_decontaminate", "q_quality", "q_substring", "q_quotes", "q_sharding", "q_ann", "q_secrets", "q_jaccard", "q_bpe", "q_toxicity", "q_dac", "q_merkle", "q_periodic"]
 
 
 def query(name: str, oracle: str | None = None):
