@@ -23,12 +23,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewell.llm.words import U, bytes_of, slices, spans_of
+from tapewell.llm.words import U, bytes_of, slices
 
 SEGMENT = 1 << 20
-WORDS_KEPT = 200_000
-LONG_WORD = 64
+BATCH = 6_000_000
+WORDS_KEPT = 800_000
 MAGIC = b"DAC1"
+MARK = "\x01"
+STOPS = b".,;:!?)"
+
+# Byte classes: 0 white space, 1 others, 2 ASCII letters, 3 stops; and bytes with every white space as a blank.
+_KIND = np.ones(256, np.uint8)
+_KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+_KIND[65:91] = _KIND[97:123] = 2
+_KIND[list(STOPS)] = 3
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 32
 
 
 class Level:
@@ -109,7 +119,8 @@ class TokenFile:
 class Encoder:
     """The public tokenizer, asked once for each different word.
 
-    Its rule never joins characters over white space, so a text's ids are those of its words, one after the other.
+    Its rule never joins characters over white space, nor an ASCII letter with one of the ``STOPS`` behind it, so a text's
+    ids are those of its words and stops, one after the other.  ``MARK`` parts the words of one question.
     """
 
     def __init__(self, description: str) -> None:
@@ -119,39 +130,70 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(description)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _ids(self, words: list[bytes]) -> list[np.ndarray]:
+        self.mark = self._asked([MARK])[0]
+        assert len(self.mark) == 1
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}  # a word's number
+        self.bounds, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _asked(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Ids of new words, many to a question; words that hold the mark are asked one by one."""
+        marked = [w for w in fresh if MARK.encode() in w]
+        plain = [w for w in fresh if MARK.encode() not in w]
+        ids = []
+        for group in range(0, len(plain), 1 << 16):
+            part = plain[group : group + (1 << 16)]
+            joined = [(b" " + MARK.encode() + b" ").join([*part[i : i + 128], b""]).decode() for i in range(0, len(part), 128)]
+            ids += [np.array(i, np.uint32) for i in self._asked(joined)]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        cut = np.flatnonzero(flat == self.mark[0])
+        size = np.diff(cut, prepend=-1) - 1
+        alone = self._asked([w.decode() for w in marked])
+        flat = np.concatenate([self.flat, np.delete(flat, cut), *(np.array(i, np.uint32) for i in alone)])
+        size = np.concatenate([size, np.array([len(i) for i in alone], np.int64)])
+        self.known.update(zip(plain + marked, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(size))
+        self.flat = flat
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        fresh = list({w for w in words if w not in known})
-        if len(known) + len(fresh) > WORDS_KEPT:
-            known.clear()
-            fresh = list(set(words))
-        new = dict(zip(fresh, (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)), strict=True))
-        out = [new[w] if w in new else known[w] for w in words]
-        known.update((w, i) for w, i in new.items() if len(w) <= LONG_WORD)
-        return out
+        fresh = [w for w in dict.fromkeys(words) if w not in known]
+        if fresh and len(known) + len(fresh) > WORDS_KEPT:
+            self._forget()
+            known, fresh = self.known, list(dict.fromkeys(words))
+        if fresh:
+            self._learn(fresh)
+        return np.fromiter((known[w] for w in words), np.int64, len(words))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column, and the bounds of each text's share; null counts as the empty text."""
         data, offsets = bytes_of(column)
-        blank = (data == 32) | ((data >= 9) & (data <= 13))
-        start, _, doc = spans_of((~blank).view(np.uint8), offsets)
         texts = len(offsets) - 1
+        kind = _KIND[data]
+        begins = kind > 0  # a value begins with a word's first byte, or with a stop behind a letter
+        begins[1:] &= (kind[:-1] == 0) | (kind[1:] == 3) & (kind[:-1] == 2)
+        inner = offsets[:-1][offsets[:-1] < len(data)]
+        begins[inner] = kind[inner] > 0
+        start = np.flatnonzero(begins)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(texts + 1, np.int64)
-        data = np.where(blank, np.uint8(32), data)
-        # A word and the white space up to the next one is one value, so values stand side by side.
+        data = _PLAIN[data]
+        # A value reaches to the next one, so values stand side by side; white space between them counts as its end.
         values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(data)).astype(np.int64)), pa.py_buffer(data)])
         coded = values.dictionary_encode()
-        index = coded.indices.to_numpy()
-        ids = self._ids([v.rstrip(b" ") for v in coded.dictionary.to_pylist()])
-        size = np.array([len(i) for i in ids], np.int64)
-        begin, flat = np.cumsum(size) - size, np.concatenate(ids)
-        own = size[index]
-        done = np.cumsum(own)
-        out = flat[np.arange(int(done[-1])) + np.repeat(begin[index] - (done - own), own)]
-        return out, np.append(0, done)[np.searchsorted(doc, np.arange(texts + 1))]
+        words = [v.rstrip(b" ") for v in coded.dictionary.to_pylist()]
+        words = [w.lower() if w.isascii() and b"<" not in w else w for w in words]  # its rule folds case, but not in names of special tokens
+        number = self._numbers(words)[coded.indices.to_numpy()]
+        begin = self.bounds[number]
+        size = self.bounds[number + 1] - begin
+        done = np.cumsum(size)
+        out = self.flat[np.arange(int(done[-1])) + np.repeat(begin - (done - size), size)]
+        return out, np.append(0, done)[np.searchsorted(start, offsets)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -221,7 +263,7 @@ def segments(documents: DataFrame, path: str, end_id: int = 1, segment: int = SE
         encoder = _encoder(model.value)
         writer = _Writer(TaskContext.get().partitionId(), segment)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=BATCH):
                 ids, bounds = encoder.encode(part.column(1))
                 for k, doc in enumerate(part.column(0).to_pylist()):
                     yield from writer.add(doc, np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id)))
@@ -293,7 +335,7 @@ def read(files: DataFrame, segment: int = SEGMENT) -> DataFrame:
     pieces = F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("pieces")  # no more than one document
     long = _pieces(files, segment, False).groupBy("part", "row").agg(F.max("doc_id").alias("doc_id"), F.min("offset").alias("offset"), pieces)
     long = long.select("part", "doc_id", "offset", "pieces").mapInArrow(join, "part int, doc_id long, offset long, ids binary")
-    out = whole.unionByName(long).join(part_starts(files), "part")
+    out = whole.unionByName(long).join(F.broadcast(part_starts(files)), "part")  # one row per partition of the writing job
     return out.select("doc_id", (F.col("part_start") + F.col("offset")).alias("start"), "ids")
 
 
