@@ -8,6 +8,7 @@ from tapewell.plans.catalog import cte, query
 from tapewell.session import scratch_path
 from tapewell.streaming import jobs
 
+DAY_MS = 86_400_000  # ticks are hours apart here, so a day is a slot
 FINAL = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 
@@ -63,7 +64,9 @@ r AS (SELECT symbol, id, i, want AS mode, CAST(1 AS BIGINT) AS age FROM o WHERE
 SELECT symbol, id, mode FROM r
 """)
 def _(t):
-    return jobs.drain(jobs.stream_modes(ticks(t), 20.0, 3.0, 5), "modes")
+    """The feed is closed behind its last tick, so every tick becomes final."""
+    end = scratch_path(t.spark, "end")
+    return jobs.drain(jobs.stream_modes(jobs.closing(ticks(t), end), 20.0, 3.0, 5, DAY_MS), "modes", end=end)
 
 
 @query("r07_stream_kill_switch", "symbol id:i daily_loss:f drawdown:f halt", """
@@ -72,7 +75,9 @@ SELECT symbol, id, dl AS daily_loss, dd AS drawdown, CASE WHEN dl > 0.9 + 1e-9 T
     SELECT event_type AS symbol, event_id AS id, value AS v, first_value(value) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS s, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS p FROM events))
 """)
 def _(t):
-    return jobs.drain(jobs.stream_kill_switch(ticks(t), 0.9, 0.95), "kill-switch")
+    end, path = scratch_path(t.spark, "end"), scratch_path(t.spark, "halts")
+    jobs.stream_kill_switch(jobs.closing(ticks(t), end), path, 0.9, 0.95, end, DAY_MS)
+    return t.spark.read.parquet(path)
 
 
 cte("daily_mean", "SELECT symbol, date_trunc('day', ts) + INTERVAL 1 DAY AS known_at, avg(close) AS mean_close FROM bars_h GROUP BY 1, 2")
