@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +18,7 @@ ROLES = "CEO|CFO|COO|CTO|PRESIDENT|CHAIRMAN"
 HIGH_ROLES = "CEO|CFO|CHAIRMAN"
 SECURITY = "Common Stock"
 MIN_SHARE = 0.001
+SPAN_ROWS = 512
 RATIO_ROWS, CLUSTER_ROWS, OWNERSHIP_ROWS, BLOCK_ROWS, HISTORY_ROWS = 30, 10, 30, 30, 756
 
 
@@ -49,20 +55,72 @@ def session_flows(chosen: DataFrame) -> DataFrame:
     )
 
 
-def ownership_delta(chosen: DataFrame, sessions: DataFrame, rows: int = OWNERSHIP_ROWS) -> DataFrame:
+def _sweep(pdf: pd.DataFrame, first: int, last: int, rows: int) -> tuple[list[int], list[float]]:
+    """Sessions from ``first`` to ``last`` on which an insider is seen, and their median change, by enter and leave events.
+
+    Each insider's trades in the window are a queue; a change of its ends replaces the insider's value in one ordered list.
+    """
+    trades = list(zip(pdf[RN].tolist(), pdf["id"].tolist(), pdf["name"].tolist(), pdf["before"].tolist(), pdf["after"].tolist()))
+    trades.sort(key=lambda t: t[:2])
+    events = sorted([(t[0], 1, k) for k, t in enumerate(trades)] + [(t[0] + rows, 0, k) for k, t in enumerate(trades)])
+    queues: dict[str, deque] = {}
+    value: dict[str, float] = {}
+    values: list[float] = []
+    out, medians = [], []
+    at = 0
+    while at < len(events):
+        session = events[at][0]
+        touched = set()
+        while at < len(events) and events[at][0] == session:
+            _, enters, k = events[at]
+            name = trades[k][2]
+            queue = queues.setdefault(name, deque())
+            queue.append(trades[k]) if enters else queue.popleft()
+            touched.add(name)
+            at += 1
+        for name in touched:
+            if name in value:
+                del values[bisect_left(values, value.pop(name))]
+            queue = queues[name]
+            if not queue:
+                del queues[name]
+                continue
+            before = queue[0][3]
+            after = queue[-1]
+            for t in reversed(queue):  # of the newest session, the trade of smallest id
+                if t[0] != after[0]:
+                    break
+                after = t
+            if before > 0:
+                value[name] = (after[4] - before) / before
+                insort(values, value[name])
+        until = events[at][0] if at < len(events) else session
+        if values:
+            n = len(values)
+            lo, hi = values[(n - 1) // 2], values[n // 2]
+            for s in range(max(session, first), min(until, last + 1)):
+                out.append(s)
+                medians.append(lo + (hi - lo) * 0.5)
+    return out, medians
+
+
+def ownership_delta(chosen: DataFrame, sessions: DataFrame, rows: int = OWNERSHIP_ROWS, span: int = SPAN_ROWS) -> DataFrame:
     """Median over insiders of the relative holding change within the last ``rows`` sessions.
 
-    A trade counts for the sessions it is visible from, so it is copied to those; first ``before`` and
-    last ``after`` per insider are partial aggregates.
+    Per insider, first ``before`` and last ``after`` change only when a trade enters the window or leaves it.  Trades go to
+    their own span of ``span`` sessions, and to the next one if they are still visible there; each span is swept once.
     """
     name = F.trim(F.coalesce("name", F.lit("")))
     moves = chosen.filter((name != "") & F.col("before").isNotNull() & F.col("after").isNotNull())
-    seen = moves.select("symbol", name.alias("name"), F.col(RN).alias("_s"), "id", "before", "after",
-                        F.explode(F.sequence(F.col(RN), F.col(RN) + (rows - 1))).alias(RN))
-    per = seen.groupBy("symbol", RN, "name").agg(
-        F.min_by("before", F.struct("_s", "id")).alias("b"), F.max_by("after", F.struct("_s", -F.col("id"))).alias("a"),
-    ).filter("b > 0")
-    delta = per.groupBy("symbol", RN).agg(F.percentile((F.col("a") - F.col("b")) / F.col("b"), F.lit(0.5)).alias("delta"))
+    own, next_ = F.floor(F.col(RN) / span), F.floor((F.col(RN) + (rows - 1)) / span)
+    seen = moves.select("symbol", name.alias("name"), F.col(RN).cast("long").alias(RN), F.col("id").cast("long").alias("id"), F.col("before").cast("double").alias("before"),
+                        F.col("after").cast("double").alias("after"), F.explode(F.sequence(own, next_)).alias("_span"))
+
+    def sweep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at, medians = _sweep(pdf, int(key[1]) * span, int(key[1]) * span + span - 1, rows)
+        return pd.DataFrame({"symbol": key[0], RN: np.array(at, np.int64), "delta": np.array(medians, np.float64)})
+
+    delta = seen.groupBy("symbol", "_span").applyInPandas(sweep, f"symbol string, {RN} long, delta double")
     return sessions.select("symbol", RN).join(delta, ["symbol", RN], "left").fillna(0.0, ["delta"])
 
 

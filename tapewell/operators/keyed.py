@@ -7,7 +7,7 @@ cut into chunks of a fixed number of consecutive rows:
                 sums over the small bucket table, ``row_number`` inside a bucket only);
 * ``rolling``   evaluates bounded ROWS frames per chunk, with the neighbouring rows copied in;
 * ``running``   evaluates unbounded-preceding frames as local scan + carry of earlier chunks;
-* ``quantiles`` finds exact interpolated quantiles by counting into value buckets first;
+* ``quantiles`` finds exact interpolated quantiles by counting into buckets that the data split;
 * ``keep_best`` picks one row per key with a partial aggregate instead of a ranked window.
 
 All results equal those of the plain windows.
@@ -191,42 +191,71 @@ def value_bucket(v: Column) -> Column:
     return F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0)).cast("bigint")
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+SORT_ROWS = 65_536
+SPLITS = 1_024
+
+
+def rank_buckets(
+    counted: DataFrame, keys: Sequence[str], value: str, weight: str, holds: Callable[[Column, Column, Column, Column], Column], limit: int = SORT_ROWS,
+) -> DataFrame:
+    """Rows of the value buckets that hold a wanted rank, with bucket names ``_p``, ``_b``, the weight ``_start`` before the
+    bucket and the key's ``_total``.
+
+    ``counted`` has one row per key and value, and is read several times.  ``holds(start, size, total, last)`` tells
+    whether a bucket is wanted; ``last`` marks the last one of those it was split from.  Buckets begin with value ranges;
+    a wanted one of more than ``limit`` values is split evenly between its own least and greatest value, until none is
+    left.  A range of doubles is spent after six such splits.
+    """
+    keys = list(keys)
+    rows = counted.withColumns({"_p": F.lit(""), "_b": value_bucket(F.col(value)), "_from": F.lit(0)})
+    totals = F.sum("_n").over(Window.partitionBy(*keys))
+    while True:
+        held = [] if "_total" not in rows.columns else [F.max("_total").alias("_total")]
+        sizes = rows.groupBy(*keys, "_p", "_b").agg(
+            F.sum(weight).alias("_n"), F.count(F.lit(1)).alias("_rows"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.max("_from").alias("_from"), *held)
+        order = Window.partitionBy(*keys, "_p").orderBy("_b")
+        start = F.col("_from") + F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sizes = sizes.select(
+            *keys, "_p", "_b", "_n", "_rows", "_lo", "_hi", start.alias("_start"), F.lead("_b").over(order).isNull().alias("_last"), "_total" if held else totals.alias("_total"))
+        wanted = checkpointed(sizes.filter(holds(F.col("_start"), F.col("_n"), F.col("_total"), F.col("_last"))).drop("_n", "_last"))
+        rows = rows.drop("_from", "_total").join(wanted, [*keys, "_p", "_b"])
+        if wanted.filter(F.col("_rows") > limit).isEmpty():
+            return rows.drop("_rows", "_lo", "_hi")
+        part = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SPLITS)
+        rows = checkpointed(rows.select(
+            *counted.columns, F.concat_ws("/", "_p", "_b").alias("_p"), F.when(F.col("_rows") > limit, F.least(part, F.lit(SPLITS - 1))).otherwise(0).cast("bigint").alias("_b"),
+            F.col("_start").alias("_from"), "_total"))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], limit: int = SORT_ROWS) -> DataFrame:
     """One row per key with exact linearly interpolated quantiles ``{name: p}`` of ``value``.
 
-    Equal values are counted together first; bucket counts locate the wanted ranks; only the rows of
-    the buckets that hold a wanted rank are ordered.
+    Equal values are counted together first; buckets split by the data locate the wanted ranks; only the rows of the
+    buckets that hold one are ordered, ``limit`` of them at most.
     """
     keys = list(keys)
-    counted = (
+    counted = checkpointed(
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_q_v"))
         .agg(F.count(F.lit(1)).alias("_q_n"))
-        .withColumn("_q_b", value_bucket(F.col("_q_v")))
-    )
-    counted = checkpointed(counted)
-    sizes = counted.groupBy(*keys, "_q_b").agg(F.sum("_q_n").alias("_q_bn"))
-    upto = Window.partitionBy(*keys).orderBy("_q_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    sizes = sizes.select(
-        *keys, "_q_b", "_q_bn",
-        F.coalesce(F.sum("_q_bn").over(upto), F.lit(0)).alias("_q_start"),
-        F.sum("_q_bn").over(whole).alias("_q_total"),
     )
-    ranks = {}
-    for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("_q_total") - 1)
-        ranks[name] = (F.floor(at), F.ceil(at), at - F.floor(at))
-    wanted = None
-    for lo, hi, _ in ranks.values():
-        for r in (lo, hi):
-            hit = (r >= F.col("_q_start")) & (r < F.col("_q_start") + F.col("_q_bn"))
-            wanted = hit if wanted is None else wanted | hit
-    inside = Window.partitionBy(*keys, "_q_b").orderBy("_q_v").rowsBetween(Window.unboundedPreceding, 0)
-    rows = counted.join(sizes.filter(wanted), [*keys, "_q_b"]).withColumn("_q_hi", F.col("_q_start") + F.sum("_q_n").over(inside))
+
+    def ranks(total: Column) -> dict[str, tuple[Column, Column, Column]]:
+        at = {name: F.lit(float(p)) * (total - 1) for name, p in probs.items()}
+        return {name: (F.floor(a), F.ceil(a), a - F.floor(a)) for name, a in at.items()}
+
+    def holds(start: Column, size: Column, total: Column, last: Column) -> Column:
+        hit = F.lit(False)
+        for lo, hi, _ in ranks(total).values():
+            for r in (lo, hi):
+                hit = hit | ((r >= start) & (r < start + size))
+        return hit
+
+    inside = Window.partitionBy(*keys, "_p", "_b").orderBy("_q_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rank_buckets(counted, keys, "_q_v", "_q_n", holds, limit).withColumn("_q_hi", F.col("_start") + F.sum("_q_n").over(inside))
     rows = rows.withColumn("_q_lo", F.col("_q_hi") - F.col("_q_n"))
     picks = []
-    for name, (lo, hi, frac) in ranks.items():
+    for name, (lo, hi, frac) in ranks(F.col("_total")).items():
         picks.append(F.min(F.when((lo >= F.col("_q_lo")) & (lo < F.col("_q_hi")), F.col("_q_v"))).alias(f"_a_{name}"))
         picks.append(F.min(F.when((hi >= F.col("_q_lo")) & (hi < F.col("_q_hi")), F.col("_q_v"))).alias(f"_z_{name}"))
         picks.append(F.max(frac).alias(f"_f_{name}"))

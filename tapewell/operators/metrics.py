@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewell.functions.scalars import bank_round
 from tapewell.operators.backtest import YEAR, geometric_annual
-from tapewell.operators.keyed import RN, drawdown, ordinal, quantiles, rolling, step_bucket
+from tapewell.operators.keyed import RN, drawdown, ordinal, quantiles, rank_buckets, rolling, step_bucket
 from tapewell.operators.portfolio import RiskLimits
 from tapewell.session import checkpointed
 
@@ -237,25 +237,23 @@ def historical_var(steps: DataFrame, levels: Mapping[str, float]) -> DataFrame:
 
 
 def order_statistic(counted: DataFrame, keys: Sequence[str], value: str, count: str, shares: Mapping[str, float]) -> DataFrame:
-    """|value| at rank floor(share * n), clamped, from (value, count) rows, through value buckets."""
-    from pyspark.sql import Window
+    """|value| at rank floor(share * n), clamped, from (value, count) rows, through buckets that the data split."""
+    keys = list(keys)
 
-    from tapewell.operators.keyed import value_bucket
+    def ranks(total: Column) -> dict[str, Column]:
+        # share * n is rounded at 9 places: (1 - 0.95) * 100 is 5, not 5.000000000000004
+        return {n: F.greatest(F.lit(0), F.least(F.floor(F.round(F.lit(s) * total, 9)), total - 1)) for n, s in shares.items()}
 
-    keys = list(keys)
-    b = checkpointed(counted.withColumn("_b", value_bucket(F.col(value))))
-    sizes = b.groupBy(*keys, "_b").agg(F.sum(count).alias("_n"))
-    prior = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, "_b", "_n", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_lo"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"))
-    # share * n is rounded at 9 places: (1 - 0.95) * 100 is 5, not 5.000000000000004
-    ranks = {n: F.greatest(F.lit(0), F.least(F.floor(F.round(F.lit(s) * F.col("_all"), 9)), F.col("_all") - 1)) for n, s in shares.items()}
-    hit = F.lit(False)
-    for r in ranks.values():
-        hit = hit | ((r >= F.col("_lo")) & (r < F.col("_lo") + F.col("_n")))
-    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    rows = b.join(sizes.filter(hit).drop("_n"), [*keys, "_b"]).withColumn("_hi", F.col("_lo") + F.sum(count).over(inside))
+    def holds(start: Column, size: Column, total: Column, last: Column) -> Column:
+        hit = F.lit(False)
+        for r in ranks(total).values():
+            hit = hit | ((r >= start) & (r < start + size))
+        return hit
+
+    inside = Window.partitionBy(*keys, "_p", "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rank_buckets(checkpointed(counted), keys, value, count, holds).withColumn("_hi", F.col("_start") + F.sum(count).over(inside))
     return rows.groupBy(*keys).agg(*[
-        F.abs(F.min(F.when((r < F.col("_hi")) & (r >= F.col("_hi") - F.col(count)), F.col(value)))).alias(n) for n, r in ranks.items()])
+        F.abs(F.min(F.when((r < F.col("_hi")) & (r >= F.col("_hi") - F.col(count)), F.col(value)))).alias(n) for n, r in ranks(F.col("_total")).items()])
 
 
 def steps_from_payload(payloads: DataFrame) -> DataFrame:

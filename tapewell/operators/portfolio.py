@@ -6,9 +6,9 @@ Weights are sparse rows ``(run_id, step, symbol, weight)``; a symbol without a r
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,42 +80,42 @@ def project(weights: DataFrame, limits: RiskLimits) -> DataFrame:
 
 def cap_turnover(weights: DataFrame, limits: RiskLimits) -> DataFrame:
     """Projection with a turnover cap: a step that would trade more moves only part of the way from
-    the step before, which makes it path-dependent."""
+    the step before, which makes it path-dependent.
+
+    A run's steps stream through one task in order; only the weights held after the last step are carried.
+    """
     cap, total_cap = limits.max_turnover, limits.total_cap
-    vectors = weights.groupBy("run_id", "step").agg(F.sort_array(F.collect_list(F.struct("symbol", "weight"))).alias("v"))
-    vectors = ordinal(
-        vectors.select("run_id", "step", F.col("v.symbol").alias("names"), F.col("v.weight").alias("raw")), ["run_id"], ["step"], step_bucket("step"))
+    vectors = weights.groupBy("run_id", "step").agg(F.sort_array(F.collect_list(F.struct("symbol", "weight"))).alias("v"))  # a universe at most
+    vectors = vectors.select("run_id", "step", F.col("v.symbol").alias("names"), F.col("v.weight").alias("raw"))
 
-    def bound(v: np.ndarray) -> np.ndarray:
+    def bound(v: dict[str, float]) -> dict[str, float]:
         if limits.long_only:
-            v = np.maximum(v, 0.0)
+            v = {s: max(w, 0.0) for s, w in v.items()}
         if limits.max_weight is not None:
-            v = np.minimum(v, limits.max_weight)
-        total = v.sum()
-        return v * (total_cap / total) if total_cap is not None and total > total_cap and total > TINY else v
-
-    def step(state: str, pdf: pd.DataFrame) -> tuple[pd.DataFrame, str]:
-        known = json.loads(state)
-        symbols = np.array(sorted({s for names in pdf["names"] for s in names} | set(known)), dtype=object)
-        place = {s: i for i, s in enumerate(symbols)}
-        prev = np.array([known.get(s, 0.0) for s in symbols])
-        path = np.empty((len(pdf), len(symbols)))
-        for i, (names, raw) in enumerate(zip(pdf["names"], pdf["raw"])):
-            target = np.zeros(len(symbols))
-            target[[place[s] for s in names]] = raw
-            target = bound(target)
-            if cap is not None:
-                moved = np.abs(target - prev).sum()
-                if moved > cap + TINY:
-                    target = prev if cap <= TINY else bound(prev + cap / moved * (target - prev))
-            prev = np.where(np.abs(target) <= TINY, 0.0, target)
-            path[i] = prev
-        at, col = np.nonzero(path)
-        out = pd.DataFrame({
-            "run_id": pdf["run_id"].to_numpy()[at], "step": pdf["step"].to_numpy()[at], "symbol": symbols[col], "weight": path[at, col]})
-        return out, json.dumps({s: float(w) for s, w in zip(symbols, prev) if w != 0.0})
-
-    return chain(vectors, ["run_id"], step, "{}", "run_id bigint, step bigint, symbol string, weight double")
+            v = {s: min(w, limits.max_weight) for s, w in v.items()}
+        total = sum(v.values())
+        return {s: w * (total_cap / total) for s, w in v.items()} if total_cap is not None and total > total_cap and total > TINY else v
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, prev = None, {}
+        for pdf in frames:
+            rows = []
+            for run_id, step, names, raw in zip(pdf["run_id"], pdf["step"], pdf["names"], pdf["raw"]):
+                if run_id != run:
+                    run, prev = run_id, {}
+                target = bound(dict(zip(names, raw)))
+                if cap is not None:
+                    symbols = sorted(target.keys() | prev.keys())
+                    moved = sum(abs(target.get(s, 0.0) - prev.get(s, 0.0)) for s in symbols)
+                    if moved > cap + TINY:
+                        part = cap / moved
+                        target = prev if cap <= TINY else bound({s: (a := prev.get(s, 0.0)) + part * (target.get(s, 0.0) - a) for s in symbols})
+                prev = {s: float(w) for s, w in target.items() if abs(w) > TINY}
+                rows += [(run_id, step, s, w) for s, w in prev.items()]
+            yield pd.DataFrame(rows, columns=["run_id", "step", "symbol", "weight"])
+
+    ordered = vectors.repartition("run_id").sortWithinPartitions("run_id", "step")
+    return ordered.mapInPandas(walk, "run_id bigint, step bigint, symbol string, weight double")
 
 
 # -- steps and turnover ----------------------------------------------------------------------

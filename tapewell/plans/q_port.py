@@ -95,11 +95,13 @@ r AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS step, symbol, 0.0::DOUBLE AS
     SELECT *, sum(w2) OVER (PARTITION BY run_id) AS tot FROM (
       SELECT run_id, step, symbol, CASE WHEN m > 0.3 + 1e-12 THEN least(greatest(w + 0.3 / m * (t - w), 0), 0.25) ELSE t END AS w2 FROM (
         SELECT g.run_id, g.step, g.symbol, g.t, r.w, sum(abs(g.t - r.w)) OVER (PARTITION BY g.run_id) AS m FROM r JOIN g ON g.run_id = r.run_id AND g.step = r.step + 1 AND g.symbol = r.symbol))))
-SELECT run_id, step, symbol, w AS weight FROM r WHERE w > 1e-12
+SELECT run_id, step, symbol, round(w, 12) AS weight FROM r WHERE w > 1e-12
 """)
 def _(t):
-    """Projection with a turnover cap, path-dependent per run."""
-    return pf.cap_turnover(held(t)[0], pf.RiskLimits(max_weight=0.25, exposure_cap=0.4, min_cash=0.1, max_turnover=0.3))
+    """Projection with a turnover cap, path-dependent per run.  One weight is half a unit of the seventh place but for the
+    order of its sums, so both sides round at the twelfth before."""
+    out = pf.cap_turnover(held(t)[0], pf.RiskLimits(max_weight=0.25, exposure_cap=0.4, min_cash=0.1, max_turnover=0.3))
+    return out.withColumn("weight", F.round("weight", 12))
 
 
 @query("t04_rollout", "run_id:i step:i day:d account_value:f ret:f8 cost:f8 turnover:f exposure:f drawdown:f", "SELECT * FROM steps_sql")
