@@ -80,16 +80,25 @@ def row_text(columns: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(columns)])
 
 
+def digest_parts(df: DataFrame, text: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Count, xor and sum of 60-bit row hashes: parts of disjoint sets of rows add up."""
+    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
+
+
+def combine_digests(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, rows, digest) of the union of the parts."""
+    whole = parts.groupBy(*by).agg(F.sum("rows").alias("rows"), F.bit_xor("x").alias("_x"), F.sum("s").alias("_s"))
+    return whole.withColumn("digest", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("rows", "_x", "_s")]), 256)).drop("_x", "_s")
+
+
 def table_digest(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Order-free content digest: count, xor and sum of 60-bit row hashes, hashed together.
 
     Every part is a partial aggregate, so nothing is gathered or sorted.
     """
-    h = F.conv(F.substring(F.md5(row_text(columns)), 1, 15), 16, 10).cast("bigint")
-    parts = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("_x"), F.sum(h.cast("decimal(38,0)")).alias("_s"),
-    )
-    return parts.withColumn("digest", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("rows", "_x", "_s")]), 256)).drop("_x", "_s")
+    parts = digest_parts(df, row_text(columns), by)
+    return parts.withColumn("digest", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("rows", "x", "s")]), 256)).drop("x", "s")
 
 
 def health_verdict(per_symbol: DataFrame, nulls: DataFrame, max_missing: float | None, max_nan: float | None) -> DataFrame:

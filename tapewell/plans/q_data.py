@@ -11,7 +11,7 @@ from tapewell.plans.catalog import cte, query
 from tapewell.plans.q_core import bars_h
 from tapewell.schemas import DOMAINS
 from tapewell.session import scratch_path
-from tapewell.sources import readers, sinks
+from tapewell.sources import readers, sinks, snapshots
 from tapewell.sources.tables import DAY, Tables
 
 VENDORS = ("v0", "v1", "v2")
@@ -81,6 +81,18 @@ def _(t):
     return readers.canonical_fundamentals(f.unionByName(amended), "1998-01-01", "1998-12-31")
 
 
+@query("s05b_whole_statements", "symbol report_date:d period statement_type revenue:f2", """
+SELECT symbol, report_date, period, CASE WHEN symbol IN ('BUILDING', 'MACHINERY') THEN 'all' ELSE 'income' END AS statement_type, revenue FROM filings
+WHERE report_date BETWEEN CAST(DATE '1998-01-01' - INTERVAL 400 DAY AS DATE) AND DATE '1998-12-31'
+""")
+def _(t):
+    """Symbols that have whole-statement rows keep those only."""
+    f = t.filings().withColumn("statement_type", F.lit("income"))
+    whole = f.filter(F.col("symbol").isin("BUILDING", "MACHINERY")).withColumn("statement_type", F.lit("all"))
+    partial = f.withColumn("revenue", F.when(F.col("symbol").isin("BUILDING", "MACHINERY"), -F.col("revenue")).otherwise(F.col("revenue")))
+    return readers.canonical_fundamentals(partial.unionByName(whole), "1998-01-01", "1998-12-31")
+
+
 cte("insider_trades", """
 SELECT c_mktsegment AS symbol, o_orderkey AS id, CAST(o_orderdate AS DATE) AS filing_date, c_name AS name, o_totalprice AS value,
   CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END AS shares,
@@ -296,6 +308,21 @@ def _(t):
     return sinks.read_if_exists(t.spark, path)
 
 
+@query("k04c_bucket_upsert", "ticker report_period investor shares:f2", """
+SELECT CAST(o_custkey AS VARCHAR) AS ticker, strftime(o_orderdate, '%Y-%m') AS report_period, o_orderpriority AS investor, arg_max(o_totalprice, CAST(o_orderkey % 3 = 0 AS BIGINT) * 1000000000000 + o_orderkey) AS shares
+FROM orders GROUP BY 1, 2, 3
+""")
+def _(t):
+    """Holdings by ticker, period and investor in ticker buckets; the second write wins, then later rows."""
+    path = scratch_path(t.spark, "holdings")
+    o = t.orders.select(
+        F.col("o_custkey").cast("string").alias("ticker"), F.date_format("o_orderdate", "yyyy-MM").alias("report_period"), F.col("o_orderpriority").alias("investor"),
+        F.col("o_totalprice").alias("shares"), F.col("o_orderkey").alias("seq"))
+    sinks.write_policy(o.filter("seq % 3 <> 0"), path, "institutional_ownership", "seq")
+    sinks.write_policy(o.filter("seq % 3 = 0"), path, "institutional_ownership", "seq")
+    return sinks.read_policy(t.spark, path, "institutional_ownership")
+
+
 @query("k05_surface_upsert", "symbol date:d iv:f8", "SELECT symbol, CAST(ts AS DATE) AS date, arg_max(close, vendor) AS iv FROM vendor_bars GROUP BY 1, 2")
 def _(t):
     """Surface rows by (symbol, date); three writes, the newest wins."""
@@ -321,6 +348,18 @@ def _(t):
     return health.table_digest(t.orders, DIGEST, ["o_orderstatus"])
 
 
+@query("k06b_merge_digest", "rows:i digest", DIGEST_SQL.format(by="", group="").replace(
+    "FROM orders)", "FROM (SELECT * REPLACE (CASE WHEN o_custkey % 50 = 0 THEN 'changed' ELSE o_orderpriority END AS o_orderpriority) FROM orders))"))
+def _(t):
+    """Content hash of a table after a merge, from the digests its buckets keep."""
+    path = scratch_path(t.spark, "hashed")
+    o = t.orders.select(*DIGEST)
+    merge = lambda old, new: sinks.merge_latest(old, new, ["o_orderkey"])
+    snapshots.upsert(o, path, "o_custkey", merge, ["o_orderkey"], DIGEST)
+    snapshots.upsert(o.filter("o_custkey % 50 = 0").withColumn("o_orderpriority", F.lit("changed")), path, "o_custkey", merge, ["o_orderkey"], DIGEST)
+    return snapshots.digest(t.spark, path)
+
+
 @query("a20_table_digest", "rows:i digest", DIGEST_SQL.format(by="", group=""))
 def _(t):
     return health.table_digest(t.orders.repartition(13), DIGEST)
@@ -350,6 +389,19 @@ def _(t):
     return sinks.run_manifest(picked, VENDORS, F.sha2(F.lit("daily"), 256), "ts")
 
 
+@query("k08b_written_manifest", "run_id input output records:i start_date:d end_date:d records_v0:i records_v1:i records_v2:i", """
+SELECT 'daily' AS run_id, input, 'canonical_bars' AS output, count(*) AS records, min(ts) AS start_date, max(ts) AS end_date, count(*) FILTER (WHERE vendor = 'v0') AS records_v0,
+  count(*) FILTER (WHERE vendor = 'v1') AS records_v1, count(*) FILTER (WHERE vendor = 'v2') AS records_v2
+FROM (SELECT symbol, ts, min(vendor) AS vendor FROM vendor_bars GROUP BY 1, 2), (SELECT unnest(['raw/v0', 'raw/v1', 'raw/v2']) AS input) GROUP BY 2
+""")
+def _(t):
+    """Manifest and lineage of a run, observed while its bars are written, and read back."""
+    path = scratch_path(t.spark, "runs")
+    picked = rc.pick_vendor(t.vendor_bars(), VENDORS)
+    write = lambda rows: sinks.write_sorted(rows, f"{path}/bars", ["symbol"], ["ts"])
+    return snapshots.write_run(picked, write, path, "daily", "canonical_bars", [f"raw/{v}" for v in VENDORS], "ts", VENDORS)
+
+
 # -- validation ------------------------------------------------------------------------------
 
 cte("raw_records", """

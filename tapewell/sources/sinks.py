@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 from tapewell.functions.scalars import first_date_key, title_or_url
 from tapewell.operators.keyed import keep_best
 from tapewell.session import checkpointed
+from tapewell.sources import snapshots
 
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
@@ -124,7 +125,8 @@ def apply_policy(existing: DataFrame | None, incoming: DataFrame, domain: str, s
 
 
 def write_policy(incoming: DataFrame, path: str, domain: str, seq: str) -> None:
-    """Store a vendor domain by its policy; yearly domains replace only the years they touch."""
+    """Store a vendor domain by its policy: yearly domains replace only the years they touch, the others only the ticker
+    buckets they touch, behind a snapshot."""
     rule = POLICIES[domain]
     spark = incoming.sparkSession
     if rule["policy"] == "timeseries_csv_yearly":
@@ -135,16 +137,20 @@ def write_policy(incoming: DataFrame, path: str, domain: str, seq: str) -> None:
         merged = checkpointed(apply_policy(existing, dated, domain, seq))
         write_sorted(merged, path, ["year"], ["ticker", "date_key"])
         return
-    merged = checkpointed(apply_policy(read_if_exists(spark, path), incoming, domain, seq))
     order = ["ticker"] + (["date_key"] if rule["dates"] else [])
-    write_sorted(merged, path, [], order)
+    snapshots.upsert(incoming, path, "ticker", lambda old, new: apply_policy(old, new, domain, seq), order)
+
+
+def read_policy(spark: SparkSession, path: str, domain: str) -> DataFrame | None:
+    """A vendor domain as ``write_policy`` stored it."""
+    return read_if_exists(spark, path) if POLICIES[domain]["policy"] == "timeseries_csv_yearly" else snapshots.read(spark, path)
 
 
 def migrate_layout(old: DataFrame, path: str, domain: str, seq: str) -> DataFrame:
     """Rewrite per-day vendor files into the policy layout; one row of read / written / skipped counts."""
     keyed = first_date_key(old.columns, POLICIES[domain]["dates"])
     write_policy(old, path, domain, seq)
-    written = old.sparkSession.read.parquet(path).select(F.count(F.lit(1)).alias("rows_written"))
+    written = read_policy(old.sparkSession, path, domain).select(F.count(F.lit(1)).alias("rows_written"))
     counts = old.agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(keyed.isNull()).alias("rows_skipped"))
     return counts.withColumn("rows_written", written.scalar())
 
