@@ -162,25 +162,31 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int =
     ``vectors`` and ``queries`` have vec_id and embedding; queries are rows of ``vectors``, and a query is no candidate
     of its own.  A query opens ``leaves`` leaves; unset, a share of the forest's leaves (``Forest.opened``).  Scores are
     cosines in double precision; ties go to the smaller vec_id.  Null ids, and vectors that are
-    null, empty, zero or hold null or non-finite components, take no part; nor do those of another length than the
-    longest.  A repeated id with one vector counts once.  Other columns are ignored.
+    null, empty, zero or hold null or non-finite components, take no part.  Vectors of each length are searched among
+    themselves, one length after the other.  A repeated id with one vector counts once.  Other columns are ignored.
     """
-    spark = vectors.sparkSession
 
     def valid(df: DataFrame) -> DataFrame:
         e = F.col("embedding")
         good = F.forall(e, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists(e, lambda x: x != 0)
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & good)
 
+    rows, asked = valid(vectors), valid(queries)
+    widths = sorted(r[0] for r in asked.select(F.size("embedding")).distinct().collect())  # the sizes that models give
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n, width in enumerate(widths):
+        own = F.size("embedding") == width
+        found = _of_one_width(rows.where(own), asked.where(own), width, k, trees, leaf, leaves, sample, seed)
+        out = found if n == 0 else out.unionByName(found)
+    return out
+
+
+def _of_one_width(rows: DataFrame, queries: DataFrame, width: int, k: int, trees: int, leaf: int, leaves: int | None, sample: int, seed: int) -> DataFrame:
+    spark = rows.sparkSession
+
     def packed(column):  # little-endian doubles
         return column.mapInArrow(_pack, "rep long, ids array<long>, v binary")
 
-    rows = valid(vectors)
-    width = rows.agg(F.max(F.size("embedding"))).first()[0]
-    schema = "query_id long, rank int, vec_id long, score double"
-    if width is None:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("embedding") == width)
     few = Window.partitionBy("embedding").orderBy("vec_id")
     kept = rows.distinct().withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1)
     groups = kept.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids"))  # k + 1 ids at most
@@ -207,7 +213,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int =
                 found = forest.value.search(np.frombuffer(v, "<f8"), leaves)
                 yield _leaf_rows(forest, found, [i] * len(found), [v] * len(found), False)
 
-    wanted = valid(queries).where(F.size("embedding") == width).distinct().join(groups.select("embedding", "rep"), "embedding").select(F.col("vec_id").alias("query_id"), "rep")
+    wanted = queries.distinct().join(groups.select("embedding", "rep"), "embedding").select(F.col("vec_id").alias("query_id"), "rep")
     wanted = checkpointed(wanted)
     asked = groups.join(wanted.select("rep").distinct(), "rep", "left_semi")
     columns = ("rep", "ids", "embedding")

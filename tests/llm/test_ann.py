@@ -87,3 +87,18 @@ def test_odd_rows(spark):
     one = df.where("vec_id = 100")
     assert ann.neighbours(one, one).count() == 0
     assert ann.neighbours(df.where("false"), df.where("false")).count() == 0
+
+
+def test_vectors_of_each_length_are_searched(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(100)] + [(k, rng.normal(size=9).tolist()) for k in range(100, 130)] + [(150, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(df, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert {q: len(f) for q, f in got.items()} == {0: 5, 50: 5, 100: 5}
+    for q, found in got.items():
+        own = [(i, np.array(v)) for i, v in rows if len(v) == len(rows[q][1]) and i != q]
+        v = np.array(rows[q][1])
+        near = sorted(own, key=lambda x: (-(x[1] @ v) / np.linalg.norm(x[1]), x[0]))[:5]
+        assert [i for _, i in sorted(found)] == [i for i, _ in near]
