@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 BUCKET_BYTES = 8_000_000
 SHARDS = 8
@@ -20,23 +21,29 @@ def external_shuffle(documents: DataFrame, shards: int = SHARDS, seed: int = 20,
 
     Law of the shards: row counts differ by one at most, and slots run from 0 without gaps.  The order is a function of
     ids, texts and the seed; rows alike in both are interchangeable and share a bucket.  Null ids and texts are values
-    like others.  Columns named like the added ones are replaced.
+    like others.  Columns named like the added ones are replaced;
+    others may have any name and type, maps at the top level included.
     """
     documents = documents.drop("bucket", "place", "shard", "slot")
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
     total = documents.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     buckets = max(1, -(-total // bucket_bytes))
-    hashed = documents.select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("_hash"), "*").withColumn("bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
+    maps = {f.name for f in documents.schema if isinstance(f.dataType, MapType)}  # have no order, their entries do
+    fields = [(F.map_entries(F.col(f"`{c}`")) if c in maps else F.col(f"`{c}`")).alias(c) for c in documents.columns]
+    # The record goes as one struct, so no column of it can clash.
+    record = F.struct(F.xxhash64(F.lit(seed), "doc_id", "text").alias("hash"), F.struct(*fields).alias("doc"))
+    hashed = documents.select(record.alias("r")).select(F.pmod("r.hash", F.lit(buckets)).cast("int").alias("bucket"), "r")
     counts = hashed.groupBy("bucket").agg(F.count("*").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    offsets = counts.select(F.col("bucket").alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    record = F.struct("_hash", *[F.col(f"`{c}`") for c in documents.columns])
-    held = hashed.select("bucket", record.alias("r")).repartitionById(buckets, F.col("bucket"))
+    offsets = counts.select(F.col("bucket").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    held = hashed.repartitionById(buckets, F.col("bucket"))
     # A bucket is bucket_bytes of text on average, whatever the corpus: safe to hold.
     mixed = held.groupBy("bucket").agg(F.shuffle(F.array_sort(F.collect_list("r")), seed).alias("rs"))
-    rows = mixed.select("bucket", F.posexplode("rs").alias("_i", "r"))
-    placed = rows.join(offsets, F.col("bucket") == F.col("_b")).withColumn("place", F.col("_offset") + F.col("_i"))
-    return placed.select(*[F.col("r").getField(c).alias(c) for c in documents.columns], "bucket", "place", F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("long").alias("slot"))
+    rows = mixed.select("bucket", F.posexplode("rs").alias("i", "r"))
+    placed = rows.join(offsets, F.col("bucket") == F.col("of")).select("bucket", "r", (F.col("offset") + F.col("i")).alias("place"))
+    doc = F.col("r.doc")
+    columns = [(F.map_from_entries(doc[c]) if c in maps else doc[c]).alias(c) for c in documents.columns]
+    return placed.select(*columns, "bucket", "place", F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("long").alias("slot"))
 
 
 def write_shards(documents: DataFrame, path: str, **options) -> None:

@@ -55,3 +55,13 @@ def test_written_shards(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.select(docs.columns).exceptAll(docs).count() == 0 and back.count() == docs.count()
     check_law(back.collect())
+
+
+def test_columns_of_any_name_and_type(spark):
+    names = ["_hash", "_b", "_i", "_offset", "r", "n", "rs", "hash", "doc", "of", "i"]
+    rows = [(k if k % 4 else None, f"t{k % 5}", {"a": k, "b": None} if k % 3 else None, *["mine"] * len(names)) for k in range(30)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "m map<string,int>", *[f"{n} string" for n in names]]))
+    out = sharding.external_shuffle(df, bucket_bytes=20).collect()
+    assert sorted(r.place for r in out) == list(range(30))
+    assert sorted((r.doc_id, r.text, r.m) for r in out if r.doc_id) == sorted(r[:3] for r in rows if r[0])
+    assert {r[n] for r in out for n in names} == {"mine"}
