@@ -21,27 +21,45 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN_CHARS = 6
 EXAMPLE_OWNERS = 3  # a value of so many owners is an example
+BLOCK = 64
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of the value, which is worked out once although ``body`` names it often."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _before(sizes: Column) -> Column:
+    """The sum of all elements before each one, by sums of blocks; the array isn't empty."""
+    add = lambda a, x: a + x
+
+    def of(x: Column) -> Column:
+        last = F.floor((F.size(x) - 1) / BLOCK).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(x, k * BLOCK + 1, BLOCK), F.lit(0), add))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, s: F.array_append(acc, F.element_at(acc, -1) + s))
+        return _let(starts, lambda st: F.transform(x, lambda _, i: F.element_at(st, F.floor(i / BLOCK).cast("int") + 1) + F.aggregate(F.slice(x, i - i % BLOCK + 1, i % BLOCK), F.lit(0), add)))
+
+    return _let(sizes, of)
+
+
 def _spans(text: Column, rank: int, pattern: str, found: Column) -> Column:
     """(start, rank, end, value) of all matches, in code points: lengths of the pieces between them and of themselves add up.
 
     A match's value is its secret part: group 2 of an assignment, else all of it; too short assignments fall out.
     """
-    pieces = F.split(text, pattern, -1)
-    match = F.transform(found, lambda m, i: F.struct(F.length(F.element_at(pieces, i + 1)).alias("gap"), m.alias("m"), (F.regexp_extract(m, pattern, 2) if rank == 0 else m).alias("value")))
+    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    match = F.zip_with(found, pieces, lambda m, p: F.struct(
+        F.length(p).alias("gap"), F.length(m).alias("size"), (F.regexp_extract(m, pattern, 2) if rank == 0 else m).alias("value")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["value"].alias("value"))
-        keep = F.length(x["value"]) >= ASSIGN_CHARS if rank == 0 else F.lit(True)
-        return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def placed(ms: Column) -> Column:
+        return F.zip_with(ms, _before(F.transform(ms, lambda x: x["gap"] + x["size"])), lambda x, at: F.struct(
+            (at + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (at + x["gap"] + x["size"]).alias("end"), x["value"].alias("value")))
 
-    none = F.array().cast(SPAN)
-    walked = F.aggregate(match, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(none)
+    spans = _let(match, placed)
+    if rank == 0:
+        spans = F.filter(spans, lambda x: F.length(x["value"]) >= ASSIGN_CHARS)
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(SPAN))
 
 
 def candidates(documents: DataFrame, repository: str, owner: str) -> DataFrame:
@@ -124,17 +142,22 @@ def redact(documents: DataFrame, repository: str = "doc_id", owner: str = "sourc
 
     Overlapping values are taken out together.  Rows without live values keep their text and count, nulls included.
     """
-    live = scan(documents, repository, owner).where(F.size("live") > 0).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("live").alias("_live")).dropDuplicates(["_id", "_row"])
-    joined = documents.withColumn("_key", F.xxhash64("doc_id", "text")).join(live, (F.col("_key") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    live = scan(documents, repository, owner).where(F.size("live") > 0).select("doc_id", "row", "live").dropDuplicates(["doc_id", "row"])
+    live = live.select(F.struct("doc_id", "row").alias("of"), "live")
+    # The whole document goes as one struct, so no column of it can clash.
+    rows = documents.select(F.struct("doc_id", F.xxhash64("doc_id", "text").alias("row")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"))
+    joined = rows.join(live, (F.col("key.row") == F.col("of.row")) & F.col("key.doc_id").eqNullSafe(F.col("of.doc_id")), "left")
+    given = F.col("doc")["text"]
 
     def step(acc: Column, s: Column) -> Column:
         new = s["start"] >= acc["at"]
-        out = F.when(new, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
+        out = F.when(new, F.concat(acc["out"], F.substring(given, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(F.aggregate("_live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest))
-    cols = [F.col(c) for c in documents.columns]
-    out = joined.select(*cols, F.col("_live").isNotNull().alias("_cut"), text.alias("_text"))
-    changed = {"text": F.col("_text"), "n_chars": F.when(F.col("_cut"), F.length("_text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in documents.columns else {"text": F.col("_text")}
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in documents.columns])
+    rest = lambda acc: F.concat(acc["out"], F.substring(given, acc["at"] + 1, F.length(given)))
+    text = F.when(F.col("live").isNull(), given).otherwise(F.aggregate("live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest))
+    out = joined.select("doc", F.col("live").isNotNull().alias("cut"), text.alias("new"))
+    columns = {c: F.col("doc")[c] for c in documents.columns} | {"text": F.col("new")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("cut"), F.length("new").cast("long")).otherwise(columns["n_chars"])
+    return out.select(*[columns[c].alias(c) for c in documents.columns])

@@ -1,16 +1,19 @@
 """Spans and ownership against regular expressions and counts in plain Python."""
 
 import hashlib
+import time
 
+import pytest
 from tests_llm_brute import secrets_of as brute
 
 from tapewell.llm import q_secrets, secrets
 
-def test_whole_table(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_whole_table(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
     want, texts = brute(rows)
-    assert sorted(tuple(r) for r in q_secrets.op7_secret_scan(spark, "/root/testdata/sf0.01").collect()) == sorted(want)
+    assert sorted(tuple(r) for r in q_secrets.op7_secret_scan(spark, f"/root/testdata/{sf}").collect()) == sorted(want)
     assert sum(w[1] for w in want) and sum(w[3] for w in want)
     new = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(docs).collect()}
     assert {i: t for i, (t, _) in new.items()} == texts
@@ -55,3 +58,19 @@ def test_random_values_with_a_run_are_live_in_the_table(spark):
     some = docs.where(docs.text.contains(runs[0]) | docs.text.contains(runs[1]))
     texts = [r.text for r in secrets.redact(some).collect()]
     assert len(texts) >= 2 and not any(v in t for v in runs for t in texts)
+
+
+def test_columns_of_any_name_survive(spark):
+    names = ["_key", "_id", "_row", "_live", "_cut", "_text", "key", "doc", "live", "row", "of", "new", "cut"]
+    df = spark.createDataFrame([(1, "secret = Zx81kTq0Pw77LmN2aB", "a", *["mine"] * len(names)), (None, None, "b", *["mine"] * len(names))], ", ".join(["doc_id long", "text string", "source string", *[f"{n} string" for n in names]]))
+    rows = secrets.redact(df).collect()
+    assert sorted(r.text or "" for r in rows) == ["", "secret = [secret]"] and {r[n] for r in rows for n in names} == {"mine"}
+
+
+def test_very_many_spans_of_one_text(spark):
+    n = 100_000
+    text = " ".join(f"é token=ab{k:06d}" for k in range(n))
+    began = time.time()
+    r = secrets.scan(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).select("base").first()
+    assert time.time() - began < 60
+    assert len(r.base) == n and [(s.start, s.end) for s in r.base] == [(17 * k + 2, 17 * k + 16) for k in range(n)]

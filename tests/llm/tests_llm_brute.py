@@ -45,9 +45,17 @@ def live_looking(v):
     return len(v) >= 12 and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and not re.search(r"(.)\1{3}", v)
 
 
+def placeholder(v):
+    core = re.sub("^(AKIA)+", "", v)
+    low = v.lower()
+    m = re.fullmatch("([a-z]{0,26})([0-9]{0,10})", low)
+    in_order = m and m[1] in "abcdefghijklmnopqrstuvwxyz" and m[2] in "01234567890"
+    return len(set(core)) <= 2 or in_order or not re.sub("password|passwd|secret|token|api_?key|[^a-z0-9]", "", low)
+
+
 def secrets_of(rows):
     """rows: (id, text, owner)"""
-    found, owners = [], defaultdict(set)
+    found, owners, named = [], defaultdict(set), set()
     for i, t, owner in rows:
         t = t or ""
         base = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
@@ -57,7 +65,8 @@ def secrets_of(rows):
         found.append((i, t, sorted(base), tokens))
         for s in base + tokens:
             owners[s[3]].add(owner or "")
-    live = {v for v, o in owners.items() if len(o) < 3 and live_looking(v)}
+        named |= {s[3] for s in base if not placeholder(s[3])}
+    live = {v for v, o in owners.items() if len(o) < 3 and (v in named or live_looking(v))}
     kinds = ("assign", "access", "hex", "token")
     write = lambda spans: ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b, _ in spans)
     out, texts = [], {}
