@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+from tapewell.session import checkpointed
+
 BUCKET_BYTES = 8_000_000
 SHARDS = 8
 
@@ -35,7 +37,8 @@ def external_shuffle(documents: DataFrame, shards: int = SHARDS, seed: int = 20,
     hashed = documents.select(record.alias("r")).select(F.pmod("r.hash", F.lit(buckets)).cast("int").alias("bucket"), "r")
     counts = hashed.groupBy("bucket").agg(F.count("*").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    offsets = counts.select(F.col("bucket").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    # Written first, so that its size is known when the join is planned: records are shuffled again only beyond a broadcast.
+    offsets = checkpointed(counts.select(F.col("bucket").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
     held = hashed.repartitionById(buckets, F.col("bucket"))
     # A bucket is bucket_bytes of text on average, whatever the corpus: safe to hold.
     mixed = held.groupBy("bucket").agg(F.shuffle(F.array_sort(F.collect_list("r")), seed).alias("rs"))
