@@ -51,9 +51,18 @@ def split_item(text: str) -> tuple[str, str]:
     return text[:cut], text[cut:]
 
 
-def _shingles(text: str) -> np.ndarray:
-    w = terms_of(pa.array([text]))
-    return np.unique(grams(w, min(SHINGLE, max(1, len(w.key))))[0])
+def run_lengths(question: int, answer: int) -> tuple[int, int]:
+    """Words to a run of a question and an answer with so many words.
+
+    A changed word breaks as many runs as a run has words, so the runs of a short answer are as long as one changed word
+    leaves half of them: one word up to four, two words up to seven, five from fourteen on.  Questions keep runs of five,
+    which tie the answer's words to the item.
+    """
+    return min(SHINGLE, question), min(SHINGLE, answer, max(1, (answer + 1) // 3))
+
+
+def _runs(text: str, length: int) -> np.ndarray:
+    return np.unique(grams(terms_of(pa.array([text])), max(1, length))[0])
 
 
 @dataclass
@@ -63,7 +72,7 @@ class Index:
     most: np.ndarray  # the largest impact of each term
     block: np.ndarray  # and that in each block of items
     lists: list  # per term: items, impacts, block maxima
-    parts: list  # per item: (shingle length, shingles) of question and answer
+    parts: list  # per item: (run length, runs) of question and answer
     longest: int
     bucket: np.ndarray
 
@@ -91,11 +100,9 @@ def build(items: list[tuple]) -> Index:
         lists.append((item[order[a:b]].tolist(), own.tolist(), [float(own[k : k + POSTINGS].max()) for k in range(0, b - a, POSTINGS)]))
     parts = []
     for t in texts:
-        both = []
-        for part in split_item(t):
-            n = len(terms_of(pa.array([part])).key)
-            both.append((min(SHINGLE, n), _shingles(part)))
-        parts.append(both)
+        both = split_item(t)
+        lengths = run_lengths(*[len(terms_of(pa.array([part])).key) for part in both])
+        parts.append([(n, _runs(part, n)) for n, part in zip(lengths, both, strict=True)])
     bucket = np.zeros(1 << _BUCKETS, bool)
     bucket[(terms >> U(64 - _BUCKETS)).astype(np.int64)] = True
     return Index([i for i, _ in items], terms, most, block, lists, parts, int(length.max(initial=0)), bucket)
@@ -210,8 +217,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """(doc_id, item_id, score, question_overlap, answer_overlap): documents with a passage that holds a test item.
 
     A pair is reported if the item's BM25 score by the passage reaches ``threshold`` of the item's own total and the
-    passage has at least the share ``overlap`` of the runs of five words of its question and of its answer.  Null and
-    empty texts and items match nothing; rows with a null doc_id are searched and reported with it; repeated rows are
+    passage has at least the share ``overlap`` of the runs of five words of its question and of the runs of its answer
+    (``run_lengths``), so one changed word of an answer of two or more words doesn't hide an item.  Null and empty texts and items match nothing; rows with a null doc_id are searched and reported with it; repeated rows are
     reported each.  Other columns are ignored.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -59,6 +59,19 @@ def test_edits_blocks_and_odd_rows(spark, monkeypatch):
     assert dc.clean(docs, bench.where("false")).count() == len(rows)
 
 
+def test_one_changed_word_of_a_short_answer(spark):
+    question = "Which colour do the old tables of the harbour office give for the hull of the ferry?"
+    answers = ["gray", "light gray", "pale light gray", "a pale light gray", "a pale light gray stripe", "one pale light gray stripe below deck", "one very pale light gray stripe below the deck"]
+    items = [(i, f"{question}\n{a}") for i, a in enumerate(answers)]
+    filler = " ".join(f"w{k}" for k in range(150))
+    docs = [(100 * i + k, f"{filler} {question} {' '.join('changed' if j == k else w for j, w in enumerate(a.split()))} {filler}") for i, a in enumerate(answers) for k in range(len(a.split()))]
+    found = {(r.doc_id, r.item_id) for r in dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all((d, d // 100) in found for d, _ in docs if d >= 100)
+    assert (0, 0) not in found  # nothing of a one-word answer is left
+    plain = spark.createDataFrame([(1, f"{filler} {question} {filler}"), (2, f"{filler} pale light gray stripe below {filler}")], "doc_id long, text string")
+    assert dc.leaks(plain, spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
 def test_question_and_answer():
     assert dc.split_item("a b?\nc d.") == ("a b?", "\nc d.")
     assert dc.split_item("a b. c d.") == ("a b. ", "c d.")
