@@ -133,6 +133,11 @@ def _reasons(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:
     return df.select(*PAIR, F.explode(F.array_compact(items)).alias("x")).select(*PAIR, "x.*")
 
 
+def measured(value: Column, places: int = 10) -> Column:
+    """A number as reasons carry it: rounded, without trailing zeros."""
+    return F.regexp_replace(F.format_string(f"%.{places}f", value), r"(\.\d+?)0+$", "$1")
+
+
 def regime_gates(regime: DataFrame, comparison: DataFrame, modes: DataFrame | None = None) -> DataFrame:
     """Reasons a candidate fails in high volatility: drawdown (10 % worse, 2 points worse), exposure
     (cap 0.40 and baseline), Sharpe (-15 %) and turnover (+20 %), and mode churn (over 10 % of steps).
@@ -174,7 +179,8 @@ def execution_gates(
     fees_pct: float = 10.0, turnover_pct: float = 10.0,
 ) -> DataFrame:
     """Reasons on execution quality: hard caps on halts, rejects, fills and p95 slippage; soft limits on
-    the drift of slippage, fees and turnover; a Sharpe drop that comes with more slippage."""
+    the drift of slippage, fees and turnover; a Sharpe drop that comes with more slippage.  A candidate without any of
+    these metrics has one reason only."""
     df = _spread(comparison, "metric_id", [*EXECUTION_METRICS, "performance.sharpe"])
 
     def c(m: str) -> Column:
@@ -183,8 +189,10 @@ def execution_gates(
     def b(m: str) -> Column:
         return F.col(f"b_execution_summary_{m}")
 
+    some = F.coalesce(*[F.col("c_" + m.replace(".", "_")) for m in EXECUTION_METRICS]).isNotNull()
+
     def hard(m: str, bad: Column, reason: str) -> tuple[str, Column]:
-        return "hard", F.when(c(m).isNull(), f"missing_execution_metric:execution.summary.{m}").when(bad, reason)
+        return "hard", F.when(some & c(m).isNull(), f"missing_execution_metric:execution.summary.{m}").when(bad, reason)
 
     def drift(m: str, limit: float, percent: bool) -> tuple[str, Column]:
         d = c(m) - b(m)
@@ -193,6 +201,7 @@ def execution_gates(
 
     worse = (F.col("c_performance_sharpe") - F.col("b_performance_sharpe") < -TOL) & (c("avg_slippage_bps") - b("avg_slippage_bps") > TOL)
     return _reasons(df, [
+        ("hard", F.when(~some, "execution_metrics_missing")),
         hard("execution_halts", c("execution_halts") > TOL, "execution_halts_detected"),
         hard("reject_rate", c("reject_rate") > max_reject + TOL, "execution_reject_rate_exceeded"),
         hard("fill_rate", c("fill_rate") < min_fill - TOL, "execution_fill_rate_below_minimum"),
@@ -202,8 +211,8 @@ def execution_gates(
     ])
 
 
-def base_gates(comparison: DataFrame, report: DataFrame, *, max_drawdown: float = 1.0, max_turnover: float = 1.0) -> DataFrame:
-    """Reasons from regression gates, constraint counts, sanity limits, Sharpe and stability."""
+def base_gates(comparison: DataFrame, report: DataFrame, *, max_drawdown: float = 1.0, max_turnover: float = 1.0, places: int = 10) -> DataFrame:
+    """Reasons from regression gates, constraint counts, sanity limits, Sharpe and stability, with the measured values."""
     counts = ("constraint_violations_count", "max_weight_violation_count", "exposure_violation_count", "turnover_violation_count")
     stable = ("mode_churn_rate", "cost_curve_span")
     names = [*[f"safety.{m}" for m in (*counts, "nan_inf_violations")], "performance.max_drawdown", "trading.turnover_1d_mean", "performance.sharpe", "trading.turnover_1d_std", *[f"stability.{m}" for m in stable]]
@@ -216,7 +225,8 @@ def base_gates(comparison: DataFrame, report: DataFrame, *, max_drawdown: float
         return F.col("b_" + m.replace(".", "_"))
 
     first = F.coalesce(*[
-        F.when(c(f"safety.{m}").isNull(), f"missing_metric:safety.{m}").when(c(f"safety.{m}") > 0, f"constraint_violation:{m}") for m in counts])
+        F.when(c(f"safety.{m}").isNull(), f"missing_metric:safety.{m}").when(
+            c(f"safety.{m}") > 0, F.concat(F.lit(f"constraint_violation:{m}="), measured(c(f"safety.{m}"), places))) for m in counts])
     nan, dd, turn = c("safety.nan_inf_violations"), c("performance.max_drawdown"), c("trading.turnover_1d_mean")
     cs, bs = c("performance.sharpe"), b("performance.sharpe")
     return _reasons(df, [
@@ -224,9 +234,9 @@ def base_gates(comparison: DataFrame, report: DataFrame, *, max_drawdown: float
         ("soft", F.when((F.col("overall_status") != "fail") & (F.col("soft_warnings") > 0), "regression_gates_soft_warnings")),
         ("hard", first),
         ("hard", F.when(nan.isNull(), "missing_metric:safety.nan_inf_violations").when(nan > 0, "sanity:nan_inf_detected")),
-        ("hard", F.when(dd.isNull(), "missing_metric:performance.max_drawdown").when(dd > max_drawdown + TOL, "sanity:max_drawdown_exceeded")),
-        ("hard", F.when(turn.isNull(), "missing_metric:trading.turnover_1d_mean").when(turn > max_turnover + TOL, "sanity:turnover_exceeded")),
-        ("soft", F.when(cs.isNull() | bs.isNull(), "soft_gate:sharpe_missing").when(cs + TOL < bs, "soft_gate:sharpe_not_improved")),
+        ("hard", F.when(dd.isNull(), "missing_metric:performance.max_drawdown").when(dd > max_drawdown + TOL, F.concat(F.lit("sanity:max_drawdown_exceeded:"), measured(dd, places)))),
+        ("hard", F.when(turn.isNull(), "missing_metric:trading.turnover_1d_mean").when(turn > max_turnover + TOL, F.concat(F.lit("sanity:turnover_exceeded:"), measured(turn, places)))),
+        ("soft", F.when(cs.isNull() | bs.isNull(), "soft_gate:sharpe_missing").when(cs + TOL < bs, F.concat(F.lit("soft_gate:sharpe_not_improved:"), measured(cs - bs, places)))),
         ("soft", F.when(c("trading.turnover_1d_std") > b("trading.turnover_1d_std") + TOL, "stability_regressed:turnover_std")),
         *[("soft", F.when(c(f"stability.{m}") > b(f"stability.{m}") + TOL, f"stability_regressed:{m}")) for m in stable],
     ])
@@ -252,22 +262,62 @@ def artifact_gates(pairs: DataFrame, present: DataFrame, required: Sequence[str]
     return gone.groupBy(*PAIR).agg(named.alias("reason")).select(*PAIR, F.lit("hard").alias("severity"), "reason")
 
 
-def sweep_gates(pairs: DataFrame, sweeps: DataFrame, *, min_completed: int | None = None, max_failures: int | None = None, severity: str = "soft") -> DataFrame:
-    """Robustness of the sweep a candidate belongs to; ``sweeps`` has candidate, completed, fails."""
-    df = pairs.select(*PAIR).join(sweeps, "candidate", "left")
+# Fixed value: the note on a run compared with itself.
+SAME_RUN = "Baseline equals candidate; delta-based gates skipped (Phase 1 mode)."
+
+
+def presence_gates(pairs: DataFrame, execution: DataFrame, returns: DataFrame) -> DataFrame:
+    """Missing baseline execution metrics, missing replays and runs compared with themselves.
+
+    ``execution`` has run_id and replayed (its state and summary were kept with it) of every run with execution metrics;
+    ``returns`` has run_id and value, one row a step.  A run can be replayed if it has returns, all finite, or such an
+    execution.  A missing execution of the candidate is a reason of ``execution_gates``.
+    """
+    v = F.col("value").cast("double")
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    whole = returns.groupBy(F.col("run_id").alias("candidate")).agg(F.bool_and(finite).alias("whole"))
+    kept = execution.groupBy("run_id").agg(F.bool_or(F.coalesce("replayed", F.lit(False))).alias("kept"))
+    df = pairs.select(*PAIR).join(whole, "candidate", "left")
+    df = df.join(kept.withColumnRenamed("run_id", "candidate"), "candidate", "left")
+    df = df.join(kept.select(F.col("run_id").alias("baseline"), F.lit(True).alias("found")), "baseline", "left")
+    replay = F.coalesce("whole", F.lit(False)) | F.coalesce("kept", F.lit(False))
+    same = F.col("candidate") == F.col("baseline")
+    return _reasons(df, [
+        ("soft", F.when(F.col("found").isNull(), "execution_baseline_metrics_missing")),
+        ("hard", F.when(~replay, "deterministic_replay_missing")), ("soft", F.when(same, SAME_RUN))])
+
+
+def sweep_gates(
+    pairs: DataFrame, sweeps: DataFrame, *, min_completed: int | None = None, max_failures: int | None = None, severity: str = "soft",
+    names: DataFrame | None = None,
+) -> DataFrame:
+    """Robustness of the sweep a candidate belongs to; ``sweeps`` has candidate, completed, fails of the summaries that
+    exist, ``names`` candidate and sweep.  A missing summary is a soft reason whatever the severity."""
+    df = pairs.select(*PAIR).join(sweeps.withColumn("summary", F.lit(True)), "candidate", "left")
+    df = df.withColumn("sweep", F.lit(None).cast("string")) if names is None else df.join(names, "candidate", "left")
     done, fails = F.coalesce("completed", F.lit(0)), F.coalesce("fails", F.lit(0))
+    missing = F.col("summary").isNull()
     low = F.lit(False) if min_completed is None else done < min_completed
     high = F.lit(False) if max_failures is None else fails > max_failures
-    return _reasons(df, [(severity, F.when(F.col("completed").isNull(), "sweep_summary_missing").when(low, "sweep_completed_below_threshold").when(high, "sweep_failures_exceeded"))])
-
-
-def mode_gates(pairs: DataFrame, mode_counts: DataFrame, *, min_modes: int = 0, min_share: float = 0.0, severity: str = "soft") -> DataFrame:
-    """Fewest active modes and smallest share of any mode; ``mode_counts`` has run_id, mode, steps."""
-    per = mode_counts.groupBy(F.col("run_id").alias("candidate")).agg(
-        F.count_if(F.col("steps") > 0).alias("active"), (F.min("steps") / F.sum("steps")).alias("least"))
-    df = pairs.select(*PAIR).join(per, "candidate", "left")
-    return _reasons(df, [(severity, F.when(F.col("active").isNull(), "regime_mode_counts_missing").when(F.col("active") < min_modes, "regime_active_modes_below_threshold")
-                          .when(F.col("least") < min_share, "regime_mode_fraction_below_threshold"))])
+    text = lambda reason, value, sign, limit: F.concat(F.lit(reason), value.cast("string"), F.lit(f"{sign}{limit}"))
+    return _reasons(df, [
+        ("soft", F.when(missing, F.concat_ws(":", F.lit("sweep_summary_missing"), "sweep"))),
+        (severity, F.when(~missing, F.when(low, text("sweep_completed_below_threshold:", done, "<", min_completed)).when(high, text("sweep_failures_exceeded:", fails, ">", max_failures))))])
+
+
+def mode_gates(pairs: DataFrame, mode_counts: DataFrame, *, min_modes: int = 0, min_share: float = 0.0, severity: str = "soft", places: int = 10) -> DataFrame:
+    """Fewest active modes and smallest share of any mode; ``mode_counts`` has run_id, mode, steps.  The first mode by
+    name below the share is the one named."""
+    steps = F.greatest(F.col("steps"), F.lit(0))
+    counts = mode_counts.filter("steps is not null").groupBy(F.col("run_id").alias("candidate"), "mode").agg(F.sum(steps).alias("steps"))
+    total = counts.groupBy("candidate").agg(F.sum("steps").alias("total"), F.count_if(F.col("steps") > 0).alias("active"))
+    share = F.col("steps") / F.col("total")
+    rare = counts.join(total, "candidate").filter((F.col("total") > 0) & (share < min_share)).groupBy("candidate").agg(F.min(F.struct("mode", share.alias("share"))).alias("rare"))
+    df = pairs.select(*PAIR).join(total, "candidate", "left").join(rare, "candidate", "left")
+    named = F.concat(F.lit("regime_mode_fraction_below_threshold:"), F.col("rare.mode"), F.lit(":"), measured(F.col("rare.share"), places), F.lit(f"<{min_share}"))
+    few = F.concat(F.lit("regime_active_modes_below_threshold:"), F.col("active").cast("string"), F.lit(f"<{min_modes}"))
+    return _reasons(df, [(severity, F.when(F.col("active").isNull(), "regime_mode_counts_missing").when(F.col("active") < min_modes, few)
+                          .when(F.col("total") <= 0, "regime_mode_counts_empty").when(F.col("rare").isNotNull(), named))])
 
 
 def verdict(pairs: DataFrame, *reasons: DataFrame) -> DataFrame:

@@ -377,7 +377,18 @@ def _wide(sql_from: str, key: str, names: list[str]) -> str:
 
 
 def _union(source: str, rules: list[tuple[str, str, str]]) -> str:
-    return " UNION ALL ".join(f"SELECT candidate, baseline, '{sev}' AS severity, '{reason}' AS reason FROM {source} WHERE {cond}" for sev, reason, cond in rules)
+    """Rules of (severity, reason, condition); a reason that ends in = or : goes on with the value the condition starts with."""
+    def text(reason: str, cond: str) -> str:
+        return f"'{reason}'" + (f" || {_measured(cond.split(' > ')[0].split(' < ')[0])}" if reason[-1] in "=:" else "")
+
+    return " UNION ALL ".join(f"SELECT candidate, baseline, '{sev}' AS severity, {text(reason, cond)} AS reason FROM {source} WHERE {cond}" for sev, reason, cond in rules)
+
+
+PLACES = 3
+
+
+def _measured(e: str) -> str:
+    return rf"regexp_replace(printf('%.{PLACES}f', {e}), '(\.[0-9]+?)0+$', '\1')"
 
 
 cte("rg_sql", f"""
@@ -393,13 +404,16 @@ cte("regime_reasons_sql", _union("rg_sql", [
     ("soft", "regime_high_vol_turnover_spike", "(c_avg_turnover - b_avg_turnover) / b_avg_turnover * 100 > 20 + 1e-9"),
     ("soft", "hierarchy_mode_transitions_exceeded", "m > ceil(n * 0.1) + 1e-9"),
     ("soft", "hierarchy_never_defensive", "share <= 1e-9"), ("soft", "hierarchy_always_defensive", "share >= 1 - 1e-9")]))
-cte("eg_sql", _wide("cmp_sql", "metric_id", [*gv.EXECUTION_METRICS, "performance.sharpe"]))
-cte("exec_reasons_sql", _union("eg_sql", [
+EXEC_RULES = [
     ("hard", "execution_halts_detected", "c_execution_halts > 1e-9"),
     ("hard", "execution_reject_rate_exceeded", "c_reject_rate > 0.01 + 1e-9"), ("hard", "execution_fill_rate_below_minimum", "c_fill_rate < 0.99 - 1e-9"),
     ("hard", "execution_slippage_exceeded", "abs(c_p95_slippage_bps) > 25 + 1e-9"), ("soft", "execution.summary.avg_slippage_bps_regressed", "c_avg_slippage_bps - b_avg_slippage_bps > 5 + 1e-9"),
     ("soft", "execution.summary.total_fees_regressed", "(c_total_fees - b_total_fees) / b_total_fees * 100 > 10 + 1e-9"), ("soft", "execution.summary.turnover_realized_regressed", "(c_turnover_realized - b_turnover_realized) / b_turnover_realized * 100 > 10 + 1e-9"),
-    ("soft", "execution_sharpe_correlated_with_slippage", "c_sharpe - b_sharpe < -1e-9 AND c_avg_slippage_bps - b_avg_slippage_bps > 1e-9")]))
+    ("soft", "execution_sharpe_correlated_with_slippage", "c_sharpe - b_sharpe < -1e-9 AND c_avg_slippage_bps - b_avg_slippage_bps > 1e-9")]
+# Runs of numbers that divide by 17 have no execution metrics in the verdict.
+cte("cmp_gaps_sql", "SELECT * REPLACE (CASE WHEN metric_id NOT LIKE 'execution.%' OR candidate % 17 <> 0 THEN candidate_value END AS candidate_value, CASE WHEN metric_id NOT LIKE 'execution.%' OR baseline % 17 <> 0 THEN baseline_value END AS baseline_value) FROM cmp_sql")
+for _name, _from in (("exec_reasons_sql", "cmp_sql"), ("exec_reasons_gaps_sql", "cmp_gaps_sql")):
+    cte(_name, _union("(" + _wide(_from, "metric_id", [*gv.EXECUTION_METRICS, "performance.sharpe"]) + ")", EXEC_RULES))
 
 
 def mode_facts(t: Tables):
@@ -428,9 +442,9 @@ JOIN (SELECT candidate, baseline, count(*) FILTER (WHERE status = 'fail') AS hf,
 """)
 cte("base_reasons_sql", _union("bg_sql", [
     ("hard", "regression_gates_failed", "hf > 0"), ("soft", "regression_gates_soft_warnings", "hf = 0 AND sw > 0"),
-    ("hard", "constraint_violation:constraint_violations_count", "c_constraint_violations_count > 0"),
-    ("hard", "sanity:max_drawdown_exceeded", "c_max_drawdown > 0.6 + 1e-9"), ("hard", "sanity:turnover_exceeded", "c_turnover_1d_mean > 0.93 + 1e-9"),
-    ("soft", "soft_gate:sharpe_not_improved", "c_sharpe + 1e-9 < b_sharpe"), ("soft", "stability_regressed:turnover_std", "c_turnover_1d_std > b_turnover_1d_std + 1e-9"),
+    ("hard", "constraint_violation:constraint_violations_count=", "c_constraint_violations_count > 0"),
+    ("hard", "sanity:max_drawdown_exceeded:", "c_max_drawdown > 0.6 + 1e-9"), ("hard", "sanity:turnover_exceeded:", "c_turnover_1d_mean > 0.93 + 1e-9"),
+    ("soft", "soft_gate:sharpe_not_improved:", "c_sharpe - b_sharpe < -1e-9"), ("soft", "stability_regressed:turnover_std", "c_turnover_1d_std > b_turnover_1d_std + 1e-9"),
     ("soft", "stability_regressed:mode_churn_rate", "c_mode_churn_rate > b_mode_churn_rate + 1e-9"), ("soft", "stability_regressed:cost_curve_span", "c_cost_curve_span > b_cost_curve_span + 1e-9")]))
 cte("hv_reasons_sql", _union("rg_sql", [
     ("hard", "regime_high_vol_drawdown_regressed", "c_max_drawdown > b_max_drawdown + 1e-9"), ("hard", "regime_high_vol_exposure_increased", "c_avg_exposure > b_avg_exposure + 1e-9")]))
@@ -440,43 +454,73 @@ WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = candidate AND l_retur
 """)
 
 
+cte("mode_reasons_sql", f"""
+WITH n AS (SELECT run_id, mode, count(*) AS n, count(*) / CAST(sum(count(*)) OVER (PARTITION BY run_id) AS DOUBLE) AS share FROM modes_sql WHERE step > 0 AND run_id % 11 <> 0 GROUP BY 1, 2),
+p AS (SELECT run_id, count(*) AS active, min(mode) FILTER (WHERE share < 0.2) AS mode, arg_min(share, mode) FILTER (WHERE share < 0.2) AS share FROM n GROUP BY 1),
+r AS (SELECT candidate, baseline, CASE WHEN active IS NULL THEN 'regime_mode_counts_missing' WHEN active < 3 THEN 'regime_active_modes_below_threshold:' || active || '<3' WHEN share < 0.2 THEN 'regime_mode_fraction_below_threshold:' || mode || ':' || {_measured("share")} || '<0.2' END AS reason FROM pairs_sql LEFT JOIN p ON run_id = candidate)
+SELECT candidate, baseline, 'soft' AS severity, reason FROM r WHERE reason IS NOT NULL
+""")
+cte("sweep_reasons_sql", """
+WITH s AS (SELECT l_suppkey AS candidate, count(*) FILTER (WHERE l_returnflag <> 'R') AS completed, count(*) FILTER (WHERE l_returnflag = 'R' AND l_tax >= 0.07) AS fails FROM lineitem WHERE l_suppkey % 13 <> 0 GROUP BY 1),
+r AS (SELECT p.candidate, p.baseline, completed IS NULL AS missing, CASE WHEN completed IS NULL THEN 'sweep_summary_missing' || CASE WHEN p.candidate % 26 = 0 THEN ':sweep-' || p.candidate ELSE '' END WHEN completed < 380 THEN 'sweep_completed_below_threshold:' || completed || '<380' WHEN fails > 45 THEN 'sweep_failures_exceeded:' || fails || '>45' END AS reason FROM pairs_sql p LEFT JOIN s ON s.candidate = p.candidate)
+SELECT candidate, baseline, CASE WHEN missing THEN 'soft' ELSE 'hard' END AS severity, reason FROM r WHERE reason IS NOT NULL
+""")
+cte("presence_reasons_sql", f"""
+SELECT candidate, baseline, 'soft' AS severity, 'execution_baseline_metrics_missing' AS reason FROM pairs_sql WHERE baseline % 17 = 0 OR baseline NOT IN (SELECT run_id FROM exec_sql)
+UNION ALL SELECT candidate, baseline, 'hard', 'deterministic_replay_missing' FROM pairs_sql WHERE candidate % 7 = 0 AND NOT (candidate % 3 = 0 AND candidate % 17 <> 0)
+UNION ALL SELECT candidate, baseline, 'soft', '{gv.SAME_RUN}' FROM pairs_sql WHERE candidate = baseline
+UNION ALL SELECT candidate, baseline, 'hard', 'execution_metrics_missing' FROM pairs_sql WHERE candidate % 17 = 0
+""")
+
+
+def mode_counts(t: Tables):
+    """Mode counts of the runs; every eleventh run has none."""
+    return steps_modes(t).filter("step > 0 and run_id % 11 <> 0").groupBy("run_id", "mode").agg(F.count(F.lit(1)).alias("steps"))
+
+
+def sweep_counts(t: Tables):
+    """A supplier's lines as the runs of its sweep; every thirteenth supplier has no summary."""
+    li = t.lineitem.filter("l_suppkey % 13 <> 0")
+    return li.groupBy(F.col("l_suppkey").alias("candidate")).agg(F.count_if(F.col("l_returnflag") != "R").alias("completed"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.07)).alias("fails"))
+
+
+def named_sweep_gates(t: Tables, p):
+    names = p.select("candidate", F.when(F.col("candidate") % 26 == 0, F.concat(F.lit("sweep-"), F.col("candidate").cast("string"))).alias("sweep")).distinct()
+    return gv.sweep_gates(p, sweep_counts(t), min_completed=380, max_failures=45, severity="hard", names=names)
+
+
 @query("t17_promotion_verdict", "candidate:i baseline:i failed_hard failed_soft passed:b", """
-WITH r AS (SELECT * FROM base_reasons_sql UNION ALL SELECT * FROM hv_reasons_sql UNION ALL SELECT * FROM regime_reasons_sql UNION ALL SELECT * FROM exec_reasons_sql UNION ALL SELECT * FROM art_sql),
+WITH r AS (SELECT * FROM base_reasons_sql UNION ALL SELECT * FROM hv_reasons_sql UNION ALL SELECT * FROM regime_reasons_sql UNION ALL SELECT * FROM exec_reasons_gaps_sql UNION ALL SELECT * FROM art_sql
+  UNION ALL SELECT * FROM mode_reasons_sql UNION ALL SELECT * FROM sweep_reasons_sql UNION ALL SELECT * FROM presence_reasons_sql),
 g AS (SELECT candidate, baseline, string_agg(DISTINCT reason, ',' ORDER BY reason) FILTER (WHERE severity = 'hard') AS h, string_agg(DISTINCT reason, ',' ORDER BY reason) FILTER (WHERE severity = 'soft') AS s FROM r GROUP BY 1, 2)
 SELECT candidate, baseline, coalesce(h, '') AS failed_hard, coalesce(s, '') AS failed_soft, h IS NULL AS passed FROM pairs_sql LEFT JOIN g USING (candidate, baseline)
 """)
 def _(t):
-    """All qualification rules; an artifact counts as present where the supplier has such a line."""
+    """All qualification rules.  An artifact counts as present where the supplier has such a line; runs that divide by 17
+    have no execution metrics, those that divide by 7 a broken series of returns, and every third run kept its execution's state."""
     p = checkpointed(pairs(t))
-    c, b = comparison(t), bucket_comparison(t)
+    m = all_metrics(t)
+    c = checkpointed(gv.compare(m.filter("metric_id not like 'execution.%' or run_id % 17 <> 0"), p))
+    b = bucket_comparison(t)
     report = gv.gate_report(gv.regression_gates(c, p))
     have = t.lineitem.filter("l_quantity = 50 and l_linenumber = 7").select(F.col("l_suppkey").alias("run_id"), F.col("l_returnflag").alias("artifact"))
+    executed = m.filter("metric_id like 'execution.%' and run_id % 17 <> 0 and value is not null").select("run_id", (F.col("run_id") % 3 == 0).alias("replayed")).distinct()
+    broken = (F.col("run_id") % 7 == 0) & (F.col("step") % 2 == 0)
+    returns = steps_modes(t).select("run_id", F.when(~broken, F.col("account_value")).alias("value"))
     return gv.verdict(
-        p, gv.base_gates(c, report, max_drawdown=0.6, max_turnover=0.93), gv.high_vol_gates(b, p), gv.regime_gates(b, c, mode_facts(t)),
-        gv.execution_gates(c), gv.artifact_gates(p, have, ["A", "N", "R"]))
+        p, gv.base_gates(c, report, max_drawdown=0.6, max_turnover=0.93, places=PLACES), gv.high_vol_gates(b, p), gv.regime_gates(b, c, mode_facts(t)),
+        gv.execution_gates(c), gv.artifact_gates(p, have, ["A", "N", "R"]), gv.mode_gates(p, mode_counts(t), min_modes=3, min_share=0.2, places=PLACES),
+        named_sweep_gates(t, p), gv.presence_gates(p, executed, returns))
 
 
-@query("t17b_mode_gates", REASONS, """
-WITH n AS (SELECT run_id, mode, count(*) AS n FROM modes_sql WHERE step > 0 GROUP BY 1, 2), p AS (SELECT run_id, count(*) AS active, min(n) / CAST(sum(n) AS DOUBLE) AS least FROM n WHERE run_id % 11 <> 0 GROUP BY 1),
-r AS (SELECT candidate, baseline, CASE WHEN active IS NULL THEN 'regime_mode_counts_missing' WHEN active < 3 THEN 'regime_active_modes_below_threshold' WHEN least < 0.2 THEN 'regime_mode_fraction_below_threshold' END AS reason FROM pairs_sql LEFT JOIN p ON run_id = candidate)
-SELECT candidate, baseline, 'soft' AS severity, reason FROM r WHERE reason IS NOT NULL
-""")
+@query("t17b_mode_gates", REASONS, "SELECT * FROM mode_reasons_sql")
 def _(t):
-    """Mode counts of the runs; every eleventh run has none."""
-    counts = steps_modes(t).filter("step > 0 and run_id % 11 <> 0").groupBy("run_id", "mode").agg(F.count(F.lit(1)).alias("steps"))
-    return gv.mode_gates(pairs(t), counts, min_modes=3, min_share=0.2)
+    return gv.mode_gates(pairs(t), mode_counts(t), min_modes=3, min_share=0.2, places=PLACES)
 
 
-@query("t17c_sweep_gates", REASONS, """
-WITH s AS (SELECT l_suppkey AS candidate, count(*) FILTER (WHERE l_returnflag <> 'R') AS completed, count(*) FILTER (WHERE l_returnflag = 'R' AND l_tax >= 0.07) AS fails FROM lineitem WHERE l_suppkey % 13 <> 0 GROUP BY 1),
-r AS (SELECT p.candidate, p.baseline, CASE WHEN completed IS NULL THEN 'sweep_summary_missing' WHEN completed < 380 THEN 'sweep_completed_below_threshold' WHEN fails > 45 THEN 'sweep_failures_exceeded' END AS reason FROM pairs_sql p LEFT JOIN s ON s.candidate = p.candidate)
-SELECT candidate, baseline, 'soft' AS severity, reason FROM r WHERE reason IS NOT NULL
-""")
+@query("t17c_sweep_gates", REASONS, "SELECT * FROM sweep_reasons_sql")
 def _(t):
-    """A supplier's lines as the runs of its sweep; every thirteenth supplier has no summary."""
-    li = t.lineitem.filter("l_suppkey % 13 <> 0")
-    sweeps = li.groupBy(F.col("l_suppkey").alias("candidate")).agg(F.count_if(F.col("l_returnflag") != "R").alias("completed"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.07)).alias("fails"))
-    return gv.sweep_gates(pairs(t), sweeps, min_completed=380, max_failures=45)
+    return named_sweep_gates(t, pairs(t))
 
 
 # -- sweeps ----------------------------------------------------------------------------------
