@@ -11,7 +11,7 @@ from tapewell.plans.catalog import cte, query
 from tapewell.plans.q_core import bars_h
 from tapewell.schemas import DOMAINS
 from tapewell.session import scratch_path
-from tapewell.sources import readers, sinks, snapshots
+from tapewell.sources import archives, readers, sinks, snapshots
 from tapewell.sources.tables import DAY, Tables
 
 VENDORS = ("v0", "v1", "v2")
@@ -45,6 +45,17 @@ def _(t):
     return readers.option_flat_files(t.spark, path)
 
 
+@query("s02b_zip_members", "option_symbol ts:t open_interest:f", """
+SELECT 'O:' || CAST(l_partkey AS VARCHAR) AS option_symbol, l_shipdate AS ts, sum(l_quantity) AS open_interest FROM lineitem GROUP BY 1, 2
+""")
+def _(t):
+    """Open interest through zip archives of several csv and JSON-lines members."""
+    path = scratch_path(t.spark, "option-archives")
+    archives.write_zip(t.option_interest().select(
+        F.col("option_symbol").alias("ticker"), F.col("date").cast("string").alias("date"), F.col("open_interest").cast("string").alias("oi")), path)
+    return readers.option_flat_files(t.spark, path, "zip")
+
+
 cte("filings", """
 SELECT symbol, 'quarterly' AS period, CAST(date_trunc('quarter', d) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS report_date,
   CAST(date_trunc('quarter', d) + INTERVAL 3 MONTH - INTERVAL 1 DAY + INTERVAL 45 DAY AS DATE) AS filing_date,
@@ -205,33 +216,68 @@ def _(t):
     return readers.list_payload(docs, "insider_trades", "ticker: string, name: string, value: double", "v0")
 
 
-@query("s13_experiment_corpus", "experiment_id recorded_at performance_total_return:f2 trading_turnover:f2", """
-SELECT 'run-' || CAST(l_suppkey AS VARCHAR) AS experiment_id, strftime(max(l_shipdate), '%Y-%m-%d') AS recorded_at,
-  round(sum(l_quantity), 2) AS performance_total_return, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE round(sum(l_quantity), 2) * 2 END AS trading_turnover
-FROM lineitem GROUP BY l_suppkey
+cte("corpus_sql", """
+SELECT l_suppkey AS k, 'run-' || CAST(l_suppkey AS VARCHAR) AS experiment_id, strftime(max(l_shipdate), '%Y-%m-%d') AS recorded_at, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1
 """)
-def _(t):
-    """Metric payloads as files, read back to one row per experiment; NaN becomes null."""
+
+
+def experiment_tree(t: Tables) -> str:
+    """A registry: folders of an evaluation in one of three layouts, a spec and a log; every seventh evaluation is cut off,
+    every ninth experiment has no log, every eleventh no evaluation."""
     path = scratch_path(t.spark, "experiments")
-    s = t.lineitem.groupBy("l_suppkey").agg(F.round(F.sum("l_quantity"), 2).alias("q"), F.max("l_shipdate").alias("d"))
-    s.select(F.format_string(
-        '{"experiment_id": "run-%s", "recorded_at": "%s", "performance": {"total_return": %s}, "trading": {"turnover": %s}}',
-        F.col("l_suppkey").cast("string"), F.date_format("d", "yyyy-MM-dd"), F.col("q").cast("string"),
-        F.when(F.col("l_suppkey") % 5 == 0, '"NaN"').otherwise((F.col("q") * 2).cast("string")),
-    ).alias("value")).write.text(path)
-    docs = t.spark.read.text(path).select(F.col("value").alias("payload"))
-    return readers.summaries_from_payloads(docs, ["performance.total_return", "trading.turnover"])
+    s = t.lineitem.groupBy(F.col("l_suppkey").alias("k")).agg(F.round(F.sum("l_quantity"), 2).alias("q"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("d"))
+    k, q = F.col("k"), F.col("q").cast("string")
+    turnover = F.when(k % 5 == 0, '"NaN"').otherwise((F.col("q") * 2).cast("string"))
+    nested = F.format_string('{"performance": {"total_return": %s}, "trading": {"turnover": %s}}', q, turnover)
+    below = F.format_string('{"metrics": {"performance": {"total_return": %s}, "trading": {"turnover": %s}}}', q, turnover)
+    flat = F.format_string('{"performance.total_return": %s, "trading.turnover": %s}', q, turnover)
+    made = F.when(k % 3 == 0, nested).when(k % 3 == 1, below).otherwise(flat)
+    files = F.array(
+        F.when(k % 11 != 0, F.struct(F.lit("evaluation").alias("kind"), F.when(k % 7 == 0, F.expr("'{\"performance\": {'")).otherwise(made).alias("value"))),
+        F.struct(F.lit("spec").alias("kind"), F.format_string('{"policy": "p%d"}', k % 4).alias("value")),
+        F.when(k % 9 != 0, F.struct(F.lit("logs").alias("kind"), F.format_string('{"recorded_at": "%s"}', F.col("d")).alias("value"))))
+    rows = s.select(F.concat(F.lit("run-"), k.cast("string")).alias("experiment"), F.explode(F.array_compact(files)).alias("f")).select("experiment", "f.*")
+    rows.repartition("experiment").write.partitionBy("experiment", "kind").text(path)
+    return path
 
 
-@query("s14_step_log", "run_id:i step:i value:f2", "SELECT o_custkey AS run_id, o_orderkey AS step, o_totalprice AS value FROM orders WHERE o_orderkey % 13 <> 0")
+@query("s13_experiment_corpus", "experiment_id recorded_at policy performance_total_return:f2 trading_turnover:f2", """
+SELECT experiment_id, CASE WHEN k % 9 <> 0 THEN recorded_at END AS recorded_at, 'p' || (k % 4) AS policy, CASE WHEN k % 7 <> 0 THEN q END AS performance_total_return, CASE WHEN k % 5 <> 0 AND k % 7 <> 0 THEN q * 2 END AS trading_turnover
+FROM corpus_sql WHERE k % 11 <> 0
+""")
 def _(t):
-    """JSON-lines step log with unreadable lines."""
+    """Documents of three layouts, broken ones among them, to one row per experiment; NaN becomes null."""
+    return readers.experiment_summaries(t.spark, experiment_tree(t), ["performance.total_return", "trading.turnover"], ["policy"])[0]
+
+
+@query("s13b_broken_documents", "experiment_id kind payload", """
+SELECT experiment_id, 'evaluation' AS kind, '{"performance": {' AS payload FROM corpus_sql WHERE k % 11 <> 0 AND k % 7 = 0
+""")
+def _(t):
+    """The documents of that corpus that are no JSON."""
+    broken = readers.experiment_summaries(t.spark, experiment_tree(t), ["performance.total_return"])[1]
+    return broken.withColumn("payload", F.trim(F.regexp_replace("payload", "\\n", "")))
+
+
+def step_log(t: Tables):
     path = scratch_path(t.spark, "steps")
     good = F.to_json(F.struct(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("step"), F.col("o_totalprice").alias("value")))
     t.orders.select(F.when(F.col("o_orderkey") % 13 == 0, F.lit('{"run_id": 1, "step":')).otherwise(good).alias("value")).write.text(path)
     return readers.json_lines(t.spark, path, "run_id bigint, step bigint, value double")
 
 
+@query("s14_step_log", "run_id:i step:i value:f2", "SELECT o_custkey AS run_id, o_orderkey AS step, o_totalprice AS value FROM orders WHERE o_orderkey % 13 <> 0")
+def _(t):
+    """JSON-lines step log with unreadable lines."""
+    return step_log(t)[0]
+
+
+@query("s14b_bad_lines", "line n:i", """SELECT '{"run_id": 1, "step":' AS line, count(*) AS n FROM orders WHERE o_orderkey % 13 = 0 GROUP BY 1""")
+def _(t):
+    """The lines of that log that are no JSON."""
+    return step_log(t)[1].groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s15_task_ledger", "id:i ts:t status", """
 SELECT event_id AS id, ts, event_type AS status FROM events WHERE event_type = 'error' AND props LIKE '%: 6%' ORDER BY ts DESC, event_id DESC LIMIT 50
 """)
@@ -270,6 +316,18 @@ def _(t):
     return back.groupBy("underlying", "date").agg(F.count(F.lit(1)).alias("contracts"), F.sum("open_interest").alias("open_interest"))
 
 
+@query("k02b_day_folders", "kind day:d n:i low:f", """
+SELECT event_type AS kind, CAST(ts AS DATE) AS day, count(*) AS n, min(value) AS low FROM events GROUP BY 1, 2
+""")
+def _(t):
+    """Events by kind in year, month and day folders, the day read back from the folder names."""
+    path = scratch_path(t.spark, "event-days")
+    e = t.events.select(F.col("event_type").alias("kind"), "ts", "value")
+    sinks.write_daily(e, path, "kind", "ts", ["ts"])
+    back = t.spark.read.parquet(path)
+    return back.groupBy("kind", F.make_date("year", "month", "day_of_month").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"))
+
+
 @query("k03_reject_conflicts", "symbol report_date:d period revenue:f2", "SELECT * FROM filings")
 def _(t):
     """Equal copies are dropped (conflicting ones would fail the job)."""

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapewell.functions import scalars as sc
 from tapewell.operators.keyed import keep_best
+from tapewell.sources.archives import zip_members
 
 # Column names vendors use for a bar.
 BAR_ALIASES = {
@@ -19,7 +19,8 @@ BAR_ALIASES = {
 }
 
 
-def _files(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def _files(spark: SparkSession, path: str, kind: str, columns: Sequence[str] = ()) -> DataFrame:
+    """Raw rows; the columns of zip members have to be named."""
     if kind == "csv":
         return spark.read.option("header", True).csv(path)
     if kind == "parquet":
@@ -28,7 +29,9 @@ def _files(spark: SparkSession, path: str, kind: str) -> DataFrame:
         return spark.read.json(path, primitivesAsString=True)
     if kind == "json_document":
         return spark.read.json(path, primitivesAsString=True, multiLine=True)
-    raise ValueError("kind must be csv, parquet, json or json_document")
+    if kind == "zip":
+        return zip_members(spark, path, columns)
+    raise ValueError("kind must be csv, parquet, json, json_document or zip")
 
 
 def resolve_bars(raw: DataFrame) -> DataFrame:
@@ -45,39 +48,23 @@ def resolve_bars(raw: DataFrame) -> DataFrame:
 
 def flat_file_bars(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
     """Flat-file equity bars; gzip is handled by the reader."""
-    return resolve_bars(_files(spark, path, kind))
+    return resolve_bars(_files(spark, path, kind, [c for names in BAR_ALIASES.values() for c in names]))
+
+
+# Column names vendors use for an open-interest row.
+INTEREST_ALIASES = {"option_symbol": ("option_symbol", "ticker", "contract"), "ts": ("timestamp", "t", "date"), "open_interest": ("open_interest", "oi")}
 
 
 def option_flat_files(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
-    raw = _files(spark, path, kind)
+    raw = _files(spark, path, kind, [c for names in INTEREST_ALIASES.values() for c in names])
     cols = raw.columns
     return raw.select(
-        sc.normalize_symbol(sc.first_present(cols, ("option_symbol", "ticker", "contract"))).alias("option_symbol"),
-        sc.coerce_timestamp(sc.first_present(cols, ("timestamp", "t", "date"))).alias("ts"),
-        sc.to_float(sc.first_present(cols, ("open_interest", "oi"))).alias("open_interest"),
+        sc.normalize_symbol(sc.first_present(cols, INTEREST_ALIASES["option_symbol"])).alias("option_symbol"),
+        sc.coerce_timestamp(sc.first_present(cols, INTEREST_ALIASES["ts"])).alias("ts"),
+        sc.to_float(sc.first_present(cols, INTEREST_ALIASES["open_interest"])).alias("open_interest"),
     )
 
 
-def zip_members(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV members of zip archives, one archive per task at a time."""
-
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-        import zipfile
-
-        names = [f.name for f in T._parse_datatype_string(schema).fields]
-        for frame in frames:
-            for blob in frame["content"]:
-                with zipfile.ZipFile(io.BytesIO(blob)) as z:
-                    for member in z.namelist():
-                        if member.endswith(".csv"):
-                            with z.open(member) as f:
-                                for part in pd.read_csv(f, dtype=str, chunksize=50_000):
-                                    yield part[names]
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, schema)
-
-
 def fundamentals_json(
     spark: SparkSession, path: str, symbols: Sequence[str] = (), types: Sequence[str] = (), start: str | None = None, end: str | None = None,
 ) -> DataFrame:
@@ -185,23 +172,50 @@ def list_payload(payloads: DataFrame, key: str, item: str, vendor: str) -> DataF
     return rows.withColumn("symbol", F.upper(F.coalesce(*named, F.col("_asked")))).withColumn("source_vendor", F.lit(vendor)).drop("_asked")
 
 
-def experiment_summaries(spark: SparkSession, path: str, metrics: Sequence[str]) -> DataFrame:
-    """Metric payload files to one row per experiment, non-finite numbers null."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("file"))
-    return summaries_from_payloads(raw, metrics)
+# Where a document of an experiment lies: its folder, then the kind of document.
+EXPERIMENT_PATH = r"(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?(spec|evaluation|logs)/[^/]+$"
 
 
-def summaries_from_payloads(raw: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    return raw.select(
-        F.get_json_object("payload", "$.experiment_id").alias("experiment_id"),
-        F.get_json_object("payload", "$.recorded_at").alias("recorded_at"),
-        *[sc.json_metric("payload", "$." + m).alias(m.replace(".", "_")) for m in metrics],
-    )
+def json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(experiment_id, kind, file, payload, doc): every document below ``path`` whole, parsed to a VARIANT ``doc``, which
+    is null where the file is no JSON."""
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    file = F.col("_metadata.file_path")
+    return raw.select(F.regexp_extract(file, EXPERIMENT_PATH, 1).alias("experiment_id"), F.regexp_extract(file, EXPERIMENT_PATH, 2).alias("kind"),
+                      file.alias("file"), F.col("value").alias("payload"), F.try_parse_json("value").alias("doc"))
+
+
+def variant_metric(doc: str, metric: str) -> Column:
+    """A finite number at the path, below ``metrics`` or under the dotted name as one key; else null."""
+    paths = (f"$.{metric}", f"$.metrics.{metric}", f'$["{metric}"]')
+    v = F.coalesce(*[F.try_variant_get(doc, p, "double") for p in paths])
+    return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+
+
+def experiment_summaries(spark: SparkSession, path: str, metrics: Sequence[str], spec: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """One row per experiment with a metrics document, and the files that are no JSON.
+
+    Metrics come from the evaluation document, ``spec`` fields and ``recorded_at`` from the other two.  A broken or absent
+    document leaves its fields null.
+    """
+    docs = json_documents(spark, path).filter(F.col("experiment_id") != "")
+
+    def of(kind: str, value: Column) -> Column:
+        return F.max(F.when(F.col("kind") == kind, value))
+
+    rows = docs.groupBy("experiment_id").agg(
+        F.bool_or(F.col("kind") == "evaluation").alias("_kept"), of("logs", F.try_variant_get("doc", "$.recorded_at", "string")).alias("recorded_at"),
+        *[of("spec", F.try_variant_get("doc", f"$.{c}", "string")).alias(c) for c in spec],
+        *[of("evaluation", variant_metric("doc", m)).alias(m.replace(".", "_")) for m in metrics])
+    return rows.filter("_kept").drop("_kept"), docs.filter("doc is null").select("experiment_id", "kind", "file", "payload")
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with a fixed schema; lines that do not parse are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Fields of the objects of a log, one a line, and the lines that are none; blank lines are neither."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> ''").withColumn("doc", F.try_parse_json("line"))
+    good = F.col("doc").isNotNull() & F.col("line").startswith("{")
+    fields = [F.try_variant_get("doc", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in T._parse_datatype_string(schema).fields]
+    return lines.filter(good).select(*fields), lines.filter(~good).select("line")
 
 
 def task_ledger(rows: DataFrame, *, status: str | None = None, contains: str | None = None, tail: int | None = None) -> DataFrame:
