@@ -178,6 +178,9 @@ def _(t):
 # -- surfaces --------------------------------------------------------------------------------
 
 
+OTHER_IVX, OTHER_IVR, OTHER_HV = (60, 120, 150), (60, 120, 150, 180), tuple(n for n in op.HV_DAYS if n != 20)
+
+
 def raw_surface(t: Tables):
     """Segment days as vendor surface rows: text numbers, percent volatilities, gaps and negatives."""
     b = t.segment_bars()
@@ -191,23 +194,36 @@ def raw_surface(t: Tables):
         F.lit(1.5).alias("callPutVolumeRatio"),
         F.when(k % 5 != 0, pct).alias("ivx30"), pct.alias("IVX90"), F.when(k % 4 != 0, pct * 1.2).alias("ivx_180"),
         (k * 0.25).cast("string").alias("ivr_30"), F.when(k % 6 != 0, k * 0.5).alias("IVR90"), (pct * 0.9).alias("hv20"),
+        *[(pct * (1 + n / 1000)).alias(f"IVX{n}") for n in OTHER_IVX], *[(k * 0.25 + n / 100).alias(f"ivr{n}") for n in OTHER_IVR],
+        *[F.when(k % 8 != 0, (k + n) * 0.1).alias(f"ivp_{n}") for n in op.TENORS], *[F.when(k % 10 != 0, pct * (0.8 + n / 1000)).alias(f"HV{n}") for n in OTHER_HV],
     )
 
 
 cte("raw_surface_sql", """
 SELECT symbol, CAST(ts AS DATE) AS date, close / 1000.0 AS pct, dayofyear(ts) AS k, volume FROM seg_bars
 """)
-cte("surface_sql", """
+_RANGED = [f"i{n}" for n in op.TENORS] + [f"h{n}" for n in op.HV_DAYS]
+
+
+def _surface_sql() -> str:
+    given = {"i30": "CASE WHEN k % 5 <> 0 THEN pct END", "i90": "pct", "i180": "CASE WHEN k % 4 <> 0 THEN pct * 1.2 END", "r30": "k * 0.25", "r90": "CASE WHEN k % 6 <> 0 THEN k * 0.5 END", "h20": "CASE WHEN true THEN pct * 0.9 END"}
+    given |= {f"i{n}": f"pct * {1 + n / 1000}" for n in OTHER_IVX} | {f"r{n}": f"k * 0.25 + {n / 100}" for n in OTHER_IVR}
+    given |= {f"p{n}": f"CASE WHEN k % 8 <> 0 THEN (k + {n}) * 0.1 END" for n in op.TENORS} | {f"h{n}": f"CASE WHEN k % 10 <> 0 THEN pct * {0.8 + n / 1000} END" for n in OTHER_HV}
+    seen = lambda letter: "(" + " OR ".join(f"{c} <= 500" for c in _RANGED if c[0] == letter) + ") IS TRUE"
+    wild = " OR ".join([*[f"coalesce({c} > 500, false)" for c in _RANGED], *[f"coalesce({c} NOT BETWEEN 0 AND 5, false)" for c in ("s90", "s180")]])
+    return f"""
 WITH a AS (SELECT symbol, date, CASE WHEN k % 9 <> 0 THEN volume * 1000 END AS oic, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 9 <> 0 THEN volume * 3 END AS oip, CASE WHEN k % 2 = 0 THEN volume * 10 END AS vc,
-    CASE WHEN k % 3 = 0 THEN 0.0 ELSE volume END AS vp, CASE WHEN k % 5 <> 0 THEN pct END AS i30, pct AS i90, CASE WHEN k % 4 <> 0 THEN pct * 1.2 END AS i180, k * 0.25 AS r30, CASE WHEN k % 6 <> 0 THEN k * 0.5 END AS r90, pct * 0.9 AS h20, k FROM raw_surface_sql),
+    CASE WHEN k % 3 = 0 THEN 0.0 ELSE volume END AS vp, k, {", ".join(f"{e} AS {c}" for c, e in given.items())} FROM raw_surface_sql),
 b AS (SELECT *, (i90 - i30) / 100 AS s90, (i180 - i30) / 100 AS s180 FROM a)
 SELECT symbol, date, oic, oip, CASE WHEN oic IS NOT NULL OR oip IS NOT NULL THEN coalesce(oic, 0) + coalesce(oip, 0) END AS oit, oic / nullif(oip, 0) AS oir, vc, vp, coalesce(vc, 0) + vp AS vt, coalesce(vc / nullif(vp, 0), 1.5) AS vr,
-  CASE WHEN i30 <= 500 THEN i30 / 100 END AS i30, CASE WHEN i90 <= 500 THEN i90 / 100 END AS i90, CASE WHEN i180 <= 500 THEN i180 / 100 END AS i180, CASE WHEN s90 BETWEEN 0 AND 5 THEN s90 END AS s90, CASE WHEN s180 BETWEEN 0 AND 5 THEN s180 END AS s180,
-  r30, r90, CASE WHEN h20 <= 500 THEN h20 / 100 END AS h20, (oic IS NOT NULL OR oip IS NOT NULL) AS has_oi, true AS has_vol,
-  (i30 <= 500 OR i90 <= 500 OR i180 <= 500) IS TRUE AS has_ivx, true AS has_ivr,
-  NOT ((k % 7 = 0) OR coalesce(i30 > 500, false) OR coalesce(i90 > 500, false) OR coalesce(i180 > 500, false) OR coalesce(h20 > 500, false) OR coalesce(s90 NOT BETWEEN 0 AND 5, false) OR coalesce(s180 NOT BETWEEN 0 AND 5, false)) AS row_valid
+  {", ".join(f"CASE WHEN {c} <= 500 THEN {c} / 100 END AS {c}" for c in _RANGED)}, CASE WHEN s90 BETWEEN 0 AND 5 THEN s90 END AS s90, CASE WHEN s180 BETWEEN 0 AND 5 THEN s180 END AS s180,
+  {", ".join(c for c in given if c[0] in "rp")}, (oic IS NOT NULL OR oip IS NOT NULL) AS has_oi, true AS has_vol, {seen("i")} AS has_ivx, true AS has_ivr, (p30 IS NOT NULL) AS has_ivp, {seen("h")} AS has_hv,
+  NOT ((k % 7 = 0) OR {wild}) AS row_valid
 FROM b
-""")
+"""
+
+
+cte("surface_sql", _surface_sql())
 
 
 def surface(t: Tables):
@@ -216,17 +232,26 @@ def surface(t: Tables):
 
 SHORT = {
     "OPT:OI:CALL": "oic", "OPT:OI:PUT": "oip", "OPT:OI:TOTAL": "oit", "OPT:OI:CALL_PUT_RATIO": "oir", "OPT:VOL:CALL": "vc", "OPT:VOL:PUT": "vp", "OPT:VOL:TOTAL": "vt",
-    "OPT:VOL:CALL_PUT_RATIO": "vr", "OPT:IVX:30": "i30", "OPT:IVX:90": "i90", "OPT:IVX:180": "i180", "OPT:IVX:TERM_SLOPE_30_90": "s90", "OPT:IVX:TERM_SLOPE_30_180": "s180",
-    "OPT:IVR:30": "r30", "OPT:IVR:90": "r90", "OPT:HV:20": "h20", "OPT:COVERAGE:HAS_OI": "has_oi", "OPT:COVERAGE:HAS_OPT_VOLUME": "has_vol", "OPT:COVERAGE:HAS_IVX": "has_ivx",
-    "OPT:COVERAGE:HAS_IVR": "has_ivr", "OPT:COVERAGE:ROW_VALID": "row_valid",
+    "OPT:VOL:CALL_PUT_RATIO": "vr", "OPT:IVX:TERM_SLOPE_30_90": "s90", "OPT:IVX:TERM_SLOPE_30_180": "s180",
+    **{f"OPT:{kind}:{n}": f"{letter}{n}" for kind, letter, days in (("IVX", "i", op.TENORS), ("IVR", "r", op.TENORS), ("IVP", "p", op.TENORS), ("HV", "h", op.HV_DAYS)) for n in days},
+    "OPT:COVERAGE:HAS_OI": "has_oi", "OPT:COVERAGE:HAS_OPT_VOLUME": "has_vol", "OPT:COVERAGE:HAS_IVX": "has_ivx", "OPT:COVERAGE:HAS_IVR": "has_ivr",
+    "OPT:COVERAGE:HAS_IVP": "has_ivp", "OPT:COVERAGE:HAS_HV": "has_hv", "OPT:COVERAGE:ROW_VALID": "row_valid",
 }
 
 
+def _kind(c: str) -> str:
+    return "b" if c in op.FLAGS else "f9" if c.startswith(("OPT:IVX", "OPT:HV")) else "f"
+
+
+def surface_spec(columns) -> str:
+    return " ".join(f"{SHORT[c]}:{_kind(c)}" for c in columns)
+
+
 def short(df):
     return df.select(*[F.col(f"`{c}`").alias(SHORT.get(c, c)) for c in df.columns])
 
 
-@query("p08_surface_normalize", "symbol date:d oic:f oip:f oit:f oir:f vc:f vp:f vt:f vr:f i30:f9 i90:f9 i180:f9 s90:f9 s180:f9 r30:f r90:f h20:f9 has_oi:b has_vol:b has_ivx:b has_ivr:b row_valid:b", "SELECT * FROM surface_sql")
+@query("p08_surface_normalize", f"symbol date:d {surface_spec(op.SURFACE_COLUMNS)}", "SELECT * FROM surface_sql")
 def _(t):
     return short(surface(t))
 
@@ -259,19 +284,20 @@ def _features_sql(on: str) -> str:
     carry = ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS {c}_f" for c in ("oit", "oir", "i30", "i90", "i180", "r30", "r90"))
     return f"""
 SELECT symbol, ts, oit, greatest(0.05, least(20, oir)) * CASE WHEN oir IS NULL THEN NULL ELSE 1 END AS oir, vt, vr, i30, i90, i180, r30, r90, has_oi AND oit IS NOT NULL AND oir IS NOT NULL AS has_oi, has_vol AND vr IS NOT NULL AS has_vol,
+  has_ivp, has_hv,
   has_ivx AND i30 IS NOT NULL AND i90 IS NOT NULL AND i180 IS NOT NULL AS has_ivx, has_ivr AND r30 IS NOT NULL AND r90 IS NOT NULL AS has_ivr,
   row_valid AND oit IS NOT NULL AND oir IS NOT NULL AND vr IS NOT NULL AND i30 IS NOT NULL AND i90 IS NOT NULL AND i180 IS NOT NULL AND r30 IS NOT NULL AND r90 IS NOT NULL AS row_valid FROM (
-  SELECT symbol, ts, vt, vr, has_oi, has_vol, has_ivx, has_ivr, row_valid, {', '.join(_fill(c) for c in ('oit', 'oir', 'i30', 'i90', 'i180', 'r30', 'r90'))} FROM (
-    SELECT symbol, ts, vt, vr, has_oi, has_vol, has_ivx, has_ivr, row_valid, {carry} FROM (
+  SELECT symbol, ts, vt, vr, has_oi, has_vol, has_ivx, has_ivr, has_ivp, has_hv, row_valid, {', '.join(_fill(c) for c in ('oit', 'oir', 'i30', 'i90', 'i180', 'r30', 'r90'))} FROM (
+    SELECT symbol, ts, vt, vr, has_oi, has_vol, has_ivx, has_ivr, has_ivp, has_hv, row_valid, {carry} FROM (
       SELECT b.symbol, b.ts, oit, coalesce(oir, CASE WHEN abs(oip) > 1e-6 THEN oic / oip END) AS oir, coalesce(vt, 0) AS vt, coalesce(vr, vc / greatest(vp, 1e-6)) AS vr, i30, i90, i180, r30, r90,
-        coalesce(has_oi, false) AS has_oi, coalesce(has_vol, false) AS has_vol, coalesce(has_ivx, false) AS has_ivx, coalesce(has_ivr, false) AS has_ivr, coalesce(row_valid, false) AS row_valid
+        coalesce(has_oi, false) AS has_oi, coalesce(has_vol, false) AS has_vol, coalesce(has_ivx, false) AS has_ivx, coalesce(has_ivr, false) AS has_ivr, coalesce(has_ivp, false) AS has_ivp, coalesce(has_hv, false) AS has_hv, coalesce(row_valid, false) AS row_valid
       FROM prev_sql b LEFT JOIN surface_sql s ON s.symbol = b.symbol AND s.date = {on})))
 """
 
 
 cte("surf_feat_sql", _features_sql("CAST(b.ts AS DATE)"))
 cte("surf_feat_lag_sql", _features_sql("b.prev"))
-SURF = "oit:f oir:f vt:f vr:f i30:f9 i90:f9 i180:f9 r30:f r90:f has_oi:b has_vol:b has_ivx:b has_ivr:b row_valid:b"
+SURF = surface_spec((*op.SURFACE_FEATURES, *op.FLAGS))
 
 
 # -- insiders --------------------------------------------------------------------------------
