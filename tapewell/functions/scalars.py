@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,7 +20,10 @@ def blank_to_null(c: Column | str) -> Column:
 
 def to_float(c: Column | str) -> Column:
     """Number from text with thousands separators; null where it does not parse or is not finite."""
-    n = F.regexp_replace(blank_to_null(c), ",", "").try_cast("double")
+    return finite(F.regexp_replace(blank_to_null(c), ",", "").try_cast("double"))
+
+
+def finite(n: Column) -> Column:
     return F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n)
 
 
@@ -37,10 +40,11 @@ def first_present(columns: Sequence[str], candidates: Sequence[str]) -> Column:
     return F.coalesce(*[blank_to_null(f"`{n}`") for n in names])
 
 
-def first_float(columns: Sequence[str], candidates: Sequence[str]) -> Column:
-    """First candidate column that parses as a number."""
+def first_float(columns: Sequence[str], candidates: Sequence[str], numeric: Collection[str] = ()) -> Column:
+    """First candidate column that parses as a number; ``numeric`` names those that are numbers already."""
     names = [c for c in candidates if c in set(columns)]
-    return F.coalesce(*[to_float(f"`{n}`") for n in names]) if names else F.lit(None).cast("double")
+    values = [finite(F.col(f"`{n}`").cast("double")) if n in numeric else to_float(f"`{n}`") for n in names]
+    return F.coalesce(*values) if names else F.lit(None).cast("double")
 
 
 # Fixed value: epoch numbers above this are milliseconds.

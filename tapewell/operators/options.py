@@ -126,11 +126,12 @@ def normalize_surface(raw: DataFrame, vol_unit: str = "percent", *, strict_slope
     Term slopes are taken before scaling; ``strict_slope`` puts them under the same range rule.
     """
     cols = raw.columns
+    numeric = {n for n, kind in raw.dtypes if kind in ("double", "float", "int", "bigint", "smallint")}  # no text to parse, less code per column
     given = [c for c in VALUES if c not in (*SLOPES, "OPT:OI:CALL_PUT_RATIO")]
     picked = raw.select(
         sc.normalize_symbol(F.coalesce(*[sc.blank_to_null(f"`{c}`") for c in SYMBOL_FIELDS if c in cols])).alias("symbol"),
         F.coalesce(*[sc.blank_to_null(f"`{c}`").try_cast("timestamp") for c in DATE_FIELDS if c in cols]).cast("date").alias("date"),
-        *[sc.first_float(cols, _aliases(c)).alias(c) for c in given],
+        *[sc.first_float(cols, _aliases(c), numeric).alias(c) for c in given],
     ).filter(F.col("symbol").isNotNull() & F.col("date").isNotNull())
 
     counts = ("OPT:OI:CALL", "OPT:OI:PUT", "OPT:OI:TOTAL", "OPT:VOL:CALL", "OPT:VOL:PUT", "OPT:VOL:TOTAL")

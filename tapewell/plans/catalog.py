@@ -2,7 +2,8 @@
 
 A query's ``spec`` lists its output columns as ``name:kind``; the same spec shapes the Spark result
 and the SQL result, so both sides agree on names and types.  Kinds: s string, i bigint, b boolean,
-t timestamp text, d date text, f double rounded to 6 places (f2, f8 ... for other places).
+t timestamp text, d date text, f double rounded to 6 places (f2, f8 ... for other places), o double cut to so many
+places at a boundary where no short decimal lies (o4), for averages of prices, many of which would be rounding ties.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, str] = {}
+OFF = 0.318309886
 
 
 def cte(name: str, sql: str) -> None:
@@ -46,6 +48,8 @@ def _shape(name: str, kind: str) -> Column:
         c = F.date_format(c.cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
     elif kind == "d":
         c = F.date_format(c.cast("timestamp"), "yyyy-MM-dd")
+    elif kind.startswith("o"):
+        c = F.floor(c.cast("double") * 10.0 ** int(kind[1:]) + OFF) / 10.0 ** int(kind[1:])
     elif kind.startswith("f"):
         c = F.round(c.cast("double"), int(kind[1:] or 6)) + F.lit(0.0)
     else:
@@ -65,6 +69,8 @@ def _shape_sql(name: str, kind: str) -> str:
         e = f"strftime(CAST({q} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"
     elif kind == "d":
         e = f"strftime(CAST({q} AS TIMESTAMP), '%Y-%m-%d')"
+    elif kind.startswith("o"):
+        e = f"floor(CAST({q} AS DOUBLE) * {10.0 ** int(kind[1:])} + {OFF}) / {10.0 ** int(kind[1:])}"
     else:
         e = f"round(CAST({q} AS DOUBLE), {int(kind[1:] or 6)}) + 0.0"
     return f"{e} AS {q}"

@@ -436,17 +436,19 @@ def _(t):
     return registry.build("sma_universe_v1", registry.Inputs(t.bars_h(), 3600))
 
 
-@query("fs_sma_plus_options_v1", "symbol ts:t close:f8 fast_share:f sma_signal:f oi_total:f oi_put_call_ratio:f4 oi_change_1d:f", """
+@query("fs_sma_plus_options_v1", "symbol ts:t close:f8 sma_fast:o4 sma_slow:o4 sma_diff:o4 sma_signal:f " + OPT_SPEC.removeprefix("symbol ts:t "), """
 WITH s AS (SELECT symbol, ts, close, CASE WHEN count(*) OVER f = 5 THEN avg(close) OVER f END AS sma_fast, CASE WHEN count(*) OVER s = 20 THEN avg(close) OVER s END AS sma_slow FROM bars_d
   WINDOW f AS (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING), s AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)),
-o AS (SELECT b.symbol, b.ts, last_value(oi_total IGNORE NULLS) OVER f AS oi_total, last_value(oi_call_total IGNORE NULLS) OVER f AS c, last_value(oi_put_total IGNORE NULLS) OVER f AS p
-  FROM bars_d b LEFT JOIN oi_sql o ON o.underlying = b.symbol AND o.date = CAST(b.ts AS DATE) WINDOW f AS (PARTITION BY b.symbol ORDER BY b.ts ROWS 2 PRECEDING))
-SELECT s.symbol, s.ts, s.close, sma_fast / (sma_fast + sma_slow) AS fast_share, CASE WHEN sma_fast > sma_slow THEN 1.0 ELSE 0.0 END AS sma_signal, oi_total, coalesce((p + 1e-9) / (c + 1e-9), 1) AS oi_put_call_ratio, change AS oi_change_1d
-FROM s JOIN (SELECT *, coalesce(oi_total - lag(oi_total) OVER (PARTITION BY symbol ORDER BY ts), 0) AS change FROM o) o USING (symbol, ts) WHERE sma_fast IS NOT NULL AND sma_slow IS NOT NULL
+o AS (SELECT b.symbol, b.ts, last_value(oi_total IGNORE NULLS) OVER f AS oi_total, last_value(oi_call_total IGNORE NULLS) OVER f AS oi_call_total, last_value(oi_put_total IGNORE NULLS) OVER f AS oi_put_total,
+    coalesce(last_value(oi_concentration_top10 IGNORE NULLS) OVER f, 0) AS oi_concentration_top10, coalesce(options_volume_total, 0) AS options_volume_total,
+    coalesce(options_volume_call_total, 0) AS options_volume_call_total, coalesce(options_volume_put_total, 0) AS options_volume_put_total
+  FROM bars_d b LEFT JOIN oi_sql o ON o.underlying = b.symbol AND o.date = CAST(b.ts AS DATE) LEFT JOIN ov_sql v ON v.underlying = b.symbol AND v.date = CAST(b.ts AS DATE) WINDOW f AS (PARTITION BY b.symbol ORDER BY b.ts ROWS 2 PRECEDING)),
+c AS (SELECT *, coalesce((oi_put_total + 1e-9) / (oi_call_total + 1e-9), 1) AS oi_put_call_ratio, coalesce(oi_total - lag(oi_total) OVER w, 0) AS oi_change_1d,
+    coalesce((oi_total - lag(oi_total) OVER w) / (lag(oi_total) OVER w + 1e-9), 0) AS oi_change_pct_1d FROM o WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+SELECT s.*, sma_fast - sma_slow AS sma_diff, CASE WHEN sma_fast > sma_slow THEN 1.0 ELSE 0.0 END AS sma_signal, c.* EXCLUDE (symbol, ts) FROM s JOIN c ON c.symbol = s.symbol AND c.ts = s.ts WHERE sma_fast IS NOT NULL AND sma_slow IS NOT NULL
 """)
 def _(t):
-    out = registry.build("sma_plus_options_v1", registry.Inputs(t.bars_d().select("symbol", "ts", "close", "volume"), DAY, options=option_days(t)))
-    return out.withColumn("fast_share", F.col("sma_fast") / (F.col("sma_fast") + F.col("sma_slow")))
+    return registry.build("sma_plus_options_v1", registry.Inputs(t.bars_d().select("symbol", "ts", "close", "volume"), DAY, options=option_days(t)))
 
 
 @query("j06_core_join_xsec", "symbol ts:t ret_1:f rv_21:f ret_1d_rank:f sma_20_dist:f", "SELECT * FROM core_sql JOIN (SELECT * EXCLUDE (close) FROM xsec_sql) USING (symbol, ts)")

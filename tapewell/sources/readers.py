@@ -179,7 +179,7 @@ EXPERIMENT_PATH = r"(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?(spec|evaluation|logs)/[^/]
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
     """(experiment_id, kind, file, payload, doc): every document below ``path`` whole, parsed to a VARIANT ``doc``, which
     is null where the file is no JSON."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     file = F.col("_metadata.file_path")
     return raw.select(F.regexp_extract(file, EXPERIMENT_PATH, 1).alias("experiment_id"), F.regexp_extract(file, EXPERIMENT_PATH, 2).alias("kind"),
                       file.alias("file"), F.col("value").alias("payload"), F.try_parse_json("value").alias("doc"))
