@@ -9,7 +9,7 @@ import tempfile
 import time
 
 from tapewell.plans import catalog
-from tapewell.session import build_session
+from tapewell.session import build_session, job
 
 HEADLINE = (
     "a35_backtest_summary", "w02_log_returns", "w09_xsec_rank", "w13_pair_correlation", "u05_complete_panel", "w15_vendor_priority",
@@ -31,7 +31,8 @@ def main() -> None:
     times = {}
     for name in wanted:
         t0 = time.perf_counter()
-        catalog.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+        with job(spark):
+            catalog.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/"))}))
 

@@ -8,7 +8,7 @@ import time
 import duckdb
 
 from tapewell.plans import catalog
-from tapewell.session import build_session
+from tapewell.session import build_session, job
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -35,9 +35,10 @@ def main() -> int:
             continue
         t0 = time.time()
         try:
-            df = fn(spark, sf)
-            cols = sorted(df.columns)
-            got = sorted((tuple(norm(v) for v in r) for r in df.select(*[f"`{c}`" for c in cols]).collect()), key=repr)
+            with job(spark) as written:
+                df = fn(spark, sf)
+                cols = sorted(df.columns)
+                got = sorted((tuple(norm(v) for v in r) for r in df.select(*[f"`{c}`" for c in cols]).collect()), key=repr)
         except Exception as e:
             bad += 1
             print(f"ERROR {name}: {str(e)[:1500]}", flush=True)
@@ -56,7 +57,7 @@ def main() -> int:
             print(f"ORACLE {name}: {str(e)[:1500]}", flush=True)
             continue
         if got == exp:
-            print(f"ok    {name} {len(got)} {took:.1f}s", flush=True)
+            print(f"ok    {name} {len(got)} {took:.1f}s, {len(written)} step tables", flush=True)
             if not got:
                 print("   EMPTY", name)
             dead = [c for i, c in enumerate(cols) if got and len({r[i] for r in got}) == 1 and len(got) > 3]

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tapewell.session import checkpointed
@@ -46,15 +46,19 @@ def step_bucket(step: Column | str) -> Column:
     return F.floor(col / BUCKET_ROWS)
 
 
-def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column) -> DataFrame:
+def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, *, stored: bool = False) -> DataFrame:
     """Add ``_rn``, the 1-based position of each row within its key.
 
-    ``bucket`` must not decrease along ``order``; it spreads one key over many tasks.
+    ``bucket`` must not decrease along ``order``; it spreads one key over many tasks.  ``stored``: ``df`` is a step table
+    or as cheap to read, so its buckets are counted from it instead of from numbered rows written out once more.
     """
     keys = list(keys)
     local = Window.partitionBy(*keys, "_ord_b").orderBy(*order)
-    numbered = checkpointed(df.withColumn("_ord_b", bucket).withColumn("_ord_lr", F.row_number().over(local)))
-    sizes = numbered.groupBy(*keys, "_ord_b").agg(F.max("_ord_lr").cast("bigint").alias("_ord_n"))
+    placed = df.withColumn("_ord_b", bucket)
+    numbered = placed.withColumn("_ord_lr", F.row_number().over(local))
+    if not stored:
+        placed = numbered = checkpointed(numbered)
+    sizes = placed.groupBy(*keys, "_ord_b").agg(F.count(F.lit(1)).alias("_ord_n"))
     before = Window.partitionBy(*keys).orderBy("_ord_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_ord_b", F.coalesce(F.sum("_ord_n").over(before), F.lit(0)).alias("_ord_start"))
     return (
@@ -217,9 +221,11 @@ def rank_buckets(
         start = F.col("_from") + F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         sizes = sizes.select(
             *keys, "_p", "_b", "_n", "_rows", "_lo", "_hi", start.alias("_start"), F.lead("_b").over(order).isNull().alias("_last"), "_total" if held else totals.alias("_total"))
-        wanted = checkpointed(sizes.filter(holds(F.col("_start"), F.col("_n"), F.col("_total"), F.col("_last"))).drop("_n", "_last"))
+        seen = Observation()
+        wanted = sizes.filter(holds(F.col("_start"), F.col("_n"), F.col("_total"), F.col("_last"))).drop("_n", "_last")
+        wanted = checkpointed(wanted.observe(seen, F.count_if(F.col("_rows") > limit).alias("large")))
         rows = rows.drop("_from", "_total").join(wanted, [*keys, "_p", "_b"])
-        if wanted.filter(F.col("_rows") > limit).isEmpty():
+        if not seen.get["large"]:
             return rows.drop("_rows", "_lo", "_hi")
         part = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SPLITS)
         rows = checkpointed(rows.select(

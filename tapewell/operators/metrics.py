@@ -218,7 +218,7 @@ def regime_performance(labelled: DataFrame, keys: Sequence[str] = ("run_id",)) -
     ahead = checkpointed(rolling(labelled, keys, lambda f, w: {"_next": F.lead("ret").over(w)}, fwd=1))
     held = ahead.groupBy(*keys, "label").agg(F.avg("exposure").alias("avg_exposure"), F.avg("turnover").alias("avg_turnover"))
     paid = ahead.filter(F.col("_next").isNotNull()).select(*keys, "label", "step", "_next")
-    placed = ordinal(paid.withColumn("_g", 1.0 + F.col("_next")), [*keys, "label"], ["step"], step_bucket("step"))
+    placed = ordinal(paid.withColumn("_g", 1.0 + F.col("_next")), [*keys, "label"], ["step"], step_bucket("step"), stored=True)
     path = drawdown(placed, [*keys, "label"], "_g", seed=1.0)
     perf = path.groupBy(*keys, "label").agg(
         (F.max_by("equity", RN) - 1.0).alias("total_return"), F.abs(F.least(F.min("drawdown"), F.lit(0.0))).alias("max_drawdown"),

@@ -122,9 +122,9 @@ def cap_turnover(weights: DataFrame, limits: RiskLimits) -> DataFrame:
 
 
 def number_steps(targets: DataFrame) -> DataFrame:
-    """Days of each run with their 0-based step and ``_rn``."""
+    """Days of each run with their 0-based step and ``_rn``; ``targets`` is a step table."""
     days = targets.select("run_id", "day").distinct()
-    return ordinal(days, ["run_id"], ["day"], time_bucket("day", DAY)).withColumn("step", F.col(RN) - 1)
+    return ordinal(days, ["run_id"], ["day"], time_bucket("day", DAY), stored=True).withColumn("step", F.col(RN) - 1)
 
 
 def book(weights: DataFrame, last_step: DataFrame) -> DataFrame:
@@ -152,14 +152,16 @@ def step_turnover(positions: DataFrame) -> DataFrame:
     return positions.groupBy("run_id", "step").agg(F.when(t > TINY, t).otherwise(0.0).alias("turnover"))
 
 
-def rollout(targets: DataFrame, returns: DataFrame, cost_bp: float = 5.0) -> DataFrame:
+def rollout(targets: DataFrame, returns: DataFrame, cost_bp: float = 5.0, steps: DataFrame | None = None) -> DataFrame:
     """Account path of every run: one row per step, step 0 being the initial state of cash only.
 
     Cost is proportional to turnover and value, so a step multiplies the account by
-    (1 - c * turnover) * (1 + sum of weight * return) and the path is a running product.
+    (1 - c * turnover) * (1 + sum of weight * return) and the path is a running product.  A caller that has ``targets``
+    as a step table gives their ``number_steps`` as another.
     """
-    targets = checkpointed(targets)
-    steps = checkpointed(number_steps(targets))
+    if steps is None:
+        targets = checkpointed(targets)
+        steps = checkpointed(number_steps(targets))
     held = targets.join(steps.select("run_id", "day", "step"), ["run_id", "day"]).filter("step > 0")
     earned = held.join(returns, ["symbol", "day"], "left").groupBy("run_id", "step").agg(
         F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("earned"))

@@ -18,12 +18,13 @@ def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join one-row-per-key facts; with no key the single row is a scalar subquery per column."""
     if keys:
         return df.join(small, list(keys))
+    small = checkpointed(small)
     return df.withColumns({c: small.select(c).scalar() for c in small.columns})
 
 
 def label_v1(df: DataFrame, keys: Sequence[str], vol: str) -> DataFrame:
     """Low, mid or high volatility by the 0.33 and 0.66 quantiles of the run's own series."""
-    cuts = checkpointed(quantiles(df, keys, vol, {"q33": 0.33, "q66": 0.66}))
+    cuts = quantiles(df, keys, vol, {"q33": 0.33, "q66": 0.66})
     out = _attach(df, cuts, keys)
     v = F.col(vol)
     return out.withColumn("label", F.when(v <= F.col("q33"), LOW).when(v <= F.col("q66"), MID).otherwise(HIGH))

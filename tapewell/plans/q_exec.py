@@ -8,7 +8,7 @@ from tapewell.operators import execution as ex, features as ft, governance as gv
 from tapewell.operators.keyed import RN
 from tapewell.plans.catalog import CTES, cte, query
 from tapewell.plans.q_port import CAPITAL, positions, prices, slices, steps, steps_modes
-from tapewell.session import checkpointed
+from tapewell.session import checkpointed, step_table
 from tapewell.sources.tables import DAY, Tables
 
 # -- order compilation -----------------------------------------------------------------------
@@ -30,16 +30,20 @@ FROM cand_sql c LEFT JOIN g ON g.run_id = c.run_id AND g.step = c.step AND g.sym
 """)
 
 
-def candidates(t: Tables, pos=None):
-    b = (positions(t) if pos is None else pos).join(prices(t), "symbol")
+@step_table
+def book(t: Tables):
+    return positions(t)
+
+
+def candidates(t: Tables):
+    b = book(t).join(prices(t), "symbol")
     rows = b.withColumn("holding", F.col("prev_weight") * CAPITAL / F.col("price")).withColumn("value", F.lit(CAPITAL))
     return ex.order_candidates(rows, MIN_NOTIONAL)
 
 
 def funded(t: Tables):
-    pos = checkpointed(positions(t))
-    c = checkpointed(candidates(t, pos))
-    cash = pos.groupBy("run_id", "step").agg((CAPITAL * (1.0 - F.sum("prev_weight")) * 0.4).alias("cash"))
+    c = checkpointed(candidates(t))
+    cash = book(t).groupBy("run_id", "step").agg((CAPITAL * (1.0 - F.sum("prev_weight")) * 0.4).alias("cash"))
     return ex.fund_buys(c, cash)
 
 
@@ -75,16 +79,15 @@ SELECT *, CASE WHEN r1 IS NOT NULL THEN r1 WHEN cash + sum(CASE WHEN r1 IS NULL
 
 
 def accounts(t: Tables):
-    return checkpointed(steps(t)).filter("step > 0").select(
+    return steps(t).filter("step > 0").select(
         "run_id", "step", F.col("account_value").alias("value"), F.col("prev_value").alias("day_start"), "peak", (F.col("account_value") * 0.3).alias("cash"))
 
 
 @query("t06_risk_checks", "run_id:i step:i symbol side qty:f reject_reason", "SELECT * FROM risk_sql")
 def _(t):
     """Account values are in units of 1, so order prices are scaled to match."""
-    pos = checkpointed(positions(t))
-    orders = candidates(t, pos).select("run_id", "step", "symbol", "side", "qty", (F.col("price") / 100_000.0).alias("price"))
-    return ex.risk_checks(orders, pos, accounts(t), EX)
+    orders = candidates(t).select("run_id", "step", "symbol", "side", "qty", (F.col("price") / 100_000.0).alias("price"))
+    return ex.risk_checks(orders, book(t), accounts(t), EX)
 
 
 @query("t06b_halts", "run_id:i step:i halt gross:f turnover:f", "SELECT * FROM halt_sql")
@@ -270,20 +273,21 @@ def pairs(t: Tables):
     return r.withColumn("baseline", F.col("candidate") - F.col("candidate") % 10)
 
 
+@step_table
 def all_metrics(t: Tables):
-    s = checkpointed(steps_modes(t))
+    s = steps_modes(t)
     q = quality(t).filter("bucket = 'all'").join(s.groupBy("run_id").agg(F.sum("turnover").alias("turnover_realized")), "run_id")
     account = s.filter("step > 0").select("run_id", "step", F.col("account_value").alias("value"), F.col("prev_value").alias("day_start"), "peak", (F.col("account_value") * 0.3).alias("cash"))
-    stopped = ex.halts(positions(t), account, EX).groupBy("run_id").agg(F.count("halt").cast("double").alias("execution_halts"))
+    stopped = ex.halts(book(t), account, EX).groupBy("run_id").agg(F.count("halt").cast("double").alias("execution_halts"))
     q = q.join(stopped, "run_id").select("run_id", *[F.col(n.split(".")[1]).alias(n.replace(".", "_")) for n in EXEC])
-    safe = mt.safety(s, pf_held(t)).join(mt.constraints(positions(t), CAPS), "run_id")
+    safe = mt.safety(s, pf_held(t)).join(mt.constraints(book(t), CAPS), "run_id")
     out = gv.long_metrics(
         ("performance", mt.performance(s).select("run_id", *METRICS)), ("trading", mt.trading(s).select("run_id", *TRADING)), ("safety", safe.select("run_id", *SAFETY)),
         ("stability", mt.stability(s, mt.cost_curve(s))), ("execution", q))
     fixed = F.regexp_replace("metric_id", r"^execution\.summary_", "execution.summary.")
     from tapewell.functions.scalars import bank_round
 
-    return checkpointed(out.withColumn("metric_id", fixed).withColumn("value", bank_round("value", 10)))
+    return out.withColumn("metric_id", fixed).withColumn("value", bank_round("value", 10))
 
 
 def pf_held(t: Tables):
@@ -293,7 +297,7 @@ def pf_held(t: Tables):
 
 
 def comparison(t: Tables):
-    return checkpointed(gv.compare(all_metrics(t), pairs(t)))
+    return gv.compare(all_metrics(t), pairs(t))
 
 
 CMP = "candidate:i baseline:i metric_id candidate_value:f4 baseline_value:f4"
@@ -358,12 +362,14 @@ FROM pairs_sql p JOIN bucket_sql c ON c.run_id = p.candidate JOIN bucket_sql b O
 """)
 
 
+@step_table
 def buckets(t: Tables):
-    return checkpointed(slices(t).unpivot(["run_id", "label"], REGIME, "metric", "value").withColumnRenamed("label", "bucket"))
+    return slices(t).unpivot(["run_id", "label"], REGIME, "metric", "value").withColumnRenamed("label", "bucket")
 
 
+@step_table
 def bucket_comparison(t: Tables):
-    return checkpointed(gv.compare_buckets(buckets(t), pairs(t)))
+    return gv.compare_buckets(buckets(t), pairs(t))
 
 
 @query("t13_regime_deltas", "candidate:i baseline:i bucket metric candidate_value:f5 baseline_value:f5 delta:f5", "SELECT * FROM bcmp_sql")

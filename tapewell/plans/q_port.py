@@ -11,7 +11,7 @@ from tapewell.operators import features as ft, metrics as mt, portfolio as pf, r
 from tapewell.operators.keyed import RN, ordinal, rolling, step_bucket, time_bucket
 from tapewell.plans.catalog import cte, query
 from tapewell.plans.q_core import bars_h, market, panel_h
-from tapewell.session import checkpointed
+from tapewell.session import checkpointed, step_table
 from tapewell.sources.tables import DAY, Tables
 
 COST = 5.0
@@ -47,14 +47,23 @@ def day_returns(t: Tables):
     return r.select("symbol", F.col("ts").cast("date").alias("day"), "ret")
 
 
+@step_table
+def targets(t: Tables):
+    return t.run_targets()
+
+
+@step_table
+def run_days(t: Tables):
+    return pf.number_steps(targets(t))
+
+
 def steps(t: Tables):
-    return pf.rollout(t.run_targets(), day_returns(t), COST)
+    return pf.rollout(targets(t), day_returns(t), COST, run_days(t))
 
 
 def held(t: Tables):
-    targets = checkpointed(t.run_targets())
-    days = checkpointed(pf.number_steps(targets))
-    return targets.join(days.select("run_id", "day", "step"), ["run_id", "day"]).filter("step > 0"), pf.last_steps(days)
+    days = run_days(t)
+    return targets(t).join(days.select("run_id", "day", "step"), ["run_id", "day"]).filter("step > 0"), pf.last_steps(days)
 
 
 def positions(t: Tables):
@@ -153,8 +162,9 @@ def day_regime(t: Tables):
         F.round(F.stddev_pop("l_discount"), 9).alias("vol"), F.round(F.avg("l_tax") - 0.04, 9).alias("trend"), F.round(F.stddev_pop("l_tax"), 9).alias("dispersion"))
 
 
+@step_table
 def steps_regime(t: Tables):
-    return checkpointed(steps(t).join(day_regime(t), "day"))
+    return steps(t).join(day_regime(t), "day")
 
 
 RULE = pf.ModeRule(vol_high=0.034, trend_high=0.001, dispersion_high=0.02)

@@ -1,12 +1,17 @@
-"""Session set-up and lineage cuts."""
+"""Session set-up, lineage cuts and the step tables of a job."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("tapewell_written", default=None)
 
 
 def build_session(app: str = "tapewell", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,4 +55,53 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, for tables a job writes and reads back."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    written = _WRITTEN.get()
+    if written is not None:
+        written.append(path)
+    return path
+
+
+def files(spark: SparkSession, path: str):
+    """The file system of ``path`` and the maker of its paths."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    return jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[list[str]]:
+    """A job: the step tables written within are dropped at its end, so write or collect its results inside.
+
+    Gives the list of their paths.  Jobs nest; an inner one drops its own tables.
+    """
+    written: list[str] = []
+    token = _WRITTEN.set(written)
+    try:
+        yield written
+    finally:
+        _WRITTEN.reset(token)
+        for path in written:
+            fs, make = files(spark, path)
+            fs.delete(make(path), True)
+
+
+class Run:
+    """What one run has built so far, by name: every step table is written once and handed on."""
+
+    def __init__(self) -> None:
+        self._held: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._held:
+            self._held[name] = checkpointed(build())
+        return self._held[name]
+
+
+def step_table(fn: Callable[[Run], DataFrame]) -> Callable[[Run], DataFrame]:
+    """Makes ``fn(run)`` a step table of its run: written at the first call, the same table at later ones."""
+
+    @wraps(fn)
+    def held(run: Run) -> DataFrame:
+        return run.once(f"{fn.__module__}.{fn.__qualname__}", lambda: fn(run))
+
+    return held

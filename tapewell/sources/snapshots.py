@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tapewell.operators.health import combine_digests, digest_parts, row_text
-from tapewell.session import checkpointed
+from tapewell.session import checkpointed, files
 
 BUCKETS = 64
 _FIELDS = "bucket int, folder string, rows long, x long, s decimal(38,0), buckets int"
@@ -25,14 +25,9 @@ _FIELDS = "bucket int, folder string, rows long, x long, s decimal(38,0), bucket
 Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
 
 
-def _files(spark: SparkSession, path: str):
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    return jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
-
-
 def latest(spark: SparkSession, path: str) -> int | None:
     """The newest version of the table; None if there is none."""
-    fs, make = _files(spark, path)
+    fs, make = files(spark, path)
     folder = make(f"{path}/snapshots")
     if not fs.exists(folder):
         return None
@@ -89,7 +84,7 @@ def upsert(incoming: DataFrame, path: str, key: str, merge: Merge, order: Sequen
 
 def _commit(parts: DataFrame, path: str, version: int) -> int:
     spark = parts.sparkSession
-    fs, make = _files(spark, path)
+    fs, make = files(spark, path)
     draft, final = make(f"{path}/drafts/{uuid.uuid4().hex}"), make(f"{path}/snapshots/{version}")
     parts.coalesce(1).write.parquet(draft.toString())  # a row per bucket
     fs.mkdirs(final.getParent())
@@ -105,7 +100,7 @@ def digest(spark: SparkSession, path: str, version: int | None = None) -> DataFr
 
 def expire(spark: SparkSession, path: str, keep: int = 1) -> int:
     """Remove all but the newest ``keep`` versions and the folders that only they name; the number of versions removed."""
-    fs, make = _files(spark, path)
+    fs, make = files(spark, path)
     newest = latest(spark, path)
     if newest is None:
         return 0

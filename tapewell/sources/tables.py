@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapewell.session import Run
+
 HOUR = 3_600
 DAY = 86_400
 
 
-class Tables:
-    """Lazy access to one data folder; each property is an unread scan."""
+class Tables(Run):
+    """Lazy access to one data folder, each property an unread scan, with the step tables of one run."""
 
     def __init__(self, spark: SparkSession, root: str):
+        super().__init__()
         self.spark = spark
         self.root = root.rstrip("/")
 
