@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewell.llm.words import U, Words, grams, mix, slices, words_of
@@ -28,6 +28,7 @@ from tapewell.session import checkpointed
 WINDOW = 20
 ANCHOR = 6
 HOT = 4096
+SPREAD = 64
 SHARD_SEGMENTS = 24_000  # about 600,000 words in an index
 LAST = (1 << 63) - 1
 
@@ -263,15 +264,28 @@ def repeats(documents: DataFrame) -> DataFrame:
     ``id`` is the doc_id; null ids count as one document behind all others.
     """
     texts = _texts(documents)
-    w = Window.partitionBy("anchor")
-    marks = _anchors(texts).withColumn("n", F.count("*").over(w)).where("n > 1")
-    marks = checkpointed(marks.select("id", (F.shiftleft("place", 1) + (F.col("n") > HOT).cast("long")).alias("mark")))
+    marks = checkpointed(_marks(checkpointed(_anchors(texts))))
     shards = max(documents.sparkSession.sparkContext.defaultParallelism, -(-marks.count() // SHARD_SEGMENTS))
     places = marks.distinct().groupBy("id").agg(F.collect_list("mark").alias("places"))  # no more than a text has windows
     pieces = texts.join(places, "id").select("id", "text", "places").mapInArrow(_pieces, "unit long, id long, start long, known boolean, symbols binary, hashes binary")
     return pieces.repartition(shards, "unit").mapInArrow(_search, "id long, start long, hash long")
 
 
+def _marks(places: DataFrame) -> DataFrame:
+    """(id, mark) of the places whose anchor stands in more than one; the lowest bit of a mark tells a hot anchor.
+
+    Places are counted in partial sums.  Those of a hot anchor find its row in ``SPREAD`` parts, those of the others by
+    the anchor, at most ``HOT`` of them, so that no task sees all places of one.
+    """
+    counts = checkpointed(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = checkpointed(counts.where(F.col("n") > HOT).select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part")))
+    placed = places.withColumn("part", F.pmod(F.xxhash64("id", "place"), F.lit(SPREAD)).cast("int"))
+    few = placed.join(hot, ["anchor", "part"], "left_anti").join(counts.where(F.col("n") <= HOT), "anchor")
+    many = placed.join(hot, ["anchor", "part"], "left_semi")
+    mark = F.shiftleft("place", 1)
+    return few.select("id", mark.alias("mark")).union(many.select("id", (mark + 1).alias("mark")))
+
+
 def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
