@@ -274,16 +274,17 @@ def repeats(documents: DataFrame) -> DataFrame:
 def _marks(places: DataFrame) -> DataFrame:
     """(id, mark) of the places whose anchor stands in more than one; the lowest bit of a mark tells a hot anchor.
 
-    Places are counted in partial sums.  Those of a hot anchor find its row in ``SPREAD`` parts, those of the others by
-    the anchor, at most ``HOT`` of them, so that no task sees all places of one.
+    Places are counted in partial sums.  They look for hot anchors in ``SPREAD`` parts; then only those of other anchors,
+    at most ``HOT`` of one, meet at their count, so that no task sees all places of a hot anchor.
     """
     counts = checkpointed(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
     hot = checkpointed(counts.where(F.col("n") > HOT).select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part")))
     placed = places.withColumn("part", F.pmod(F.xxhash64("id", "place"), F.lit(SPREAD)).cast("int"))
-    few = placed.join(hot, ["anchor", "part"], "left_anti").join(counts.where(F.col("n") <= HOT), "anchor")
-    many = placed.join(hot, ["anchor", "part"], "left_semi")
-    mark = F.shiftleft("place", 1)
-    return few.select("id", mark.alias("mark")).union(many.select("id", (mark + 1).alias("mark")))
+    placed = placed.join(hot.withColumn("hot", F.lit(1)), ["anchor", "part"], "left")
+    own = F.when(F.col("hot").isNull(), F.col("anchor")).otherwise(F.xxhash64("id", "place"))  # a hot anchor needs no count
+    few = counts.where(F.col("n") <= HOT).select(F.col("anchor").alias("own"), "n")
+    known = placed.withColumn("own", own).join(few, "own", "left").where("hot is not null or n is not null")
+    return known.select("id", (F.shiftleft("place", 1) + F.coalesce("hot", F.lit(0))).alias("mark"))
 
 
 def _texts(documents: DataFrame) -> DataFrame:
