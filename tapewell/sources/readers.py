@@ -176,13 +176,27 @@ def list_payload(payloads: DataFrame, key: str, item: str, vendor: str) -> DataF
 EXPERIMENT_PATH = r"(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?(spec|evaluation|logs)/[^/]+$"
 
 
+def _documents(files: DataFrame) -> DataFrame:
+    """(experiment_id, kind, file, payload, doc) of (file, payload) rows; ``doc`` is a VARIANT, null where the file is no JSON."""
+    return files.select(F.regexp_extract("file", EXPERIMENT_PATH, 1).alias("experiment_id"), F.regexp_extract("file", EXPERIMENT_PATH, 2).alias("kind"),
+                        "file", "payload", F.try_parse_json("payload").alias("doc"))
+
+
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(experiment_id, kind, file, payload, doc): every document below ``path`` whole, parsed to a VARIANT ``doc``, which
-    is null where the file is no JSON."""
+    """Every document below ``path``, one file each, whole and parsed."""
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    file = F.col("_metadata.file_path")
-    return raw.select(F.regexp_extract(file, EXPERIMENT_PATH, 1).alias("experiment_id"), F.regexp_extract(file, EXPERIMENT_PATH, 2).alias("kind"),
-                      file.alias("file"), F.col("value").alias("payload"), F.try_parse_json("value").alias("doc"))
+    return _documents(raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload")))
+
+
+def pack_documents(documents: DataFrame, path: str) -> None:
+    """Writes ``documents`` (file, payload) as a packed registry: many documents to a file, each with the name of the file
+    it stands for, so that a registry of any number of experiments takes as many files as tasks."""
+    documents.select("file", "payload").write.parquet(path)
+
+
+def packed_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Every document of a packed registry, whole and parsed."""
+    return _documents(spark.read.schema("file string, payload string").parquet(path))
 
 
 def variant_metric(doc: str, metric: str) -> Column:
@@ -192,13 +206,13 @@ def variant_metric(doc: str, metric: str) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
-def experiment_summaries(spark: SparkSession, path: str, metrics: Sequence[str], spec: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """One row per experiment with a metrics document, and the files that are no JSON.
+def experiment_summaries(spark: SparkSession, path: str, metrics: Sequence[str], spec: Sequence[str] = (), *, packed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One row per experiment with a metrics document, and the files that are no JSON; ``packed``: of a packed registry.
 
     Metrics come from the evaluation document, ``spec`` fields and ``recorded_at`` from the other two.  A broken or absent
     document leaves its fields null.
     """
-    docs = json_documents(spark, path).filter(F.col("experiment_id") != "")
+    docs = (packed_documents if packed else json_documents)(spark, path).filter(F.col("experiment_id") != "")
 
     def of(kind: str, value: Column) -> Column:
         return F.max(F.when(F.col("kind") == kind, value))

@@ -6,6 +6,7 @@ import json
 import zipfile
 
 from tapewell.operators import governance as gv
+from tapewell.session import files
 from tapewell.sources import archives, readers
 
 
@@ -66,6 +67,30 @@ def test_experiment_documents(spark, tmp_path):
     assert [(r.experiment_id, r.kind) for r in bad.collect()] == [("d", "evaluation")]
 
 
+def test_a_registry_of_many_experiments_takes_few_files(spark, tmp_path):
+    path = str(tmp_path / "packed")
+    docs = spark.range(0, 3_000, 1, 2).selectExpr(
+        "explode(array(named_struct('file', concat('run-', id, '/evaluation/m.json'), 'payload', if(id % 100 = 7, '{\"performance\"', concat('{\"performance\": {\"sharpe\": ', id, '}}'))),"
+        " named_struct('file', concat('run-', id, '/spec/s.json'), 'payload', '{\"policy\": \"p\"}'))) as d").select("d.*")
+    readers.pack_documents(docs, path)
+    assert len(list((tmp_path / "packed").glob("*.parquet"))) == 2
+    good, bad = readers.experiment_summaries(spark, path, ["performance.sharpe"], ["policy"], packed=True)
+    assert rows_of(good) == sorted([(f"run-{k}", None, "p", None if k % 100 == 7 else float(k)) for k in range(3_000)], key=repr)
+    assert rows_of(bad.select("experiment_id", "kind", "payload")) == sorted((f"run-{k}", "evaluation", '{"performance"') for k in range(7, 3_000, 100))
+
+
+def test_experiment_queries_write_few_files(spark):
+    from tapewell.plans import catalog
+    from tapewell.session import job
+
+    catalog.load()
+    with job(spark) as written:
+        assert catalog.QUERIES["s13b_broken_documents"](spark, "/root/testdata/sf0.001").count() > 0
+        for path in written:
+            fs, make = files(spark, path)
+            assert fs.getContentSummary(make(path)).getDirectoryCount() == 1
+
+
 def test_step_log(spark, tmp_path):
     (tmp_path / "steps.jsonl").write_text('{"step": 1, "value": "2.5"}\n\n  {"step": "x", "more": [1]}\n{"step":\n17\n')
     good, bad = readers.json_lines(spark, str(tmp_path / "steps.jsonl"), "step bigint, value double")
