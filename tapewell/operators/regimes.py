@@ -7,25 +7,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewell.operators.keyed import RN, quantiles, rolling, running
+from tapewell.operators.keyed import RN, quantiles, quantiles_beside, rolling, running
 from tapewell.session import checkpointed
 
 LOW, MID, HIGH = "low_vol", "mid_vol", "high_vol"
 V2_BUCKETS = ("high_vol_trend_up", "high_vol_trend_down", "high_vol_flat", "low_vol_trend_up", "low_vol_trend_down", "low_vol_flat")
 
 
-def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join one-row-per-key facts; with no key the single row is a scalar subquery per column."""
-    if keys:
-        return df.join(small, list(keys))
+def _attach(df: DataFrame, small: DataFrame) -> DataFrame:
+    """The single row of ``small`` beside each row, a scalar subquery per column."""
     small = checkpointed(small)
     return df.withColumns({c: small.select(c).scalar() for c in small.columns})
 
 
 def label_v1(df: DataFrame, keys: Sequence[str], vol: str) -> DataFrame:
-    """Low, mid or high volatility by the 0.33 and 0.66 quantiles of the run's own series."""
-    cuts = quantiles(df, keys, vol, {"q33": 0.33, "q66": 0.66})
-    out = _attach(df, cuts, keys)
+    """Low, mid or high volatility by the 0.33 and 0.66 quantiles of the run's own series (a row per step); without keys of
+    the whole, which may be of any size."""
+    probs = {"q33": 0.33, "q66": 0.66}
+    out = quantiles_beside(df, keys, vol, probs) if keys else _attach(df, quantiles(df, keys, vol, probs))
     v = F.col(vol)
     return out.withColumn("label", F.when(v <= F.col("q33"), LOW).when(v <= F.col("q66"), MID).otherwise(HIGH))
 
