@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ SCALE = 20.0  # features are shares of a text's tokens; this brings them to the
 def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> np.ndarray:
     """Per-coordinate FTRL-proximal over sparse rows (label, slots, values); the last weight is the bias.
 
-    The leader's weights are read off the accumulated gradients ``z`` and squared gradients ``n``; coordinates whose
+    Rows hold shares as they come; each is scaled and given its bias when its turn is there, not all at once.  The leader's weights are read off the accumulated gradients ``z`` and squared gradients ``n``; coordinates whose
     ``z`` stays within ``l1`` are exactly zero.
     """
     z, n = np.zeros(DIM + 1), np.zeros(DIM + 1)
@@ -31,7 +31,8 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 4, alpha:
         return np.where(np.abs(zs) <= l1, 0.0, w)
 
     for _ in range(epochs):
-        for y, slot, value in rows:
+        for y, own, share in rows:
+            slot, value = np.append(own, DIM), np.append(share * np.float32(SCALE), 1.0)
             w = leader(slot)
             g = (1 / (1 + np.exp(-np.clip(w @ value, -35, 35))) - y) * value
             squared = g * g
@@ -40,6 +41,25 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 4, alpha:
     return leader(np.arange(DIM + 1))
 
 
+def _numbers(column: pa.Array, kind: str) -> list[np.ndarray]:
+    """The numbers in each cell of a binary column, as views of the column's own memory."""
+    if not len(column):
+        return []
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+    return [np.frombuffer(data, kind, (b - a) // 4, a) if b > a else np.zeros(0, kind) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def learn(batches: Iterable[pa.RecordBatch]) -> np.ndarray | None:
+    """``ftrl`` over batches of ``sparse_rows``, which are held once, as they came; None without rows."""
+    rows = []
+    for batch in batches:
+        y, slots, values = (batch.column(batch.schema.get_field_index(c)) for c in ("y", "slots", "values"))
+        rows += zip(y.to_pylist(), _numbers(slots, "<i4"), _numbers(values, "<f4"), strict=True)
+    return ftrl(rows) if rows else None
+
+
 def train(sample: DataFrame) -> np.ndarray:
     """Weights learned from the bounded sample (doc_id, text, y): features in parallel, updates in one task, in id-hash order.
 
@@ -47,12 +67,9 @@ def train(sample: DataFrame) -> np.ndarray:
     """
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for batch in batches:
-            for y, s, v in zip(*(batch.column(c).to_pylist() for c in ("y", "slots", "values")), strict=True):
-                rows.append((y, np.append(np.frombuffer(s, "<i4"), DIM), np.append(np.frombuffer(v, "<f4") * SCALE, 1.0)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([ftrl(rows).astype("<f4").tobytes()], pa.binary())], ["weights"])
+        found = learn(batches)
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([found.astype("<f4").tobytes()], pa.binary())], ["weights"])
 
     rows = sparse_rows(sample).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"))
     found = rows.mapInArrow(fit, "weights binary").collect()  # one row of 1 MB, whatever the corpus
