@@ -1,14 +1,16 @@
 """Paths, regimes, quality and caps of runs whose rows come together once."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tapewell.operators import execution as ex, metrics as mt, portfolio as pf
 from tapewell.operators.keyed import quantiles, quantiles_beside
-from tapewell.plans import catalog
+from tapewell.plans import catalog, q_port
 from tapewell.session import job
+from tapewell.sources.tables import Tables
 
 
 def targets_of(spark, runs=3, days=40):
@@ -60,6 +62,38 @@ def test_quality_of_large_runs_equals_that_of_small_ones(spark, each):
         return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*sorted(known.columns)).filter("true" if each else "bucket = 'all'").collect())
 
     assert rows(known) == rows(ex.line_quality(lines, each=each)) == rows(ex.line_quality(lines, each=each, limit=150))
+    more = lines.select("run_id").unionByName(lines.filter("run_id = 1").select("run_id"))  # lines that a join has dropped, say
+    assert rows(known) == rows(ex.line_quality(lines, each=each, limit=150, sized=more))
+
+
+def moved(df):
+    """Column lists of the rows that a query's exchanges move."""
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [[c.split("#")[0].strip() for c in cols.split(",")] for cols in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", text)]
+
+
+def test_turnovers_alone_come_together_for_their_quantiles(spark):
+    """Before: every column of the trading figures, 7 of them."""
+    _, df = targets_of(spark)
+    df = df.withColumn("run_id", F.when(F.col("run_id") > 0, F.col("run_id")))  # a run without a number stays one
+    path = pf.rollout(df, df.select("symbol", "day").distinct().withColumn("ret", F.lit(0.01)))
+    got = mt.trading(path)
+    assert [len(cols) for cols in moved(got) if "_t" in cols] == [2]
+    want = path.groupBy("run_id").agg(F.expr("percentile(if(step > 0, turnover, null), 0.95)").alias("p95"), F.avg("hhi").alias("hhi"))
+    rows = {r.run_id: (pytest.approx(r.p95), pytest.approx(r.hhi)) for r in want.collect()}
+    assert len(rows) == 3 and {r.run_id: (r.turnover_1d_p95, r.hhi_mean) for r in got.collect()} == rows
+
+
+def test_daily_returns_move_the_close_alone(spark):
+    """Before: open, high, low and volume too, and the keys of a line twice."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = Tables(spark, "/root/testdata/sf0.001")
+        joined = [cols for cols in moved(t.bars_d().select("symbol", "ts", "close")) if "l_orderkey" in cols or "tick" in cols]
+        assert joined and all("tick" not in cols and "l_quantity" not in cols for cols in joined)
+        assert q_port.day_returns(t).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_capped_runs_do_not_depend_on_batches(spark):
