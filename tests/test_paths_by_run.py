@@ -66,9 +66,13 @@ def test_quality_of_large_runs_equals_that_of_small_ones(spark, each):
     assert rows(known) == rows(ex.line_quality(lines, each=each, limit=150, sized=more))
 
 
+def explained(df):
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
 def moved(df):
     """Column lists of the rows that a query's exchanges move."""
-    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    text = explained(df)
     return [[c.split("#")[0].strip() for c in cols.split(",")] for cols in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", text)]
 
 
@@ -115,3 +119,46 @@ def test_step_tables_of_runs(spark, name, tables):
     with job(spark) as written:
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
         assert len(written) <= tables
+
+
+def test_a_path_orders_its_rows_once_and_moves_them_once(spark):
+    """Before: rows were doubled to be taken off a step later, and put in order by run, by symbol and by step."""
+    _, df = targets_of(spark)
+    returns = df.select("symbol", "day").distinct().withColumn("ret", F.lit(0.01))
+    plans = []
+
+    def seen(path):
+        plans.append(explained(path))
+        return path
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pf, "checkpointed", seen)
+        pf.rollout(df.repartition("run_id"), F.broadcast(returns))
+    assert "Generate" not in plans[0] and len(re.findall(r"\) Sort\nInput", plans[0])) <= 2
+    assert len([cols for cols in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plans[0]) if "run_id" in cols]) == 1
+
+
+def test_books_of_null_symbols_and_gaps(spark):
+    """A symbol without a name links to no step before; a null weight is held as 0 and isn't taken off."""
+    d = [("2024-01-01", "a", 0.3), ("2024-01-02", "a", 0.2), ("2024-01-02", None, 0.1), ("2024-01-03", None, 0.4), ("2024-01-03", "b", None), ("2024-01-04", "c", -0.2)]
+    df = spark.createDataFrame([(1, day, s, w) for day, s, w in d], "run_id long, day string, symbol string, weight double").withColumn("day", F.col("day").cast("date"))
+    path = pf.rollout(df, df.select("symbol", "day").distinct().withColumn("ret", F.lit(0.01)))
+    have = sorted(((r.step, r.symbol or "", r.weight, r.prev_weight, r.held) for r in pf.positions(path).collect()))
+    assert have == [
+        (1, "", 0.1, 0.0, True), (1, "a", 0.2, 0.0, True), (2, "", 0.0, 0.1, False), (2, "", 0.4, 0.0, True), (2, "a", 0.0, 0.2, False), (2, "b", 0.0, 0.0, True),
+        (3, "", 0.0, 0.4, False), (3, "c", -0.2, 0.0, True)]
+    rows = {r.step: r for r in path.collect()}
+    assert rows[2].turnover == pytest.approx(0.7) and rows[3].turnover == pytest.approx(0.6) and rows[3].max_weight == 0.0
+
+
+def test_closes_equal_those_of_the_bars(spark, tmp_path):
+    """Orders of several lines a day, of one number in two places, and without a number."""
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, 1, 2, 3, 2**62]), rnd.choice([None, 1, 2]), rnd.randrange(6), k, rnd.choice([0.0, 1.0, 2.0]), float(k), None) for k in range(300)]
+    lines = spark.createDataFrame(rows, line).withColumn("l_shipdate", F.when(F.col("l_suppkey") % 7 > 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("l_suppkey") % 7).cast("int"))).cast("timestamp"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, [None, "A", "B"][k % 3]) for k in range(6)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    t = Tables(spark, str(tmp_path))
+    a, b = t.bars_d().select("symbol", "ts", "close"), t.closes_d().select("symbol", "ts", "close")
+    assert a.count() > 15 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
