@@ -121,6 +121,30 @@ def test_step_tables_of_runs(spark, name, tables):
         assert len(written) <= tables
 
 
+def test_capped_runs_do_not_depend_on_how_many_rows_are_held(spark, monkeypatch):
+    """Before: each batch was a matrix of its own."""
+    _, df = targets_of(spark, runs=9)
+    weights = pf.positions(pf.rollout(df, df.select("symbol", "day").distinct().withColumn("ret", F.lit(0.0)))).filter("held")
+    limits = pf.RiskLimits(max_weight=0.6, exposure_cap=0.8, max_turnover=0.2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    found = []
+    try:
+        for rows in (1, 40, 65_536):
+            monkeypatch.setattr(pf, "HELD_ROWS", rows)
+            found.append(sorted((r.run_id, r.step, r.symbol, round(r.weight, 12)) for r in pf.cap_turnover(weights, limits).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == found[2] and len(found[0]) > 500
+
+
+def test_capped_weights_are_rounded_without_decimals(spark):
+    """Before: a decimal per row and rounding."""
+    catalog.load()
+    with job(spark):
+        plan = explained(catalog.QUERIES["t03_turnover_cap"](spark, "/root/testdata/sf0.001"))
+    assert "rint" in plan.lower() and not re.search(r"round\([^()]*, 12\)", plan)
+
+
 def test_a_path_orders_its_rows_once_and_moves_them_once(spark):
     """Before: rows were doubled to be taken off a step later, and put in order by run, by symbol and by step."""
     _, df = targets_of(spark)
